@@ -146,11 +146,11 @@ class SpanHash:
 WORDS = SpanHash(101)
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first word of each row and the end) of the words of each row: runs without white space."""
+def words(buf: np.ndarray, off: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first word of each row and the end) of the words of each row: runs of bytes not in ``outside``."""
     n = len(buf)
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = ~SPACE[buf]
+    inside[1:-1] = ~outside[buf]
     first = inside[1:] & ~inside[:-1]
     last = inside[:-1] & ~inside[1:]
     cut = off[1:-1]
@@ -162,9 +162,9 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, np.searchsorted(start, off)
 
 
-def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, off: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each row and the end); A to Z count as lower case."""
-    start, end, rows = words(buf, off)
+    start, end, rows = words(buf, off, outside)
     return WORDS.spans(LOWER[buf], start, end), rows
 
 
