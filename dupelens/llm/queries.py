@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngramjoin import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfile import read_tokens, write_tokens
 
@@ -59,6 +65,34 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, quality=quality_weights(table(spark, sf_dir, "labels"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT w.doc_id, coalesce(any_value(k.c), 0) AS n, md5(coalesce(string_agg(s.g, chr(10) ORDER BY s.g), '')) AS name
+  FROM w LEFT JOIN s ON s.doc_id = w.doc_id LEFT JOIN (SELECT doc_id, count(*) AS c FROM s GROUP BY 1) k ON k.doc_id = w.doc_id GROUP BY w.doc_id
+), c AS (
+  SELECT name, min(doc_id) AS rep, count(*) AS copies, any_value(n) AS n FROM n GROUP BY name
+), r AS (
+  SELECT s.* FROM s JOIN c ON c.rep = s.doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM r a JOIN r b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y, cy.copies FROM p JOIN c cx ON cx.rep = x JOIN c cy ON cy.rep = y WHERE 5 * m >= 4 * (cx.n + cy.n - m)
+), walk AS (
+  SELECT rep AS x, rep AS y FROM c UNION SELECT walk.x, l.y FROM walk JOIN l ON l.x = walk.y
+), heads AS (
+  SELECT x, min(y) AS head FROM walk GROUP BY x
+), deg AS (
+  SELECT x, count(*) AS texts, sum(copies) AS docs FROM l GROUP BY x
+)
+SELECT n.doc_id, heads.head AS class_id, c.rep AS copy_id, (coalesce(deg.docs, 0) + c.copies - 1)::BIGINT AS n_links, coalesce(deg.texts, 0)::BIGINT AS n_text_links
+FROM n JOIN c USING (name) JOIN heads ON heads.x = c.rep LEFT JOIN deg ON deg.x = c.rep
+"""
+
 OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
@@ -105,10 +139,11 @@ SELECT doc_id, size, source_size, target,
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_token_files": op2_token_files,
     "op3_byte_bpe": op3_byte_bpe,
     "op7_toxicity": op7_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL, "op10_mix_sources": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op9_line_dedup": OP9_SQL, "op10_mix_sources": OP10_SQL}
