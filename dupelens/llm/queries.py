@@ -43,6 +43,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), public_tokenizers.PATTERN, ids=False, digest=True)
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import held_out, score, train
 
@@ -52,6 +58,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+#: Fixed by the contract: verdict and rule.
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+#: Weak labels: words that mark a host as bad where no rule speaks.
+BAD_HOST_WORDS = "adult-|ads-|bets|casino|pills|spam"
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import judge
+
+    weak = F.when(F.col("host").rlike(BAD_HOST_WORDS) & F.col("rule").isNull(), F.lit(1))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, URL_RULES, label=weak)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import dedup_lines
 
@@ -142,7 +162,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_token_files": op2_token_files,
     "op3_byte_bpe": op3_byte_bpe,
+    "op6_nearest_vectors": op6_nearest_vectors,
     "op7_toxicity": op7_toxicity,
+    "op8_url_rules": op8_url_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
