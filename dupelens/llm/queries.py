@@ -43,6 +43,23 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), public_tokenizers.PATTERN, ids=False, digest=True)
 
 
+#: A stated key, so that reruns agree; production jobs pass their own.
+PII_KEY = b"dupelens-example-key"
+
+
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymize
+
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+def op5_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import measure, read_archives, write_archives
+
+    folder, manifest = write_archives(table(spark, sf_dir, "documents"))
+    return measure(read_archives(spark, folder, manifest))
+
+
 def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import search
 
@@ -162,6 +179,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_token_files": op2_token_files,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_pii_pseudonyms": op4_pii_pseudonyms,
+    "op5_media_archives": op5_media_archives,
     "op6_nearest_vectors": op6_nearest_vectors,
     "op7_toxicity": op7_toxicity,
     "op8_url_rules": op8_url_rules,
