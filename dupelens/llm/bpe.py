@@ -33,7 +33,7 @@ from .common import SPACE, Pool, SpanHash, filesystem, mapped, text_bytes
 #: Words above this many bytes are contracted by the many-at-once step.
 LONG = 64
 #: Pieces and words that a worker remembers; beyond, it starts anew.
-REMEMBER = 1_200_000
+REMEMBER = 500_000
 PIECES = SpanHash(303)
 #: White space beyond the six ASCII ones, as UTF-8; texts with any of it are cut as a whole.
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -100,7 +100,7 @@ class ByteBPE:
         merges = [(a, b, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None]
         a, b, r = (np.array(x, np.int32) for x in zip(*merges, strict=True))
         self.db = duckdb.connect()
-        for setting in ("threads=1", "memory_limit='700MB'", "temp_directory=''"):
+        for setting in ("threads=1", "memory_limit='400MB'", "temp_directory=''"):
             self.db.execute(f"SET {setting}")
         unsafe = np.unique(np.concatenate([a[r < a], b[r < b]]))  # tokens in a pair of lower rank than their own
         tokens = sorted(self.ranks.items(), key=lambda x: x[1])

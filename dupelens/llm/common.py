@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,7 +57,7 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that ``column`` holds about ``limit`` bytes a slice (one row at least)."""
     col = batch.column(batch.schema.get_field_index(column))
     if batch.num_rows == 0:
@@ -86,7 +88,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def mapped(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text", limit: int = 4 << 20):
+def mapped(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text", limit: int = 1 << 20):
     """A function for mapInArrow that calls ``fn`` on slices of bounded text size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,10 +97,18 @@ def mapped(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str =
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
+        release()
 
     return run
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the GNU library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def fmix(h: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of murmur3: a bijection that spreads every bit."""
     h = h ^ (h >> S33)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import filesystem, mapped, materialize, shared_dir, slices, text_bytes
+from .common import filesystem, mapped, materialize, release, shared_dir, slices, text_bytes
 
 WIDTH = 64
 STEP = 1 << 20
@@ -129,6 +129,7 @@ def write_archives(docs: DataFrame) -> tuple[str, DataFrame]:
                         yield pa.record_batch(row)
         if row := w.close():
             yield pa.record_batch(row)
+        release()
 
     manifest = docs.select("doc_id", "text").mapInArrow(run, "file string, members long, bytes long")
     return folder, materialize(manifest, "manifest")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fmix, mapped, materialize, text_bytes, word_hashes
+from .common import fmix, mapped, materialize, release, text_bytes, word_hashes
 
 N = 5
 THRESHOLD = 0.8
@@ -139,6 +139,8 @@ def _verify(threshold: float):
         bands = np.array([np.frombuffer(t["bands"][k], np.int64)[:band] for k in first]).reshape(m, band)
         for b in range(band if near.any() else 0):
             near &= bands[:, b][:, None] != bands[:, b][None, :]
+        if m > BLOCK:
+            release()
         some = np.flatnonzero(near.any(1))
         label = np.arange(m)
         while len(some):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Pool, SpanHash, filesystem, materialize, shared_dir, slices, text_bytes, words
+from .common import Pool, SpanHash, filesystem, materialize, release, shared_dir, slices, text_bytes, words
 
 MAGIC = b"DLTOK8B1"
 BLOCK = 1024
@@ -273,6 +273,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int) -> tuple[str, Da
                     yield flush()
         if docs:
             yield flush()
+        release()
 
     manifest = ordered.mapInArrow(run, "file string, first long, n_docs long, n_tokens long")
     return folder, materialize(manifest, "manifest")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fmix, mapped, slices, text_bytes, word_hashes
+from .common import fmix, mapped, release, text_bytes, word_hashes
 
 DIMENSIONS = 1 << 22
 SAMPLE = 24_000
@@ -96,6 +96,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
             w = model.weights(at)
             keep = w != 0
             yield pa.record_batch({"at": at[keep], "w": w[keep]})
+        del examples, model, order
+        release()
 
     fields = T.StructType([docs.schema["doc_id"], T.StructField("toxic", T.IntegerType()), T.StructField("features", T.BinaryType())])
     found = rows.mapInArrow(mapped(featured), fields).coalesce(1).mapInArrow(fit, "at long, w double")
