@@ -1 +1 @@
-"""See the package docstring."""
+"""Scalar functions: Column expressions, and Arrow functions where no built-in exists."""

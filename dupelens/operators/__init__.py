@@ -1 +1 @@
-"""See the package docstring."""
+"""Operators over inventories: filters, duplicates, selection, totals, trees, pictures, sweeping, caches."""

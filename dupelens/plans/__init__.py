@@ -1 +1 @@
-"""See the package docstring."""
+"""Checked plans of actions, journals, reports, and the catalogue of queries."""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | None = None, memory: str = "8g") -> SparkSession:
@@ -26,3 +28,22 @@ def ship_package(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the session's ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        _own[:] = _own or [tempfile.mkdtemp(prefix="dupelens-")]
+        base = "file://" + _own[0]
+    return f"{base.rstrip('/')}/dupelens-{uuid.uuid4().hex}"
+
+
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts lineage and outlives executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

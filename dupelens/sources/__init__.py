@@ -1 +1 @@
-"""See the package docstring."""
+"""Where inventories come from: tables, trees, binary files, small stores."""

@@ -1 +1 @@
-"""See the package docstring."""
+"""Duplicates of inventories that grow."""
