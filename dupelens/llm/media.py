@@ -167,7 +167,9 @@ class ArchiveReader(DataSourceReader):
                     start = at
         return out
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no archives
+            return
         fs, folder = filesystem(self.folder)
         path = f"{folder}/{partition.path}"
         at, rows, held = partition.start, [], 0

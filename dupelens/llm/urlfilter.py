@@ -2,7 +2,8 @@
 
 A path's segments that vary (any with a digit, or very long) become wildcards, which leaves few shapes; the
 pages are summed by (host, shape) before anything else. Level by level, a node's branches stay apart only if
-they are few (``FAN``) and each has some support; the others become one wildcard branch. Branches of a node
+they have some support and, where they are more than ``FAN``, each that share of the node's pages; the others
+become one wildcard branch. Branches of a node
 whose shares of bad labels don't differ significantly are merged. A template, the path of merged branches down
 to a leaf, is rejected if its smoothed purity - bad labels plus ``BAD_PRIOR``, over all labels plus both priors -
 reaches ``REJECT``; templates without labels stay.
@@ -93,8 +94,9 @@ def templates(pages: DataFrame) -> DataFrame:
             at = at.drop("seg")
             break
         sums = at.filter(F.col("seg").isNotNull()).groupBy("host", "prefix", "seg").agg(F.sum("n").alias("n"))
-        fan = sums.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("fan"))
-        wide = sums.join(fan, ["host", "prefix"]).withColumn("as", F.when((F.col("fan") > FAN) | (F.col("n") < SUPPORT), F.lit("*")).otherwise(F.col("seg")))
+        fan = sums.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("fan"), F.sum("n").alias("total"))
+        apart = (F.col("n") >= SUPPORT) & ((F.col("fan") <= FAN) | (F.col("n") * FAN >= F.col("total")))
+        wide = sums.join(fan, ["host", "prefix"]).withColumn("as", F.when(apart, F.col("seg")).otherwise(F.lit("*")))
         at = materialize(at.join(wide.select("host", "prefix", "seg", "as"), ["host", "prefix", "seg"], "left"), "level")
         stats = at.filter(F.col("as").isNotNull()).groupBy("host", "prefix", F.col("as").alias("seg")).agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
         names = stats.groupBy("host", "prefix").applyInPandas(_merge, "host string, prefix string, seg string, branch string")

@@ -1,0 +1,75 @@
+"""The pipeline against its stages written plainly, and its stages one by one."""
+
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+from dupelens.llm import toxicity  # noqa: E402
+from tests.llm.test_text_ops import LINES, edited, join_model, lines_model, mix_model  # noqa: E402
+
+
+@pytest.fixture(scope="module")
+def sf(spark, docs, tmp_path_factory):
+    r = random.Random(8)
+    rows = []
+    for i in range(120):
+        words = [f"p{r.randrange(900)}" for _ in range(r.randrange(30, 120))]
+        text = " ".join(words)
+        if i % 6 == 0:
+            text = "vile awful nasty " + text + " vile awful"
+        if i % 4 == 1:
+            text += "\n" + LINES[0] + "\n" + LINES[2]
+        rows.append((i, text, f"s{r.choice('aaaab')}"))
+        if i % 5 == 2:
+            rows.append((1000 + i, edited(r, words, 1) if i % 2 else text, "sb"))
+    rows += [(5000, None, "sc"), (5001, "", None)]
+    path = str(tmp_path_factory.mktemp("sf"))
+    docs(rows).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, int(i % 6 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def test_run_is_the_stages_in_order(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    scored = toxicity.score(docs, *toxicity.train(docs, labels.filter(~toxicity.held_out(F.col("doc_id")))))
+    bad = {r.doc_id for r in scored.filter("predicted = 1").collect()}
+    assert bad == {i for i, t, _ in rows if "vile" in (t or "")}
+    rows = [r for r in rows if r[0] not in bad]
+    got = corpus_pipeline.drop_lines(spark, docs.filter(~F.col("doc_id").isin(list(bad))), sf)
+    dropped = {i: n for i, _, n, _ in lines_model([(i, t) for i, t, _ in rows])}
+    assert got.columns == docs.columns and sum(dropped.values()) > 10
+    rows = [(r.doc_id, r.text, r.source) for r in got.collect()]
+    group = {i: c for i, c, *_ in join_model([(i, t) for i, t, _ in rows])}
+    rows = [r for r in rows if group[r[0]] == r[0]]
+    quality = {r.doc_id: 2.0 if r.quality else 0.5 for r in labels.collect()}
+    copies = Counter({i: taken // size for i, size, _, _, taken in mix_model(rows, quality) if size})
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert Counter(r.doc_id for r in out) == +copies
+    import base64
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {i: t for i, t, _ in rows}
+    for r in out:
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_stages_take_odd_and_empty_tables(spark, sf, odd):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "mixing sources to target weights", "byte-level BPE encoding and decoding"]
+    for d in (odd, odd.limit(0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, d, sf)
+            assert k == 4 or out.columns == d.columns
+            out.collect()
