@@ -45,7 +45,9 @@ class TreeReader(DataSourceReader):
                     out.append(Part(len(out), e.path, True, False))
         return out
 
-    def read(self, part: Part) -> Iterator[tuple]:
+    def read(self, part: Part | None) -> Iterator[tuple]:
+        if part is None:  # no roots
+            return
         order = part.number << 40
         stack = [part.top]
         if self.kind == "dirs" and not part.is_root:
