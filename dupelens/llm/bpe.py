@@ -28,12 +28,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import SPACE, Pool, SpanHash, filesystem, mapped, text_bytes
+from .common import SPACE, Pool, SpanHash, filesystem, mapped, release, small_batches, text_bytes
 
 #: Words above this many bytes are contracted by the many-at-once step.
 LONG = 64
 #: Pieces and words that a worker remembers; beyond, it starts anew.
-REMEMBER = 500_000
+REMEMBER = 200_000
+#: Words a recursive query.
+QUERY_WORDS = 8_000
 PIECES = SpanHash(303)
 #: White space beyond the six ASCII ones, as UTF-8; texts with any of it are cut as a whole.
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -100,7 +102,7 @@ class ByteBPE:
         merges = [(a, b, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None]
         a, b, r = (np.array(x, np.int32) for x in zip(*merges, strict=True))
         self.db = duckdb.connect()
-        for setting in ("threads=1", "memory_limit='400MB'", "temp_directory=''"):
+        for setting in ("threads=1", "memory_limit='256MB'", "temp_directory=''"):
             self.db.execute(f"SET {setting}")
         unsafe = np.unique(np.concatenate([a[r < a], b[r < b]]))  # tokens in a pair of lower rank than their own
         tokens = sorted(self.ranks.items(), key=lambda x: x[1])
@@ -165,13 +167,16 @@ class ByteBPE:
 
     def _learn(self, pieces: list[str], hashes: np.ndarray) -> None:
         words, known = [self.pattern.findall(p) for p in pieces], self.words
-        new = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in known]
-        if new:
+        fresh = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in known]
+        for start in range(0, len(fresh), QUERY_WORDS):  # bounds what a recursion holds
+            new = fresh[start : start + QUERY_WORDS]
             ids, n = self.encode_words([w.encode() for w in new])
             text = self.decode(ids, n)
             at = len(known)
             self.word.add(np.arange(at + 1, at + 1 + len(new), dtype=np.uint64), [(ids, n), (np.frombuffer(b"".join(text), np.uint8), np.array([len(t) for t in text]))])
             known.update(zip(new, range(at, at + len(new)), strict=True))
+        if len(fresh) > QUERY_WORDS:
+            release()
         rows = np.array([known[w] for ws in words for w in ws], np.int64)
         cut = np.cumsum([0, *map(len, words)])
         ids, off = self.word.gather(0, rows)
@@ -187,6 +192,7 @@ class ByteBPE:
         """(piece of each stretch of the texts, first piece of each text and the end)."""
         if len(self.piece) > REMEMBER or len(self.words) > REMEMBER:
             self._reset()
+            release()
         n = len(buf)
         space = SPACE[buf]
         start = np.zeros(n + 1, bool)
@@ -241,6 +247,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, ids: bool = True, digest:
                 out[name] = [hashlib.sha256(view[min(a + skip, b) : b]).hexdigest() for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return pa.record_batch(out)
 
+    small_batches(docs.sparkSession)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType())])
     if ids:
         schema.add("ids", T.ArrayType(T.IntegerType()))

@@ -102,6 +102,13 @@ def mapped(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str =
     return run
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Arrow batches of texts hold few rows: a batch lies whole in the JVM and in the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def release() -> None:
     """Give memory that a worker no longer uses back to the system; workers live on between tasks."""
     pa.default_memory_pool().release_unused()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE, SpanHash, filesystem, fmix, mapped, materialize, shared_dir, text_bytes
+from .common import LOWER, SPACE, SpanHash, filesystem, fmix, mapped, materialize, shared_dir, small_batches, text_bytes
 
 #: Keys a shard, about; 20 MB of arrays.
 SHARD_KEYS = 1_000_000
@@ -225,6 +225,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep_te
     own = ["n_lines", "n_dropped", "kept_sha256"]
     docs = docs.drop(*own)
     cols = [f for f in docs.schema.fields if keep_text or f.name == "doc_id"]
+    small_batches(docs.sparkSession)
     folder, bits = build_index(docs, min_chars, min_docs)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import filesystem, mapped, materialize, release, shared_dir, slices, text_bytes
+from .common import filesystem, mapped, materialize, release, shared_dir, slices, small_batches, text_bytes
 
 WIDTH = 64
 STEP = 1 << 20
@@ -114,6 +114,7 @@ class _Writer:
 
 def write_archives(docs: DataFrame) -> tuple[str, DataFrame]:
     """(folder, manifest): file, members, bytes. Files of lost tasks are in no manifest."""
+    small_batches(docs.sparkSession)
     folder = shared_dir(docs.sparkSession) + "/media"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fmix, mapped, materialize, release, text_bytes, word_hashes
+from .common import fmix, mapped, materialize, release, small_batches, text_bytes, word_hashes
 
 N = 5
 THRESHOLD = 0.8
@@ -181,6 +181,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, reca
     class_id: least doc_id of all that a chain of links joins to it; copy_id: least doc_id of the same n-gram
     set; n_links: other documents at the threshold or above, copies included; n_text_links: linked classes.
     """
+    small_batches(docs.sparkSession)
     bands = banding(threshold, recall, rows)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # finds the row again whose set is needed; null ids are found by their text

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import mapped, text_bytes
+from .common import mapped, small_batches, text_bytes
 
 ROUNDS = 8
 KINDS = ("card", "iban", "ssn", "phone", "ipv4", "date", "email")
@@ -228,6 +228,7 @@ def pseudonymize(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     """``docs`` with replaced texts, n_values, a count of each kind and text_sha256."""
     own = ["n_values", *(f"n_{k}" for k in KINDS), "text_sha256"]
     docs = docs.drop(*own)
+    small_batches(docs.sparkSession)
     keep = docs.columns
     digit = np.zeros(256, bool)
     digit[[*range(48, 58), 64]] = True

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Pool, SpanHash, filesystem, materialize, release, shared_dir, slices, text_bytes, words
+from .common import Pool, SpanHash, filesystem, materialize, release, shared_dir, slices, small_batches, text_bytes, words
 
 MAGIC = b"DLTOK8B1"
 BLOCK = 1024
@@ -240,6 +240,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int) -> tuple[str, Da
     manifest count. Rows with a null doc_id come first; equal ids keep together in no stated order.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = shared_dir(spark) + "/tokens"
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())

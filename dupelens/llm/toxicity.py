@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fmix, mapped, release, text_bytes, word_hashes
+from .common import fmix, mapped, release, small_batches, text_bytes, word_hashes
 
 DIMENSIONS = 1 << 22
 SAMPLE = 24_000
@@ -70,6 +70,7 @@ class FTRL:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """(coordinates, weights) other than 0; ``labels``: (doc_id, toxic)."""
+    small_batches(docs.sparkSession)
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
