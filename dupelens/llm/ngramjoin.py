@@ -241,8 +241,9 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Rows with a null id stay unless they are near one with an id.
     """
     groups = materialize(jaccard_join(docs, **options), "groups")
-    drop = groups.filter((F.col("doc_id") != F.col("class_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti")
+    drop = materialize(groups.filter((F.col("doc_id") != F.col("class_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "drop")
+    # up to the bound, ids go to the documents; beyond, whole texts are shuffled to meet them
+    kept = docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_KEYS else drop, "doc_id", "left_anti")
     again = materialize(groups.filter(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
     if again.isEmpty():
         return kept
