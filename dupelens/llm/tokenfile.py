@@ -11,7 +11,6 @@ in ids); per block the ends (uint64) of its words and of its escapes; all words;
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 import uuid
 import zlib
