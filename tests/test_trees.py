@@ -6,7 +6,6 @@ import os
 import struct
 
 import pytest
-from pyspark.sql import functions as F
 
 from dupelens.functions import python_udfs as U
 from dupelens.operators import diff, similar, sweep
