@@ -1,10 +1,10 @@
 """URL verdicts: stated rules first, else a path-template tree of each host.
 
 A path's segments that vary (any with a digit, or very long) become wildcards, which leaves few shapes; the
-pages are summed by (host, shape) before anything else. Level by level, a node's branches stay apart only if
-they have some support and, where they are more than ``FAN``, each that share of the node's pages; the others
-become one wildcard branch. Branches of a node
-whose shares of bad labels don't differ significantly are merged. A template, the path of merged branches down
+pages are summed by (host, shape) before anything else. Level by level, a node's branches of little support and
+without labels become one wildcard branch. Branches of a node, however many, whose shares of bad labels don't
+differ significantly are merged: those of equal counts are one bin, and bins are compared in order of their
+shares, so that a task holds a node's distinct counts, not its branches. A template, the path of merged branches down
 to a leaf, is rejected if its smoothed purity - bad labels plus ``BAD_PRIOR``, over all labels plus both priors -
 reaches ``REJECT``; templates without labels stay.
 
@@ -18,14 +18,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 DEPTH = 6
-FAN = 32
 SUPPORT = 2
+#: Merged branches are named by all their segments up to this many; beyond, by the least one and their number.
+NAMED = 32
 BAD_PRIOR, GOOD_PRIOR = 1.0, 3.0
 REJECT = 0.6
 #: Two branches are alike up to this many standard errors between their shares.
@@ -61,26 +62,36 @@ def shape(path: Column) -> Column:
 
 
 def _merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Branches of one node (FAN and a wildcard at most): similar ones get one name."""
-    pdf = pdf.sort_values("seg").reset_index(drop=True)
-    pdf["rate"] = pdf["bad"] / pdf["labels"].where(pdf["labels"] > 0)
-    groups: list[list[int]] = []
-    for i in pdf.sort_values(["rate", "seg"], na_position="last").index:
-        if groups:
-            g = pdf.loc[groups[-1]]
-            n, m, a, b = g["labels"].sum(), pdf.at[i, "labels"], g["bad"].sum(), pdf.at[i, "bad"]
-            if n == 0 or m == 0:
-                same = n == m
-            else:
-                p = (a + b + 1) / (n + m + 2)
-                same = abs(a / n - b / m) <= ALIKE * (p * (1 - p) * (1 / n + 1 / m)) ** 0.5
-            if same:
-                groups[-1].append(i)
-                continue
-        groups.append([i])
-    for g in groups:
-        pdf.loc[g, "branch"] = "|".join(sorted(pdf.loc[g, "seg"]))
-    return pdf[["host", "prefix", "seg", "branch"]]
+    """Bins of one node's branches with equal counts: similar ones get one group."""
+    rate = pdf["bad"] / pdf["labels"].where(pdf["labels"] > 0)
+    pdf = pdf.assign(rate=rate).sort_values(["rate", "labels"], na_position="last").reset_index(drop=True)
+    group, n, a, of = -1, 0, 0, []
+    for labels, bad, width in zip(pdf["labels"].tolist(), pdf["bad"].tolist(), pdf["width"].tolist(), strict=True):
+        m, b = labels * width, bad * width
+        if n == 0 or m == 0:
+            same = group >= 0 and n == m
+        else:
+            p = (a + b + 1) / (n + m + 2)
+            same = abs(a / n - b / m) <= ALIKE * (p * (1 - p) * (1 / n + 1 / m)) ** 0.5
+        group, n, a = (group, n + m, a + b) if same else (group + 1, m, b)
+        of.append(group)
+    by = pdf.assign(group=of).groupby("group")
+    pdf = pdf.assign(group=of, width=by["width"].transform("sum"), least=by["least"].transform("min"))
+    return pdf[["host", "prefix", "labels", "bad", "group", "width", "least"]]
+
+
+def _names(stats: DataFrame) -> DataFrame:
+    """(host, prefix, seg, branch) of branches (host, prefix, seg, labels, bad); a literal segment has no digit, so no two names meet."""
+    bins = stats.groupBy("host", "prefix", "labels", "bad").agg(F.count(F.lit(1)).alias("width"), F.min("seg").alias("least"))
+    merged = materialize(bins.groupBy("host", "prefix").applyInPandas(_merge, "host string, prefix string, labels long, bad long, group long, width long, least string"), "merged")
+    small = merged.count() <= BROADCAST_TEMPLATES
+    each = stats.join(F.broadcast(merged) if small else merged, ["host", "prefix", "labels", "bad"])
+    wide = F.col("width") > NAMED
+    by = Window.partitionBy("host", "prefix", "group", F.when(wide, F.col("seg")))
+    plain = lambda c: F.replace(F.col(c), F.lit("|"), F.lit("%7C"))
+    some = F.array_join(F.array_sort(F.collect_list(plain("seg")).over(by)), "|")
+    many = F.concat(plain("least"), F.lit("|+"), (F.col("width") - 1).cast("string"))
+    return each.select("host", "prefix", "seg", F.when(wide, many).otherwise(some).alias("branch"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -93,14 +104,12 @@ def templates(pages: DataFrame) -> DataFrame:
         if at.filter(F.col("seg").isNotNull()).isEmpty():
             at = at.drop("seg")
             break
-        sums = at.filter(F.col("seg").isNotNull()).groupBy("host", "prefix", "seg").agg(F.sum("n").alias("n"))
-        fan = sums.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("fan"), F.sum("n").alias("total"))
-        apart = (F.col("n") >= SUPPORT) & ((F.col("fan") <= FAN) | (F.col("n") * FAN >= F.col("total")))
-        wide = sums.join(fan, ["host", "prefix"]).withColumn("as", F.when(apart, F.col("seg")).otherwise(F.lit("*")))
-        at = materialize(at.join(wide.select("host", "prefix", "seg", "as"), ["host", "prefix", "seg"], "left"), "level")
-        stats = at.filter(F.col("as").isNotNull()).groupBy("host", "prefix", F.col("as").alias("seg")).agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
-        names = stats.groupBy("host", "prefix").applyInPandas(_merge, "host string, prefix string, seg string, branch string")
-        at = at.drop("seg").withColumnRenamed("as", "seg").join(names, ["host", "prefix", "seg"], "left")
+        sums = at.filter(F.col("seg").isNotNull()).groupBy("host", "prefix", "seg").agg(F.sum("n").alias("n"), F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
+        apart = (F.col("n") >= SUPPORT) | (F.col("labels") > 0)
+        sums = materialize(sums.withColumn("as", F.when(apart, F.col("seg")).otherwise(F.lit("*"))), "sums")
+        names = _names(sums.groupBy("host", "prefix", F.col("as").alias("seg")).agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad")))
+        names = sums.select("host", "prefix", "seg", "as").join(names.withColumnRenamed("seg", "as"), ["host", "prefix", "as"]).drop("as")
+        at = at.join(names, ["host", "prefix", "seg"], "left")
         at = materialize(at.withColumn("prefix", F.when(F.col("branch").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), "branch"))).drop("seg", "branch"), "level")
     total = at.groupBy("host", F.col("prefix").alias("template")).agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
     purity = (F.col("bad") + BAD_PRIOR) / (F.col("labels") + BAD_PRIOR + GOOD_PRIOR)

@@ -321,3 +321,20 @@ def test_labels_reach_unlabelled_urls_and_rules_come_first(spark):
     label = F.when(F.col("path").startswith("/spam/") & (F.crc32(F.col("path").cast("binary")) % 2 == 0), 1)
     got = {r.page_id: r.verdict for r in urlfilter.judge(pages, URL_RULES, label).collect()}
     assert all(got[i] == "block" for i in range(30)) and all(got[100 + i] == "allow" for i in range(30)) and got[200] == "allow"
+
+
+def test_wide_nodes_keep_unlike_sections_apart(spark):
+    """40 even sections, two of them blocked by rules: the others have no labels and stay, whatever the width."""
+    sections = ["es", "fr", *("s" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(38))]
+    urls = [f"http://x.net/{s}/{i}" for s in sections for i in range(5)] + [f"http://x.net/{c}" for c in ("once", "twice|a")]
+    got = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), URL_RULES).collect()
+    assert all(r.verdict == ("block" if r.path.split("/")[1] in ("es", "fr") else "allow") for r in got) and len(got) == len(urls)
+    assert len({r.template for r in got if r.path.startswith(("/es/", "/fr/"))}) == 1
+
+    # 600 branches of equal support, of three shares of bad labels, and a few without labels
+    rows = [(f"/{'abc'[k % 3]}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}/{i}", int(i < (0, 5, 10)[k % 3])) for k in range(600) for i in range(10)]
+    rows += [(f"/d{chr(97 + k)}/{i}", None) for k in range(3) for i in range(10)]
+    got = urlfilter.templates(spark.createDataFrame([("h", p, b) for p, b in rows], "host string, path string, label int")).collect()
+    by = {k: {(r.template, r.rejected) for r in got if r.shape[0][0] == k} for k in "abcd"}
+    assert [[rejected for _, rejected in by[k]] for k in "abcd"] == [[False], [False], [True], [False]] and len(set.union(*by.values())) == 4
+    assert by["d"] == {("/da|db|dc/*", False)} and all(len(t) < 40 for t, _ in by["a"])
