@@ -77,16 +77,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Fixed by the contract: verdict and rule.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Weak labels: words that mark a host as bad where no rule speaks.
-BAD_HOST_WORDS = "adult-|ads-|bets|casino|pills|spam"
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urlfilter import judge
 
-    weak = F.when(F.col("host").rlike(BAD_HOST_WORDS) & F.col("rule").isNull(), F.lit(1))
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages, URL_RULES, label=weak)
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dupelens.llm import ann, media, pii, toxicity, urlfilter
-from dupelens.llm.queries import URL_RULES
+from dupelens.llm.queries import URL_RULES, op8_url_rules
 
 KEY = b"test"
 
@@ -338,3 +338,11 @@ def test_wide_nodes_keep_unlike_sections_apart(spark):
     by = {k: {(r.template, r.rejected) for r in got if r.shape[0][0] == k} for k in "abcd"}
     assert [[rejected for _, rejected in by[k]] for k in "abcd"] == [[False], [False], [True], [False]] and len(set.union(*by.values())) == 4
     assert by["d"] == {("/da|db|dc/*", False)} and all(len(t) < 40 for t, _ in by["a"])
+
+
+def test_the_url_query_has_no_list_of_hosts(spark, tmp_path):
+    hosts = ["downloads-cdn.example.org", "alphabets.example.org", "antispam.example.net", "casino-win.example.org", "poker-online.example.org"]
+    urls = [f"https://{h}/{s}/{i}" for h in hosts for s in ("en", "es") for i in range(6)]
+    spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = op8_url_rules(spark, str(tmp_path)).collect()
+    assert len(got) == len(urls) and all(r.verdict == ("block" if r.rule == "net/es/" else "allow") for r in got)
