@@ -44,5 +44,7 @@ def selected_kpi(members: DataFrame, selection: DataFrame) -> DataFrame:
 
 def action_summary(results: DataFrame, shown: int = 5) -> DataFrame:
     """One row of results (path, ok, freed, error): done, failed, freed bytes and the first errors by path."""
-    first = F.transform(F.slice(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("path", "error")))), 1, shown), lambda x: x["error"])
-    return results.agg(F.count_if("ok").alias("done"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("freed"))), F.lit(0)).alias("freed_bytes"), first.alias("errors"))
+    failed = results.filter(~F.col("ok")).select("path", "error").orderBy("path", "error").limit(shown)
+    first = F.transform(F.array_sort(F.collect_list(F.struct("path", "error"))), lambda x: x["error"])  # of ``shown`` rows at most
+    sums = results.agg(F.count_if("ok").alias("done"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("freed"))), F.lit(0)).alias("freed_bytes"))
+    return sums.crossJoin(failed.agg(first.alias("errors")))

@@ -174,3 +174,12 @@ def test_reports(members, tmp_path):
     with pytest.raises(ValueError):
         report.export(odd, str(tmp_path / "r.odd"), "odd")
     assert sorted(p.name for p in tmp_path.iterdir()) == ["r.csv", "r.html", "r.json", "r.txt"]
+
+
+def test_first_errors_are_a_bounded_top_k(spark):
+    rows = [(None if i == 9 else f"/{i:04}", None if i == 8 else i % 2 == 0, i, f"e{i}") for i in range(3000)] + [("/0001", False, 7, None)]
+    got = stats.action_summary(spark.createDataFrame(rows[::-1], "path string, ok boolean, freed long, error string"))
+    assert tuple(got.first()) == (1499, 1501, sum(range(0, 3000, 2)) - 8, ["e9", None, "e1", "e3", "e5"])
+    assert "TakeOrderedAndProject" in got._jdf.queryExecution().executedPlan().toString()
+    empty = spark.createDataFrame([], "path string, ok boolean, freed long, error string")
+    assert tuple(stats.action_summary(empty).first()) == (0, 0, 0, [])
