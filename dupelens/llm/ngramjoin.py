@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fmix, mapped, materialize, release, small_batches, text_bytes, word_hashes
 
@@ -181,6 +182,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, reca
     class_id: least doc_id of all that a chain of links joins to it; copy_id: least doc_id of the same n-gram
     set; n_links: other documents at the threshold or above, copies included; n_text_links: linked classes.
     """
+    return _joined(docs, threshold, n, recall, rows).drop("node", "root")
+
+
+def _joined(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """``jaccard_join`` with node, the name of the row's n-gram set, and root, the least node of its group."""
     small_batches(docs.sparkSession)
     bands = banding(threshold, recall, rows)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -218,12 +224,13 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, reca
     degree = links.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     named = groups.join(classes.select("node", "rep"), "node")
     heads = named.groupBy("root").agg(F.min("rep").alias("head"))
-    linked = groups.join(heads, "root").join(degree, "node").select("node", "head", "texts", "docs")
+    linked = groups.join(heads, "root").join(degree, "node").select("node", "root", "head", "texts", "docs")
     info = classes.select("node", "copies", "rep").join(linked, "node", "left")
     out = each.select("doc_id", "node").join(info, "node")
     return out.select(
         "doc_id", F.coalesce("head", "rep").alias("class_id"), F.col("rep").alias("copy_id"),
         (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),
+        "node", F.coalesce("root", "node").alias("root"),
     )
 
 
@@ -235,17 +242,37 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"node": batch.column(0), "copies": batch.column(1), "bands": pa.array([r.tobytes() for r in flat], pa.binary())})
 
 
+def _named(docs: DataFrame, n: int) -> DataFrame:
+    """``docs`` with the names of their n-gram sets as _node."""
+    at = docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names = _set_names(*ngram_sets(*text_bytes(batch.column(at)), n))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], [*batch.schema.names, "_node"])
+
+    return docs.mapInArrow(mapped(run), T.StructType([*docs.schema.fields, T.StructField("_node", T.BinaryType())]))
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without near-duplicates: of each group the document of least doc_id stays, once.
 
-    Rows with a null id stay unless they are near one with an id.
+    Rows with a null id stay unless they are near one with an id. An id may name rows of different texts: each
+    row goes or stays by its own group.
     """
-    groups = materialize(jaccard_join(docs, **options), "groups")
-    drop = materialize(groups.filter((F.col("doc_id") != F.col("class_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "drop")
+    groups = materialize(_joined(docs, **options).select("doc_id", "class_id", "node", "root"), "groups")
+    some = F.col("doc_id").isNotNull()
+    drop = materialize(groups.filter((F.col("doc_id") != F.col("class_id")) & some).select("doc_id").distinct(), "drop")
     # up to the bound, ids go to the documents; beyond, whole texts are shuffled to meet them
-    kept = docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_KEYS else drop, "doc_id", "left_anti")
-    again = materialize(groups.filter(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return kept
-    twice = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(twice)
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+    kept = docs.join(few(drop), "doc_id", "left_anti")
+    again = materialize(groups.filter(some).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    near = materialize(groups.filter(~some & F.col("class_id").isNotNull()).select(F.col("node").alias("_node")).distinct(), "near")
+    if not again.isEmpty():  # such an id doesn't tell which row is meant; its n-gram set does
+        first = groups.join(few(again), "doc_id", "left_semi").filter(F.col("doc_id") == F.col("class_id"))
+        first = materialize(first.groupBy("root", "doc_id").agg(F.min("node").alias("_node")).drop("root"), "first")
+        twice = _named(docs.join(few(again), "doc_id", "left_semi"), options.get("n", N)).join(few(first), ["doc_id", "_node"], "left_semi")
+        kept = kept.join(few(again), "doc_id", "left_anti").unionByName(twice.dropDuplicates(["doc_id", "_node"]).select(docs.columns))
+    if not near.isEmpty():
+        alone = _named(docs.filter(~some), options.get("n", N)).join(few(near), "_node", "left_anti")
+        kept = kept.filter(some).unionByName(alone.select(docs.columns))
+    return kept

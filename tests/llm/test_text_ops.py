@@ -89,6 +89,21 @@ def test_one_of_each(docs):
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [2, 4, 9]
 
 
+def test_one_of_each_goes_by_rows(docs):
+    """Repeated ids with different texts, and null ids near a row with an id."""
+    r = random.Random(4)
+    base, other = ([f"{c}{i}" for i in range(100)] for c in "xy")
+    x, y, near_x, near_y = " ".join(base), " ".join(other), edited(r, base, 1), edited(r, other, 1)
+    alone = ["alone in a group of its own", "another one far from all others", "and of no id but near none"]
+    rows = [(1, x), (7, near_x), (7, alone[0]), (7, alone[0].upper()), (3, y), (3, alone[1]), (4, near_y), (None, near_x), (None, y), (None, alone[2]), (8, near_y), (8, near_x)]
+    d = docs(rows)
+    got = ngramjoin.one_of_each(d)
+    assert got.columns == d.columns
+    assert sorted(((r.doc_id, (r.text or "").lower()) for r in got.collect()), key=repr) == sorted([(1, x), (7, alone[0]), (3, y), (3, alone[1]), (None, alone[2])], key=repr)
+    two = [(r.doc_id, r.text) for r in ngramjoin.one_of_each(docs([(2, x), (2, near_x), (2, alone[0]), (5, near_x), (5, alone[0])])).collect()]
+    assert len(two) == 2 and {i for i, _ in two} == {2} and (2, alone[0]) in two
+
+
 def test_bands_reach_the_recall():
     for t, recall, rows in ((0.8, 0.999, 5), (0.5, 0.95, 3), (0.9, 0.99, 8)):
         b = ngramjoin.banding(t, recall, rows)
