@@ -1,11 +1,12 @@
 """URL verdicts: stated rules first, else a path-template tree of each host.
 
 A path's segments that vary (any with a digit, or very long) become wildcards, which leaves few shapes; the
-pages are summed by (host, shape) before anything else. Level by level, a node's branches of little support and
-without labels become one wildcard branch. Branches of a node, however many, whose shares of bad labels don't
-differ significantly are merged: those of equal counts are one bin, and bins are compared in order of their
-shares, so that a task holds a node's distinct counts, not its branches. A template, the path of merged branches down
-to a leaf, is rejected if its smoothed purity - bad labels plus ``BAD_PRIOR``, over all labels plus both priors -
+pages are summed by (host, shape) before anything else. Level by level, as deep as a node has several shapes,
+some support and labels (else its shapes are its templates), a node's branches of little support and without
+labels become one wildcard branch. Branches of a node, however many, whose shares of bad labels don't differ
+significantly are merged: those of equal counts are one bin, and bins are compared in order of their shares, so
+that a task holds a node's distinct counts, not its branches. A template, the path of merged branches down to a
+leaf, is rejected if its smoothed purity - bad labels plus ``BAD_PRIOR``, over all labels plus both priors -
 reaches ``REJECT``; templates without labels stay.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is a template of its own;
@@ -16,6 +17,7 @@ give no rows; further columns pass through, save those named like a result's.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,12 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-DEPTH = 6
 SUPPORT = 2
 #: Merged branches are named by all their segments up to this many; beyond, by the least one and their number.
 NAMED = 32
 BAD_PRIOR, GOOD_PRIOR = 1.0, 3.0
 REJECT = 0.6
+#: Tables of finished templates are written as one when there are so many.
+PARTS = 16
 #: Two branches are alike up to this many standard errors between their shares.
 ALIKE = 1.96
 #: Templates are broadcast up to this many (some 100 bytes each); beyond, they are joined by shuffle.
@@ -55,10 +58,9 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
 
 
 def shape(path: Column) -> Column:
-    """Segments, the variable ones as ``*``; the rest beyond DEPTH as one ``**``."""
+    """Segments, the variable ones as ``*``."""
     s = F.filter(F.split(path, "/"), lambda x: x != "")
-    s = F.transform(s, lambda x: F.when(x.rlike(r"[0-9]") | (F.length(x) > 40), F.lit("*")).otherwise(x))
-    return F.when(F.size(s) > DEPTH, F.concat(F.slice(s, 1, DEPTH - 1), F.array(F.lit("**")))).otherwise(s)
+    return F.transform(s, lambda x: F.when(x.rlike(r"[0-9]") | (F.length(x) > 40), F.lit("*")).otherwise(x))
 
 
 def _merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -98,19 +100,27 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, shape, template, purity, rejected) of pages (host, path, label); label 1 is bad, 0 good, null unknown."""
     one = pages.select("host", shape(F.col("path")).alias("shape"), "label").groupBy("host", "shape").agg(
         F.count(F.lit(1)).alias("n"), F.count("label").alias("labels"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("bad"))
-    at = materialize(one.withColumn("prefix", F.lit("")), "shapes")
-    for level in range(1, DEPTH + 1):
-        at = at.withColumn("seg", F.get("shape", F.lit(level - 1)))
-        if at.filter(F.col("seg").isNotNull()).isEmpty():
-            at = at.drop("seg")
+    at, done, level = materialize(one.withColumn("prefix", F.lit("")), "shapes"), [], 0
+    while True:
+        level += 1
+        deeper = F.size("shape") >= level
+        nodes = at.filter(deeper).groupBy("host", "prefix").agg((F.count(F.lit(1)) > 1).alias("many"), F.sum("n").alias("pages"), F.sum("labels").alias("known"))
+        nodes = nodes.filter(F.col("many") & (F.col("pages") >= SUPPORT) & (F.col("known") > 0)).select("host", "prefix", F.lit(True).alias("open"))
+        at = materialize(at.join(nodes, ["host", "prefix"], "left").withColumn("open", deeper & F.col("open").isNotNull()), "level")
+        tail = F.array_join(F.slice("shape", F.lit(level), F.greatest(F.size("shape") - (level - 1), F.lit(0))), "/")
+        done.append(at.filter(~F.col("open")).withColumn("prefix", F.when(deeper, F.concat("prefix", F.lit("/"), tail)).otherwise(F.col("prefix"))).drop("open"))
+        if len(done) == PARTS:
+            done = [materialize(reduce(DataFrame.unionByName, done), "done")]
+        at = at.filter("open").drop("open").withColumn("seg", F.get("shape", F.lit(level - 1)))
+        if at.isEmpty():
             break
-        sums = at.filter(F.col("seg").isNotNull()).groupBy("host", "prefix", "seg").agg(F.sum("n").alias("n"), F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
+        sums = at.groupBy("host", "prefix", "seg").agg(F.sum("n").alias("n"), F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
         apart = (F.col("n") >= SUPPORT) | (F.col("labels") > 0)
         sums = materialize(sums.withColumn("as", F.when(apart, F.col("seg")).otherwise(F.lit("*"))), "sums")
         names = _names(sums.groupBy("host", "prefix", F.col("as").alias("seg")).agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad")))
         names = sums.select("host", "prefix", "seg", "as").join(names.withColumnRenamed("seg", "as"), ["host", "prefix", "as"]).drop("as")
-        at = at.join(names, ["host", "prefix", "seg"], "left")
-        at = materialize(at.withColumn("prefix", F.when(F.col("branch").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), "branch"))).drop("seg", "branch"), "level")
+        at = materialize(at.join(names, ["host", "prefix", "seg"]).withColumn("prefix", F.concat("prefix", F.lit("/"), "branch")).drop("seg", "branch"), "level")
+    at = reduce(DataFrame.unionByName, done)
     total = at.groupBy("host", F.col("prefix").alias("template")).agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
     purity = (F.col("bad") + BAD_PRIOR) / (F.col("labels") + BAD_PRIOR + GOOD_PRIOR)
     judged = total.select("host", "template", purity.alias("purity"), (purity >= REJECT).alias("rejected"))

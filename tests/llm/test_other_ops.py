@@ -346,3 +346,11 @@ def test_the_url_query_has_no_list_of_hosts(spark, tmp_path):
     spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = op8_url_rules(spark, str(tmp_path)).collect()
     assert len(got) == len(urls) and all(r.verdict == ("block" if r.rule == "net/es/" else "allow") for r in got)
+
+
+@pytest.mark.parametrize("depth", [5, 7, 20])
+def test_deep_sections_have_their_own_verdicts(spark, depth):
+    top = "/".join("s" + chr(97 + i) for i in range(depth))
+    pages = spark.createDataFrame([(f"/{top}/{kind}/{i}", bad) for kind, bad in (("good", 0), ("bad", 1), ("new", None)) for i in range(20)], "path string, label int")
+    got = {r.shape[depth]: r.rejected for r in urlfilter.templates(pages.withColumn("host", F.lit("h"))).collect()}
+    assert got == {"good": False, "bad": True, "new": False}
