@@ -10,7 +10,7 @@ kind        accepted                                            permuted
 card        13-19 digits, also in groups; Luhn                  all digits but the last, which checks again
 iban        country, 2 check digits, 11-30 more; modulo 97      letters and digits of the account; checks
 ssn         3-2-4 digits of issuable ranges                     within the issuable ranges
-phone       +country or (area), 8-15 digits                     all but the country's digits
+phone       +country, (area) or US, 8-15 digits                 all but the country's digits
 ipv4        four octets, none above 255                         within unicast (or within the rest)
 date        1900 to 2099, of the calendar; y-m-d, d.m.y, d/m/y  days of these years, in the same layout
 email       address                                             letters and digits of the local part
@@ -41,13 +41,13 @@ FIRST_DAY, DAYS = dt.date(1900, 1, 1), (dt.date(2100, 1, 1) - dt.date(1900, 1, 1
 #: In the order of preference where two would begin at one place.
 NUMBERS = re.compile(
     r"(?<![\w.+])(?:"
-    r"(?P<date>\d{4}-\d\d-\d\d|\d\d?\.\d\d?\.\d{4}|\d\d?/\d\d?/\d{4})(?![\w-])(?!\.\d)"
+    r"(?P<date>\d{4}-\d\d-\d\d(?=[Tt]\d\d)|(?:\d{4}-\d\d-\d\d|\d\d?\.\d\d?\.\d{4}|\d\d?/\d\d?/\d{4})(?![\w-])(?!\.\d))"
     r"|(?P<ipv4>\d{1,3}(?:\.\d{1,3}){3})(?!\w)(?!\.\d)"
     r"|(?P<ssn>\d{3}-\d\d-\d{4})(?![\w-])"
     r"|(?P<card>\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}|\d{4}(?P<sep2>[ -])\d{6}(?P=sep2)\d{5})(?!\w)(?!-\d)"
     r"|(?P<iban>[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)(?!\w)"
     r")"
-    r"|(?<![\w+])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4})(?!\w)(?!-\d)"
+    r"|(?<![\w+])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|1?\(\d{3}\) ?\d{3}[ .-]\d{4}|(?<![\d.-])(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)(?!-\d)"
 )
 EMAIL = re.compile(r"(?<![\w.%+-])([A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_])?)(@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})(?![\w-])")
 
@@ -144,7 +144,7 @@ class Pseudonyms:
         return _fill(t, f"{self._permute(x, 10**9, 'ssn', ok):09d}") if ok(x) else None
 
     def phone(self, t: str) -> str | None:
-        head = re.match(r"\+\d{1,3}(?=\D)|\+\d|", t)[0]
+        head = re.match(r"\+\d{1,3}(?=\D)|\+\d|1(?=\D)|", t)[0]
         rest = t[len(head) :]
         d = re.sub(r"\D", "", rest)
         if not 7 <= len(d) <= 14:

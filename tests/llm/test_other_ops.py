@@ -354,3 +354,13 @@ def test_deep_sections_have_their_own_verdicts(spark, depth):
     pages = spark.createDataFrame([(f"/{top}/{kind}/{i}", bad) for kind, bad in (("good", 0), ("bad", 1), ("new", None)) for i in range(20)], "path string, label int")
     got = {r.shape[depth]: r.rejected for r in urlfilter.templates(pages.withColumn("host", F.lit("h"))).collect()}
     assert got == {"good": False, "bad": True, "new": False}
+
+
+@pytest.mark.parametrize("kind,value,stays", [("date", "2024-05-17T12:00:00Z", r".{10}(T12:00:00Z)"), ("date", "2024-05-17T12:00:00.123+02:00", r".{10}(T12:00:00\.123\+02:00)"), ("phone", "555 123 4567", "()"), ("phone", "1-555-123-4567", "(1-).*"), ("phone", "1 555 123 4567", "(1 ).*"), ("phone", "1.555.123.4567", r"(1\.).*"), ("phone", "1(555) 123-4567", r"(1\().*")])
+def test_timestamps_and_us_numbers(kind, value, stays):
+    text = f"On {value}, or ({value})"
+    new, count = pii.Pseudonyms(KEY)(text)
+    one = pii.Pseudonyms(KEY)(value)[0]
+    assert count[kind] == 2 == sum(count.values()) and value not in new and new == text.replace(value, one)
+    assert stays == "()" or re.fullmatch(stays, one)[1] == re.fullmatch(stays, value)[1]
+    assert re.sub(r"\d", "0", one) == re.sub(r"\d", "0", value) and pii.Pseudonyms(KEY, back=True)(new)[0] == text
