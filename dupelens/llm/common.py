@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,15 +18,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 S33 = np.uint64(33)
+FMIX_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local temporary one only where that is unset."""
+    """A new folder below ``spark.checkpoint.dir``; a local temporary one only where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _own[:] = _own or [tempfile.mkdtemp(prefix="dupelens-")]
         base = _own[0]
     if "://" not in base and not base.startswith("file:"):
@@ -50,6 +56,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> int:
+    """Partitions for a shuffle of whole rows: one for each split of what ``df`` reads, at least those the session asks for."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 60)  # rows made by the driver have no size
+    splits = -(-known // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return max(1, splits, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI; works for every store pyarrow knows."""
     from pyarrow import fs
@@ -88,10 +104,11 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def mapped(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text", limit: int = 1 << 20):
-    """A function for mapInArrow that calls ``fn`` on slices of bounded text size."""
+def mapped(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], owner: str, column: str = "text", limit: int = 1 << 20):
+    """A function for mapInArrow that calls ``fn`` on slices of bounded text size; ``owner`` names the operator (see ``Held``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Held.begin(owner)
         for batch in batches:
             for part in slices(batch, column, limit):
                 out = fn(part)
@@ -132,32 +149,64 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Spans over this many bytes are hashed by BLAKE2b, one at a time.
+LANE_BYTES = 256
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=object).astype(np.uint64)
+
+
+def _lanes(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of ``buf`` on as a number; the last 8 bytes are no more than room."""
+    return np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
+
+
+def _roomy(buf: np.ndarray) -> np.ndarray:
+    """``buf`` and 8 zeros."""
+    out = np.zeros(len(buf) + 8, np.uint8)
+    out[: len(buf)] = buf
+    return out
+
+
 class SpanHash:
-    """Hashes of many byte spans of one buffer at once.
+    """64-bit hashes of many byte spans of one buffer at once; ``seed`` picks independent functions.
 
-    A span's hash is a polynomial over random values of its bytes, modulo 2^64, from two prefix sums;
-    ``seed`` picks independent functions.
+    The hash starts from the span's length and takes in 8 bytes a step by exclusive or and ``fmix``, a bijection:
+    spans of one length that differ within one step never meet, others do by chance, about once in 2^64. Long
+    spans are hashed by keyed BLAKE2b. Where a meeting would matter, bytes are compared (``Pool``) or longer
+    digests are used.
     """
 
     def __init__(self, seed: int) -> None:
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = np.uint64(int(rng.integers(1, 2**61)) * 8 + 5)
-        self.inverse = np.uint64(pow(int(self.base), -1, 2**64))
-        self._pow = self._inv = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._pow) < n:
-            n = max(n, 1 << 16)
-            self._pow = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.base, np.uint64)]), dtype=np.uint64)
-            self._inv = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.inverse, np.uint64)]), dtype=np.uint64)
-        return self._pow, self._inv
+        self.seed = np.uint64(int(np.random.default_rng(seed).integers(1, 2**63)))
+        self.key = int(self.seed).to_bytes(8, "little")
 
     def spans(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        pw, inv = self._powers(len(buf) + 1)
-        acc = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(self.table[buf] * pw[: len(buf)], dtype=np.uint64, out=acc[1:])
-        return fmix((acc[end] - acc[start]) * inv[start] + (end - start).astype(np.uint64))
+        n = (end - start).astype(np.int64)
+        h = fmix(n.astype(np.uint64) * FMIX_STEP + self.seed)
+        lanes = _lanes(_roomy(buf))
+        live = np.flatnonzero((n > 0) & (n <= LANE_BYTES))
+        at, left = start[live], n[live]
+        while len(live):
+            h[live] = fmix(h[live] ^ (lanes[at] & _LANE[np.minimum(left, 8)]))
+            more = left > 8
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(n > LANE_BYTES):
+            h[i] = int.from_bytes(hashlib.blake2b(memoryview(buf)[start[i] : end[i]], digest_size=8, key=self.key).digest(), "little")
+        return h
+
+
+def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether ``n`` bytes of ``a`` from each of ``a_start`` are those of ``b``, 8 bytes longer than its last span, from ``b_start``."""
+    out = np.ones(len(n), bool)
+    x, y = _lanes(_roomy(a)), _lanes(b)
+    live = np.flatnonzero((n > 0) & (n <= LANE_BYTES))
+    done = 0
+    while len(live):
+        out[live] = (x[a_start[live] + done] ^ y[b_start[live] + done]) & _LANE[np.minimum(n[live] - done, 8)] == 0
+        done += 8
+        live = live[out[live] & (n[live] > done)]
+    for i in np.flatnonzero(n > LANE_BYTES):
+        out[i] = np.array_equal(a[a_start[i] : a_start[i] + n[i]], b[b_start[i] : b_start[i] + n[i]])
+    return out
 
 
 WORDS = SpanHash(101)
@@ -186,20 +235,27 @@ def word_hashes(buf: np.ndarray, off: np.ndarray, outside: np.ndarray = SPACE) -
 
 
 class Pool:
-    """Values of pieces of text, remembered by the piece's hash: variable-length rows in flat arrays.
+    """Values of pieces of text, remembered by the piece: variable-length rows in flat arrays.
 
-    The index is an open-addressing table in numpy, probed for all pieces of a batch at once.
+    The index is an open-addressing table of hashes in numpy, probed for all pieces of a batch at once. A row
+    counts only if its piece has the same bytes; pieces of equal hash beside the first are kept in ``odd``.
     """
 
     def __init__(self, kinds: tuple[str, ...]) -> None:
-        self.kinds, self.n = kinds, 0
-        self.keys, self.at = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
-        self.flat = [np.zeros(1 << 16, k) for k in kinds]
-        self.end = [np.zeros(1 << 14, np.int64) for _ in kinds]  # end[i + 1]: where row i ends
+        self.kinds, self.n = ("u1", *kinds), 0  # the first kind is the piece itself
+        self.keys, self.at = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int32)
+        self.flat = [np.zeros(1 << 12, k) for k in self.kinds]
+        self.end = [np.zeros(1 << 10, np.int64) for _ in self.kinds]  # end[k][i + 1]: where row i ends
+        self.used = np.zeros(1 << 10, bool)  # rows asked for again
+        self.odd: dict[bytes, int] = {}
 
     def __len__(self) -> int:
         return self.n
 
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for a in (self.keys, self.at, self.used, *self.flat, *self.end))
+
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         mask = np.uint64(len(self.keys) - 1)
         out = np.full(len(hashes), -1, np.int64)
@@ -224,35 +280,99 @@ class Pool:
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
-        return a if len(a) >= n else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+        return a if len(a) >= n else np.concatenate([a, np.zeros(max(n, len(a) + len(a) // 2) - len(a), a.dtype)])
 
-    def add(self, hashes: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """``rows``: for each kind the flat values and the lengths, in the order of the distinct new ``hashes``."""
+    def add(self, hashes: np.ndarray, pieces: tuple[np.ndarray, np.ndarray], *values: tuple[np.ndarray, np.ndarray]) -> None:
+        """Rows of new pieces of distinct ``hashes``: flat bytes and lengths of the pieces and, for each kind, of the values."""
         n, m = self.n, len(hashes)
-        for k, (values, lengths) in enumerate(rows):
+        hashes = np.maximum(hashes, np.uint64(1))
+        for k, (flat, lengths) in enumerate((pieces, *values)):
             self.end[k] = self._room(self.end[k], n + m + 1)
             used = int(self.end[k][n])
             self.end[k][n + 1 : n + m + 1] = used + np.cumsum(lengths)
-            self.flat[k] = self._room(self.flat[k], used + len(values))
-            self.flat[k][used : used + len(values)] = values
+            self.flat[k] = self._room(self.flat[k], used + len(flat) + 8)
+            self.flat[k][used : used + len(flat)] = flat
+        self.used = self._room(self.used, n + m)
         self.n += m
+        rows = np.arange(n, n + m, dtype=np.int32)
+        odd = self._find(hashes) >= 0
+        for i in rows[odd].tolist():
+            self.odd[self.piece(i)] = i
         if 2 * self.n > len(self.keys):
             old = np.flatnonzero(self.keys)
             keys, at = self.keys[old], self.at[old]
-            size = 1 << int(4 * self.n).bit_length()
+            size = 1 << int(3 * self.n).bit_length()
             self.keys, self.at = np.zeros(size, np.uint64), np.zeros(size, np.int32)
             self._insert(keys, at)
-        self._insert(np.maximum(hashes, np.uint64(1)), np.arange(n, n + m, dtype=np.int32))
+        self._insert(hashes[~odd], rows[~odd])
+
+    def piece(self, row: int) -> bytes:
+        return self.flat[0][self.end[0][row] : self.end[0][row + 1]].tobytes()
+
+    def rows(self, hashes: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray, again: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each span of ``buf`` or -1, places of the first of each missing hash).
 
-    def rows(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row of each hash or -1, places of the first of each missing hash)."""
+        After adding what was missing, ask once more (not ``again``) until nothing is: two new pieces may share a hash.
+        """
         found = self._find(np.maximum(hashes, np.uint64(1)))
+        some = np.flatnonzero(found >= 0)
+        row, n = found[some], (end - start)[some]
+        own = self.end[0][row]
+        fits = self.end[0][row + 1] - own == n
+        fits[fits] = same_bytes(buf, start[some[fits]], self.flat[0], own[fits], n[fits])
+        for i in some[~fits].tolist():
+            found[i] = self.odd.get(buf[start[i] : end[i]].tobytes(), -1)
+        if again:
+            self.used[found[found >= 0]] = True
         lost = np.flatnonzero(found < 0)
         return found, lost[np.unique(hashes[lost], return_index=True)[1]] if len(lost) else lost
 
     def gather(self, kind: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(values of all rows one after another, where each row's values begin and the end)."""
+        """(values of all rows one after another, where each row's values begin and the end); kind 0 is the piece."""
         start, stop = self.end[kind][rows], self.end[kind][rows + 1]
-        off = np.concatenate([[0], np.cumsum(stop - start)])
-        at = np.arange(off[-1]) + np.repeat(start - off[:-1], stop - start)
-        return self.flat[kind][at], off
+        return self.flat[kind][runs(start, stop - start)], np.concatenate([[0], np.cumsum(stop - start)])
+
+    def only(self, rows: np.ndarray, hash_: SpanHash) -> Pool:
+        """A pool of these rows."""
+        out = Pool(self.kinds[1:])
+        flat, off = self.gather(0, rows)
+        hashes = hash_.spans(flat, off[:-1], off[1:])
+        first = np.unique(hashes, return_index=True)[1]  # of pieces of equal hash, one
+        kept = [self.gather(k, rows[first]) for k in range(len(self.kinds))]
+        out.add(hashes[first], *[(values, np.diff(cut)) for values, cut in kept])
+        return out
+
+
+def runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Numbers from each of ``start`` on, ``n`` of each, one run after another."""
+    end = np.cumsum(n)
+    return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(start - (end - n), n)
+
+
+class Held:
+    """What a worker keeps between tasks for one operator: made when first asked for, given up when another operator's task begins."""
+
+    owner: str = ""
+    kept: dict[tuple, object] = {}
+
+    @classmethod
+    def get(cls, owner: str, key: object, make: Callable[[], object], only: bool = False) -> object:
+        """``only``: other things of this owner are given up."""
+        cls.begin(owner)
+        if (owner, key) not in cls.kept:
+            if only:
+                cls.kept = {}
+            cls.kept[owner, key] = make()
+        return cls.kept[owner, key]
+
+    @classmethod
+    def begin(cls, owner: str) -> None:
+        if cls.owner != owner:
+            dropped, cls.kept, cls.owner = cls.kept, {}, owner
+            for x in dropped.values():
+                if close := getattr(x, "close", None):
+                    close()
+            if dropped:
+                del dropped
+                gc.collect()
+                release()

@@ -3,12 +3,12 @@
 A line's key is the line without white space at its ends, A to Z lower-cased. Keys of at least ``min_chars``
 code points in at least ``min_docs`` documents lose all their lines but those in the largest doc_id.
 
-1. Tasks hash each document's distinct keys to 128 bits (vectorised, no strings leave the task); Spark counts
+1. Tasks digest each document's distinct keys to 128 bits of BLAKE2b (no strings leave the task); Spark counts
    documents and keeps the largest id by key, with map-side sums, so that a line in a third of all documents
-   is a few rows for the one who adds them up.
+   is a few rows for the one who adds them up. No two lines are known to share such a digest.
 2. The keys that repeat go into shards by their leading bits. Each shard is a file in the shared folder: a
    layered bit-array minimal perfect hash, and at its ranks arrays of fingerprints (the other 64 bits), counts
-   and keepers. A key that is not in the index hits a foreign fingerprint with probability 2^-64.
+   and keepers. A key that is not in the index hits a foreign fingerprint once in 2^64, as digests are as good as random.
 3. Documents probe the arrays; nothing is joined by line. A worker holds shards up to ``CACHE_BYTES`` and reads
    others as a slice of texts needs them, so memory stays bounded however many lines repeat.
 
@@ -23,26 +23,26 @@ from __future__ import annotations
 import hashlib
 import io
 from collections import OrderedDict
+from itertools import starmap
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE, SpanHash, filesystem, fmix, mapped, materialize, shared_dir, small_batches, text_bytes
+from .common import LOWER, SPACE, Held, filesystem, fmix, mapped, materialize, shared_dir, small_batches, text_bytes
 
 #: Keys a shard, about; 20 MB of arrays.
 SHARD_KEYS = 1_000_000
-CACHE_BYTES = 256 << 20
-FIRST, SECOND = SpanHash(911), SpanHash(912)
-NO_ID = -(2**63)
+CACHE_BYTES = 128 << 20
 LAYERS, GAMMA = 24, 2.0
 
 
 def line_keys(buf: np.ndarray, off: np.ndarray, min_chars: int):
-    """(start, end, first line of each row and the end, two hashes of the key, whether it is long enough)."""
+    """(start, end, first line of each row and the end, the lines whose key is long enough, halves of their keys' digests)."""
     n = len(buf)
     ends = np.concatenate([np.flatnonzero(buf == 10), off[1:]])
     ends.sort(kind="stable")
@@ -58,8 +58,11 @@ def line_keys(buf: np.ndarray, off: np.ndarray, min_chars: int):
     a[some] = where[solid[start[some]]]
     b[some] = where[solid[ends[some]] - 1] + 1
     chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)]).astype(np.int64)
-    low = LOWER[buf]
-    return start, ends, rows, FIRST.spans(low, a, b), SECOND.spans(low, a, b), chars[b] - chars[a] >= min_chars
+    long = np.flatnonzero(chars[b] - chars[a] >= min_chars)
+    low = LOWER[buf].tobytes()
+    digests = b"".join(starmap(lambda i, j: hashlib.blake2b(low[i:j], digest_size=16).digest(), zip(a[long].tolist(), b[long].tolist(), strict=True)))
+    halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    return start, ends, rows, long, halves[:, 0].copy(), halves[:, 1].copy()
 
 
 def _row_ends(buf: np.ndarray, off: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -159,25 +162,28 @@ class Shard:
         return ok, keeper
 
 
-_shards: OrderedDict[str, Shard] = OrderedDict()
+class Shards:
+    """A folder's shards, held while all held ones stay below ``limit``; those without frequent keys have no file."""
 
+    def __init__(self, folder: str, limit: int) -> None:
+        self.fs, self.path = filesystem(folder)
+        self.limit, self.held, self.absent = limit, OrderedDict(), set()
 
-def _shard(path: str) -> Shard:
-    """A shard, kept in this worker while all kept ones stay below CACHE_BYTES."""
-    if path in _shards:
-        _shards.move_to_end(path)
-        return _shards[path]
-    fs, p = filesystem(path)
-    with fs.open_input_file(p) as f:
-        found = Shard(f.read())
-    _shards[path] = found
-    while len(_shards) > 1 and sum(s.bytes for s in _shards.values()) > CACHE_BYTES:
-        _shards.popitem(last=False)
-    return found
-
-
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+    def get(self, number: int) -> Shard | None:
+        if number in self.absent:
+            return None
+        if number in self.held:
+            self.held.move_to_end(number)
+            return self.held[number]
+        path = f"{self.path}/{number}.npz"
+        if self.fs.get_file_info(path).type != pafs.FileType.File:
+            self.absent.add(number)
+            return None
+        with self.fs.open_input_file(path) as f:
+            found = self.held[number] = Shard(f.read())
+        while len(self.held) > 1 and sum(s.bytes for s in self.held.values()) > self.limit:
+            self.held.popitem(last=False)
+        return found
 
 
 def build_index(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[str, int]:
@@ -186,18 +192,18 @@ def build_index(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[str, in
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         buf, off = text_bytes(batch.column(batch.schema.get_field_index("text")))
-        _, _, rows, h1, h2, ok = line_keys(buf, off, min_chars)
-        row = np.repeat(np.arange(len(off) - 1), np.diff(rows))[ok]
-        h1, h2, ids = h1[ok], h2[ok], _ids(batch)[row]
+        _, _, rows, long, h1, h2 = line_keys(buf, off, min_chars)
+        row = np.searchsorted(rows, long, side="right") - 1
         order = np.lexsort((h2, h1, row))
-        h1, h2, ids, row = h1[order], h2[order], ids[order], row[order]
+        h1, h2, row = h1[order], h2[order], row[order]
         new = np.ones(len(h1), bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (row[1:] != row[:-1])
-        return pa.record_batch({"h1": h1[new].view(np.int64), "h2": h2[new].view(np.int64), "doc_id": ids[new]})
+        ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
+        return pa.record_batch({"h1": h1[new].view(np.int64), "h2": h2[new].view(np.int64), "doc_id": ids.take(pa.array(row[new]))})
 
-    lines = docs.select("doc_id", "text").mapInArrow(mapped(keys), "h1 long, h2 long, doc_id long")
+    lines = docs.select("doc_id", "text").mapInArrow(mapped(keys, "lines"), "h1 long, h2 long, doc_id long")
     lines = lines.distinct()  # repeated rows of one id
-    frequent = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
+    frequent = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter((F.col("n") >= min_docs) & F.col("keeper").isNotNull())  # a null id alone keeps its lines
     frequent = materialize(frequent, "frequent")
     n = frequent.count()
     bits = max(0, int(np.ceil(np.log2(max(1, n / SHARD_KEYS)))))
@@ -216,8 +222,8 @@ def build_index(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[str, in
         return pd.DataFrame({"shard": [shard], "keys": [len(pdf)]})
 
     by = frequent.withColumn("shard", F.shiftrightunsigned("h1", 64 - bits).cast("long") if bits else F.lit(0).cast("long"))
-    written = by.groupBy("shard").applyInPandas(write, "shard long, keys long").collect()  # a row for each shard
-    return (folder, bits) if written else ("", bits)
+    by.groupBy("shard").applyInPandas(write, "shard long, keys long").agg(F.sum("keys")).first()
+    return (folder, bits) if n else ("", bits)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep_text: bool = True, digest: bool = False) -> DataFrame:
@@ -227,24 +233,25 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep_te
     cols = [f for f in docs.schema.fields if keep_text or f.name == "doc_id"]
     small_batches(docs.sparkSession)
     folder, bits = build_index(docs, min_chars, min_docs)
+    limit = CACHE_BYTES
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         buf, off = text_bytes(batch.column(batch.schema.get_field_index("text")))
-        start, end, rows, h1, h2, ok = line_keys(buf, off, min_chars)
+        start, end, rows, at, h1, h2 = line_keys(buf, off, min_chars)
         row = np.repeat(np.arange(len(off) - 1), np.diff(rows))
         drop = np.zeros(len(start), bool)
         if folder:
-            at = np.flatnonzero(ok)
-            shard = (h1[at] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(at), np.int64)
+            shards = Held.get("lines", folder, lambda: Shards(folder, limit), only=True)
+            shard = (h1 >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(at), np.int64)
             order = np.argsort(shard, kind="stable")
-            at, shard = at[order], shard[order]
-            ids = _ids(batch)
-            for piece in np.split(at, np.flatnonzero(np.diff(shard)) + 1) if len(at) else []:
-                k = int(h1[piece[0]] >> np.uint64(64 - bits)) if bits else 0
-                if not _exists(f"{folder}/{k}.npz"):
-                    continue
-                hit, keeper = _shard(f"{folder}/{k}.npz").probe(h1[piece], h2[piece])
-                drop[piece] = hit & (keeper != ids[row[piece]])
+            ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
+            null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+            for piece in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(at) else []:
+                found = shards.get(int(shard[piece[0]]))
+                if found is not None:
+                    hit, keeper = found.probe(h1[piece], h2[piece])
+                    of = row[at[piece]]
+                    drop[at[piece]] = hit & (null[of] | (keeper != ids[of]))
         texts, data = [], buf.tobytes()
         lost = np.add.reduceat(drop, rows[:-1]) if len(row) else np.zeros(0, np.int64)
         for r in range(len(off) - 1):
@@ -265,20 +272,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep_te
 
     schema = T.StructType([*cols, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), *([T.StructField("kept_sha256", T.StringType())] if digest else [])])
     need = docs if keep_text else docs.select("doc_id", "text")
-    return need.mapInArrow(mapped(run), schema)
-
-
-_known: dict[str, bool] = {}
-
-
-def _exists(path: str) -> bool:
-    """Whether a shard was written: shards without frequent keys have no file."""
-    if path not in _known:
-        from pyarrow import fs as pafs
+    return need.mapInArrow(mapped(run, "lines"), schema)
 
-        fs, p = filesystem(path)
-        _known[path] = fs.get_file_info(p).type == pafs.FileType.File
-        if len(_known) > 100_000:
-            _known.clear()
-            return _exists(path)
-    return _known[path]

@@ -253,4 +253,4 @@ def measure(media: DataFrame) -> DataFrame:
                 out[k].append(v)
         return pa.record_batch({"doc_id": batch.column(0), "n_bytes": batch.column(1)} | out)
 
-    return media.mapInArrow(mapped(run, "media"), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(mapped(run, "media", "media"), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

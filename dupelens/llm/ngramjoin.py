@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
         return pa.record_batch({"doc_id": batch.column(0), "key": batch.column(2), "node": pa.array(_set_names(sets, cut), pa.binary()), "size": np.diff(cut)} | {f"b{b}": found[b] for b in range(bands)})
 
     fields = "key long, node binary, size long, " + ", ".join(f"b{b} long" for b in range(bands))
-    return docs.mapInArrow(mapped(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {fields}")
+    return docs.mapInArrow(mapped(run, "ngrams"), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {fields}")
 
 
 def _counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -214,7 +214,7 @@ def _joined(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
         sets, cut = ngram_sets(*text_bytes(batch.column(0)), n)
         return pa.record_batch({"node": pa.array(_set_names(sets, cut), pa.binary()), "set": pa.array([sets[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
-    sets = keyed.join(keys, "key", "left_semi").select("text").mapInArrow(mapped(full), "node binary, set binary")
+    sets = keyed.join(keys, "key", "left_semi").select("text").mapInArrow(mapped(full, "ngrams"), "node binary, set binary")
     packed = needed.select("node", "copies", F.array(*[F.col(f"b{b}") for b in range(bands)]).alias("bands"))
     packed = packed.mapInArrow(_pack, "node binary, copies long, bands binary")
     whole = at.join(sets.join(packed, "node"), "node")
@@ -250,7 +250,7 @@ def _named(docs: DataFrame, n: int) -> DataFrame:
         names = _set_names(*ngram_sets(*text_bytes(batch.column(at)), n))
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], [*batch.schema.names, "_node"])
 
-    return docs.mapInArrow(mapped(run), T.StructType([*docs.schema.fields, T.StructField("_node", T.BinaryType())]))
+    return docs.mapInArrow(mapped(run, "ngrams"), T.StructType([*docs.schema.fields, T.StructField("_node", T.BinaryType())]))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

@@ -251,4 +251,4 @@ def pseudonymize(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
         return pa.record_batch(out)
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in own[:-1]), T.StructField("text_sha256", T.StringType())])
-    return docs.mapInArrow(mapped(run), schema)
+    return docs.mapInArrow(mapped(run, "pii"), schema)

@@ -16,6 +16,7 @@ columns pass through, save those named score or predicted.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fmix, mapped, release, small_batches, text_bytes, word_hashes
+from .common import Held, fmix, mapped, release, small_batches, text_bytes, word_hashes
 
 DIMENSIONS = 1 << 22
 SAMPLE = 24_000
@@ -101,7 +102,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         release()
 
     fields = T.StructType([docs.schema["doc_id"], T.StructField("toxic", T.IntegerType()), T.StructField("features", T.BinaryType())])
-    found = rows.mapInArrow(mapped(featured), fields).coalesce(1).mapInArrow(fit, "at long, w double")
+    # features of at most `sample` documents cross to the one task that learns; scan, join and hashing stay spread
+    found = rows.mapInArrow(mapped(featured, "toxicity"), fields).coalesce(1).mapInArrow(fit, "at long, w double")
     got = found.toArrow()
     return got["at"].to_numpy(), got["w"].to_numpy()
 
@@ -111,25 +113,27 @@ def score(docs: DataFrame, at: np.ndarray, w: np.ndarray, threshold: float = THR
     docs = docs.drop("score", "predicted")
     bias = float(w[at == DIMENSIONS].sum()) if len(at) else float(np.log(0.5 * PRIOR / (1 - 0.5 * PRIOR)))
     sent = docs.sparkSession.sparkContext.broadcast((at[at < DIMENSIONS], w[at < DIMENSIONS]))
-    state: dict[str, np.ndarray] = {}
+    name = uuid.uuid4().hex
+
+    def table() -> np.ndarray:
+        out = np.zeros(DIMENSIONS, np.float32)
+        out[sent.value[0]] = sent.value[1]
+        return out
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not state:
-            where, weight = sent.value
-            state["w"] = np.zeros(DIMENSIONS, np.float32)
-            state["w"][where] = weight
+        weight = Held.get("toxicity", name, table, only=True)
         buf, off = text_bytes(batch.column(batch.schema.get_field_index("text")))
         row, found = features(buf, off)
-        some = np.flatnonzero(state["w"][found])
+        some = np.flatnonzero(weight[found])
         pairs = np.unique(row[some] * DIMENSIONS + found[some])
-        total = np.bincount(pairs // DIMENSIONS, state["w"][pairs % DIMENSIONS], minlength=len(off) - 1) + bias
+        total = np.bincount(pairs // DIMENSIONS, weight[pairs % DIMENSIONS], minlength=len(off) - 1) + bias
         p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
         out = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n in keep}
         return pa.record_batch(out | {"score": p, "predicted": (p >= threshold).astype(np.int32)})
 
     keep = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.mapInArrow(mapped(run), schema)
+    return docs.mapInArrow(mapped(run, "toxicity"), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -152,7 +152,7 @@ def test_many_shards_and_a_small_cache(docs, sorted_rows, monkeypatch):
     rows = [(i, "\n".join(f"repeated line number {k:05d}" for k in range(i % 7, 60))) for i in range(30)]
     assert sorted_rows(linededup.dedup_lines(docs(rows), keep_text=False, digest=True)) == lines_model(rows)
     monkeypatch.setattr(linededup, "CACHE_BYTES", 1)
-    linededup._shards.clear()
+    assert sorted_rows(linededup.dedup_lines(docs(rows), keep_text=False, digest=True)) == lines_model(rows)
     rng = np.random.default_rng(1)
     keys = rng.integers(1, 2**63, 3000, dtype=np.uint64)
     shard = linededup.Shard(linededup._shard_file(keys, keys + np.uint64(1), np.full(3000, 3), np.arange(3000)))
@@ -282,6 +282,7 @@ def token_model(rows):
 
 def test_token_files(odd, docs, spark, monkeypatch):
     monkeypatch.setattr(tokenfile, "FILE_IDS", 500)
+    monkeypatch.setattr(tokenfile, "READ_TASKS", 3)
     texts = ["don't I'LL he's", "é é ΑΣ ΣΑΣ", "a\x1cb \x85c\xa0d", "<|endoftext|> 12 3.5!!", "İx ǅ ª² ٣٤", "A\nB\tC  d", "word, word. 'word' (word)"] + ["mix %d of wörds and 7 numbers" % i for i in range(200)]
     rows = list(enumerate(texts))
     random.Random(1).shuffle(rows)
@@ -341,10 +342,11 @@ def test_bpe_takes_odd_rows_and_decodes(odd, sorted_rows, library):
     assert encoded(odd.limit(0)).count() == 0
 
 
-def test_long_words_in_one_step_or_many(library):
+def test_long_words_by_windows(monkeypatch):
     b = bpe.worker(vocabulary(BYTE_VOCABULARY), public_tokenizers.PATTERN)
     r = random.Random(9)
-    words = ["".join(r.choice(s) for _ in range(n)) for s in ("ab", "abcdefghij", "the ing", "=-_") for n in (65, 130, 400)] + ["a" * 999]
+    words = ["".join(r.choice(s) for _ in range(n)) for s in ("ab", "abcdefghij", "the ing", "=-_", "aaaaaab", "中文字符") for n in (65, 130, 400)] + ["a" * 999, "=" * 777, "Ã" * 300, "=" * 100 + "a" * 100 + "the" * 90, "abc" * 150]
+    monkeypatch.setattr(bpe, "SECTION", 90)  # and by sections that don't meet
     ids, n = b.encode_words([w.encode() for w in words])
     cut = np.concatenate([[0], np.cumsum(n)])
     for i, w in enumerate(words):  # merges alone, as the words aren't cut
@@ -359,3 +361,68 @@ def merged(word, ranks):
             break
         parts[best : best + 2] = [parts[best] + parts[best + 1]]
     return [ranks[p] for p in parts]
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[i.bit_count() % 2] for i in range(n))
+
+
+def test_texts_that_polynomial_hashes_confuse(docs, spark, library, sorted_rows):
+    rows = []
+    for k, n in enumerate((512, 1024, 4096)):
+        one, other = thue_morse(n), thue_morse(n, "ba")
+        rows += [(20 * k + j, t) for j, t in enumerate((one, one, other, f"{one} {other}", f"{other} {one}", f"x\n{one}\ny", f"{other} a b c d", f"{one} a b c d"))]
+    assert sorted_rows(linededup.dedup_lines(docs(rows), keep_text=False, digest=True)) == lines_model(rows)
+    assert sorted_rows(ngramjoin.jaccard_join(docs(rows))) == join_model(rows)
+    got = tokenfile.read_tokens(spark, *tokenfile.write_tokens(docs(rows), vocabulary(WORD_VOCABULARY), 1))
+    assert [tuple(r) for r in got.orderBy("doc_id").collect()] == token_model(rows)
+    got = {r.doc_id: r for r in encoded(docs(rows), digest=True).collect()}
+    assert all(got[i].ids == library.encode_ordinary(t) and got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in rows)
+
+
+def test_pools_tell_pieces_of_one_hash_apart(monkeypatch):
+    monkeypatch.setattr(common.SpanHash, "spans", lambda self, buf, start, end: np.full(len(start), 7, np.uint64))
+    e = tokenfile.WordEncoder(vocabulary(WORD_VOCABULARY))
+    texts = ["one two one three", "", "three two four", "x" * 600 + " " + "x" * 599 + "y"]
+    ids, cut = e(*common.text_bytes(pa.array(texts)))
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)] == want
+    pool = common.Pool(("<i4",))
+    buf = np.frombuffer(b"abcabdabc", np.uint8)
+    start, end = np.array([0, 3, 6]), np.array([3, 6, 9])
+    rows, new = pool.rows(np.full(3, 7, np.uint64), buf, start, end)
+    assert new.tolist() == [0]
+    pool.add(np.array([7], np.uint64), (buf[:3], np.array([3])), (np.array([1]), np.array([1])))
+    rows, new = pool.rows(np.full(3, 7, np.uint64), buf, start, end)
+    assert rows.tolist() == [0, -1, 0] and new.tolist() == [1]
+
+
+def test_spans_are_hashed_and_compared_alike():
+    r = np.random.default_rng(3)
+    buf = r.integers(97, 100, 5000).astype(np.uint8)
+    start = r.integers(0, 4000, 3000)
+    end = start + np.concatenate([r.integers(0, 12, 2500), r.integers(200, 900, 500)])
+    h = common.SpanHash(1).spans(buf, start, end)
+    seen = {}
+    for x, a, b in zip(h.tolist(), start.tolist(), end.tolist(), strict=True):
+        assert seen.setdefault(buf[a:b].tobytes(), x) == x
+    assert len(set(seen.values())) == len(seen)
+    store = np.concatenate([buf, np.zeros(8, np.uint8)])
+    other = r.permutation(len(start))
+    n = np.minimum(end - start, (end - start)[other])
+    want = [buf[a : a + k].tobytes() == buf[b : b + k].tobytes() for a, b, k in zip(start, start[other], n, strict=True)]
+    assert common.same_bytes(buf, start, store, start[other], n).tolist() == want
+
+
+def test_another_splitter_goes_through_the_library(tmp_path):
+    import json
+
+    with open(vocabulary(WORD_VOCABULARY), encoding="utf-8") as f:
+        said = json.load(f)
+    said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[^\\s]+|\\s+"
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(said))
+    e = tokenfile.WordEncoder(str(path))
+    texts = ["don't stop", "", "a b  c"]
+    ids, cut = e(*common.text_bytes(pa.array(texts)))
+    assert not e.by_pieces and [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
