@@ -21,6 +21,8 @@ S33 = np.uint64(33)
 FMIX_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Bytes of a row group of tables between stages.
+ROW_GROUP = 32 << 20
 _own: list[str] = []
 
 
@@ -52,7 +54,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)  # a task holds one row group
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -119,11 +121,16 @@ def mapped(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], owner: str, co
     return run
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Let Arrow batches of texts hold few rows: a batch lies whole in the JVM and in the worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Let batches of texts hold few rows and bytes: one read and one sent lie whole in the JVM, and one in the worker."""
+    conf = spark._jsparkSession.sessionState().conf()
+    for name, now, most in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", conf.arrowMaxRecordsPerBatch(), rows),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", conf.arrowMaxBytesPerBatch(), size),
+        ("spark.sql.parquet.columnarReaderBatchSize", conf.parquetVectorizedReaderBatchSize(), rows // 2),
+    ):
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
 
 
 def release() -> None:

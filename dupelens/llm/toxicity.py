@@ -103,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
     fields = T.StructType([docs.schema["doc_id"], T.StructField("toxic", T.IntegerType()), T.StructField("features", T.BinaryType())])
     # features of at most `sample` documents cross to the one task that learns; scan, join and hashing stay spread
-    found = rows.mapInArrow(mapped(featured, "toxicity"), fields).coalesce(1).mapInArrow(fit, "at long, w double")
+    found = rows.mapInArrow(mapped(featured, "toxicity"), fields).repartition(1).mapInArrow(fit, "at long, w double")
     got = found.toArrow()
     return got["at"].to_numpy(), got["w"].to_numpy()
 
