@@ -123,10 +123,25 @@ def filetime_epoch(ticks: Column) -> Column:
     return (ticks - F.lit(116444736000000000)) / F.lit(10_000_000.0)
 
 
+def _climbed(path: Column) -> Column:
+    """A path with ``..`` parts taken out together with the part before them; none goes above a root or a drive."""
+    root = F.regexp_extract(path, r"^([A-Za-z]:/|[A-Za-z]:|/|)", 1)
+    parts = F.filter(F.split(F.substr(path, F.length(root) + 1), "/"), lambda x: x != "")
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, x: Column) -> Column:
+        stuck = (F.size(done) == 0) | (F.try_element_at(done, F.lit(-1)) == "..")
+        up = F.when(~stuck, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(root == "", F.concat(done, F.array(x))).otherwise(done)
+        return F.when(x == "..", up).otherwise(F.concat(done, F.array(x)))
+
+    return F.concat(root, F.array_join(F.aggregate(parts, none, step), "/"))
+
+
 def path_key(path: Column) -> Column:
-    """A path for comparison: one kind of separator, none doubled or last, no ``.`` parts, lower case."""
+    """A path for comparison: one kind of separator, none doubled or last, no ``.`` and ``..`` parts, lower case."""
     p = F.regexp_replace(path, r"[\\/]+", "/")
     p = F.regexp_replace(p, r"(?<=/)(?:\./)+|^(?:\./)+|/\.$", "")
+    p = F.when(p.rlike(r"(^|/)\.\.(/|$)"), _climbed(p)).otherwise(p)
     return F.lower(F.when(F.length(p) > 1, F.regexp_replace(p, r"/$", "")).otherwise(p))
 
 

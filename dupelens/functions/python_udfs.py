@@ -5,6 +5,7 @@ All take Arrow batches. Picture decoding needs Pillow, an optional import.
 
 from __future__ import annotations
 
+import contextlib
 import difflib
 import io
 import struct
@@ -37,29 +38,45 @@ def line_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([line_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def parse_link(data: bytes | None) -> str | None:
-    """The local target of a shortcut file: null without a valid link-info block."""
+#: The code page of shortcut files and old bin records that say nothing else.
+ANSI = "cp1252"
+
+
+def link_may_mean(data: bytes | None) -> list[str]:
+    """What the local target of a shortcut file may be, as ANSI and as UTF-8: none without a valid link-info block.
+
+    The target ends with a zero byte; one without isn't valid.
+    """
     try:
         if data is None or data[:4] != b"\x4c\0\0\0":
-            return None
+            return []
         (flags,) = struct.unpack_from("<I", data, 0x14)
         at = 0x4C
         if flags & 1:  # an id list comes first
             at += 2 + struct.unpack_from("<H", data, at)[0]
-        if not flags & 2:
-            return None
+        if not flags & 2 or len(data) < at + 0x1C:
+            return []
         size, _, info, _, path_at = struct.unpack_from("<5I", data, at)
-        if not info & 1 or not 0 < path_at < size:
-            return None
-        raw = data[at + path_at : at + size].split(b"\0", 1)[0]
-        if not raw:
-            return None
-        try:
-            return raw.decode("utf-8")
-        except UnicodeDecodeError:
-            return raw.decode("cp1252", errors="replace")
+        end = data.find(b"\0", at + path_at)
+        if not info & 1 or not 0 < path_at < size or end < 0:
+            return []
+        raw, out = data[at + path_at : end], []
+        for code in (ANSI, "utf-8"):
+            with contextlib.suppress(UnicodeDecodeError):
+                out.append(raw.decode(code))
+        return list(dict.fromkeys(out))
     except struct.error:
-        return None
+        return []
+
+
+def parse_link(data: bytes | None) -> str | None:
+    """The likeliest target; ``sweep.link_targets`` looks which of those that may be meant exists."""
+    return next(iter(link_may_mean(data)), None)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def link_candidates(content: pd.Series) -> pd.Series:
+    return content.map(link_may_mean)
 
 
 @F.pandas_udf(T.StringType())
@@ -71,9 +88,10 @@ BIN_RECORD = T.StructType([T.StructField("original_path", T.StringType()), T.Str
 
 
 def parse_bin_record(data: bytes | None) -> tuple[str, int, float] | None:
-    """(original path, size, time of deletion) of a recycle-bin index; null if malformed.
+    """(original path, size, time of deletion) of a recycle-bin index; null if it has no path or isn't one.
 
-    Version 2: count of characters and UTF-16LE; version 1: a fixed field of 256 single-byte characters.
+    Version 2: count of characters and UTF-16LE, as much of it as there is; version 1: a field of single-byte
+    characters up to a zero. What can't be decoded is replaced; white space around the path goes.
     """
     try:
         if data is None:
@@ -81,17 +99,14 @@ def parse_bin_record(data: bytes | None) -> tuple[str, int, float] | None:
         version, size, ticks = struct.unpack_from("<qqq", data)
         if version == 2:
             (n,) = struct.unpack_from("<i", data, 24)
-            if n <= 0 or len(data) < 28 + 2 * n:
-                return None
-            path = data[28 : 28 + 2 * n].decode("utf-16-le").split("\0", 1)[0]
+            path = data[28 : 28 + 2 * n].decode("utf-16-le", "replace").rstrip("\0") if n > 0 else ""
         elif version == 1:
-            if len(data) < 280:
-                return None
-            path = data[24:280].split(b"\0", 1)[0].decode("cp1252")
+            path = data[24:280].split(b"\0", 1)[0].decode(ANSI, "replace")
         else:
             return None
+        path = path.strip()
         return (path, size, (ticks - 116444736000000000) / 1e7) if path else None
-    except (struct.error, UnicodeDecodeError):
+    except struct.error:
         return None
 
 

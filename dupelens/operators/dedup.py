@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import full_hash, turbo_hash
+from ..joins import few, numbered
+from ..session import write_once
 from .filters import dedup_physical, exclude, prune, size_range
 
 INVENTORY = ("path", "name", "size", "created", "modified", "ext", "category", "dev", "ino", "walk_ord")
@@ -53,7 +55,7 @@ PRESETS = {
 BROADCAST_SIZES = 500_000
 
 
-def _looked_at(inv: DataFrame, c: Criteria, roots: Sequence[str] = ()) -> DataFrame:
+def looked_at(inv: DataFrame, c: Criteria, roots: Sequence[str] = ()) -> DataFrame:
     """Rows left by the tests that need no other row."""
     return size_range(exclude(prune(inv, roots), c.exclude), c.min_size, c.max_size, c.ignore_empty)
 
@@ -63,7 +65,7 @@ def scanned(inv: DataFrame, c: Criteria, roots: Sequence[str] = ()) -> DataFrame
 
     Exclusion comes before physical identity: an excluded alias doesn't hide a file.
     """
-    return dedup_physical(_looked_at(inv, c, roots).drop("content"))
+    return dedup_physical(looked_at(inv, c, roots).drop("content"))
 
 
 def size_candidates(inv: DataFrame) -> DataFrame:
@@ -94,10 +96,11 @@ def _grouped(rows: DataFrame, keys: list[str], by_walk: bool = False) -> DataFra
 
 
 def find_duplicates(inv: DataFrame, criteria: Criteria = Criteria(), roots: Sequence[str] = (), hashes: DataFrame | None = None) -> DataFrame:
-    """Groups of equal files; ``inv`` has ``content`` if hashes or bytes are compared.
+    """Groups of equal files; ``inv`` has ``content`` if hashes or bytes are compared, or ``full``, the known fingerprints.
 
-    ``hashes`` (path, full_hash): known fingerprints, as ``cache_lookup`` gives them; only rows without one are
-    hashed. Rows that can't be hashed belong to no group. Members are ordered oldest first, ties by walk; where
+    Contents are read once: the slim rows with their fingerprints are written to the shared folder.
+    ``hashes`` (path, full_hash): known fingerprints of some paths; only rows without one are hashed, and
+    ``cache.incremental`` does so in one scan. Rows that can't be hashed belong to no group. Members are ordered oldest first, ties by walk; where
     sizes alone are compared, by walk.
 
     Partial hashes are a way to read less, not another result: groups of equal partial hashes are split by the
@@ -105,11 +108,11 @@ def find_duplicates(inv: DataFrame, criteria: Criteria = Criteria(), roots: Sequ
     whose key leaves no choice of size, as verification does.
     """
     c = criteria
-    rows = _looked_at(inv, c, roots)
-    if c.by_hash or c.by_byte:
+    rows = looked_at(inv, c, roots)
+    if (c.by_hash or c.by_byte) and "full" not in inv.columns:
         if c.by_size:
             often = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("size")
-            if often.limit(BROADCAST_SIZES + 1).count() <= BROADCAST_SIZES:
+            if few(often, BROADCAST_SIZES):
                 rows = rows.join(F.broadcast(often.withColumn("_often", F.lit(True))), "size", "left")
         # unique sizes are not hashed; their rows go on, as they may be the first of an inode
         digest = F.when(F.col("_often"), full_hash(F.col("content"))) if "_often" in rows.columns else full_hash(F.col("content"))
@@ -119,6 +122,7 @@ def find_duplicates(inv: DataFrame, criteria: Criteria = Criteria(), roots: Sequ
             rows = slim.unionByName(rows.withColumn("full", digest).drop("content", "_often").join(known.select("path"), "path", "left_anti"))
         else:
             rows = rows.withColumn("full", digest).drop("content")  # bodies go before any shuffle
+        rows = write_once(rows.drop("content", "_often"), "hashed")
     rows = dedup_physical(rows.drop("content", "_often")).withColumn("low_name", F.lower("name"))
     first = rows.groupBy("size").agg(F.min("walk_ord").alias("block_ord")) if c.by_size else None
     keys = ["size"] * c.by_size + ["low_name"] * c.by_name
@@ -129,8 +133,9 @@ def find_duplicates(inv: DataFrame, criteria: Criteria = Criteria(), roots: Sequ
         out = _grouped(rows, shown).withColumn("hash", F.col("full"))
     elif c.by_byte:  # files of one group are split by content; the parts are numbered by their first members
         split = _grouped(rows.filter(F.col("full").isNotNull()), [*dict.fromkeys([*keys, "size", "full"])])
-        part = F.dense_rank().over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy("group_ord")) - 1
-        out = split.withColumn("sub", part).withColumn("hash", F.lit(None).cast("string"))
+        heads = split.filter("member_ord = 0").select(*keys, "group_ord")  # a row a group
+        heads = heads.withColumn("sub", F.row_number().over(Window.partitionBy(*keys).orderBy("group_ord")) - 1) if keys else numbered(heads, ["group_ord"], "sub")
+        out = split.join(heads.select("group_ord", "sub"), "group_ord").withColumn("hash", F.lit(None).cast("string"))
     else:
         out = _grouped(rows, keys, by_walk=not c.by_name).withColumn("hash", F.lit(None).cast("string"))
     name = F.concat_ws("|", *[F.col(k).cast("string") for k in shown])
@@ -142,7 +147,7 @@ def find_duplicates(inv: DataFrame, criteria: Criteria = Criteria(), roots: Sequ
 
 def turbo_candidates(inv: DataFrame, criteria: Criteria) -> DataFrame:
     """Groups of equal partial hashes, before verification: size, hash and number of files."""
-    hashed = _looked_at(inv, criteria).withColumn("hash", turbo_hash(F.col("content"), F.col("size"), criteria.partial)).drop("content")
+    hashed = looked_at(inv, criteria).withColumn("hash", turbo_hash(F.col("content"), F.col("size"), criteria.partial)).drop("content")
     rows = dedup_physical(hashed)
     return rows.filter(F.col("hash").isNotNull()).groupBy("size", "hash").agg(F.count(F.lit(1)).alias("files")).filter("files > 1")
 

@@ -20,19 +20,36 @@ def ancestors(path: Column) -> Column:
 def empty_dirs(dirs: DataFrame, inv: DataFrame, roots: Sequence[str] = ()) -> DataFrame:
     """Folders (path, depth) that hold nothing, or only such folders; roots are never among them.
 
-    ``dirs`` (path, and optionally ``closed``: pruned, linked or unreadable) are all folders. A folder is not
+    ``dirs`` (path, and optionally ``closed``: pruned, linked or unreadable, and ``walk_ord``, which is kept) are all folders. A folder is not
     empty if any file or closed folder lies below it, so no recursion over levels is needed: the ancestors of
     those are subtracted.
     """
     closed = dirs.filter("closed") if "closed" in dirs.columns else dirs.limit(0)
     full = inv.select("path").unionByName(closed.select("path")).select(F.explode(ancestors(F.col("path"))).alias("path")).distinct()
     open_ = dirs.join(closed.select("path"), "path", "left_anti") if "closed" in dirs.columns else dirs
-    out = open_.select("path").distinct().join(full, "path", "left_anti")
+    each = open_.groupBy("path").agg(F.min("walk_ord").alias("walk_ord")) if "walk_ord" in dirs.columns else open_.select("path").distinct()
+    out = each.join(full, "path", "left_anti")
     if roots:
         out = out.filter(~path_key(F.col("path")).isin([r.rstrip("/").lower() for r in roots]))
     return out.withColumn("depth", (F.size(F.split("path", "/")) - 1).cast("long"))
 
 
+def report_order(dirs: DataFrame) -> DataFrame:
+    """Empty folders as they are reported: against the walk, so that each stands before the one that holds it."""
+    return dirs.orderBy(F.col("walk_ord").desc())
+
+
+def link_targets(links: DataFrame, existing: DataFrame) -> DataFrame:
+    """``links`` (path, content, ...) with ``target`` instead of content: of what may be meant the first that is among ``existing`` (path), else the first."""
+    from ..functions.python_udfs import link_candidates
+
+    rows = links.withColumn("_may", link_candidates("content")).drop("content")
+    each = rows.select("path", F.posexplode("_may").alias("_at", "_target")).withColumn("_key", path_key(F.col("_target")))
+    there = each.join(existing.select(path_key(F.col("path")).alias("_key")).distinct(), "_key", "left_semi")
+    found = there.groupBy("path").agg(F.min(F.struct("_at", "_target"))["_target"].alias("_found"))
+    return rows.join(found, "path", "left").withColumn("target", F.coalesce("_found", F.get("_may", F.lit(0)))).drop("_may", "_found")
+
+
 def deletion_order(dirs: DataFrame) -> DataFrame:
     """Deepest folders first, each once."""
     return dirs.dropDuplicates(["path"]).orderBy(F.col("depth").desc(), F.col("path").desc())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import parent, path_key, same_volume
+from ..joins import numbered
 from ..operators.sweep import emptied_parents
 
 #: Times of a snapshot may differ by this much.
@@ -31,8 +32,8 @@ def snapshot_of(members: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def chunked(plan: DataFrame, order: str = "path", size: int = CHUNK) -> DataFrame:
-    """``plan`` with the number of each row's chunk; rows are those of one driver-side action."""
-    return plan.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order)) - 1) / size))
+    """``plan`` with the number of each row's chunk."""
+    return numbered(plan, [order], "chunk").withColumn("chunk", F.floor(F.col("chunk") / size))
 
 
 def delete_plan(members: DataFrame, selection: DataFrame, inv: DataFrame) -> DataFrame:
@@ -83,12 +84,14 @@ def move_plan(members: DataFrame, selection: DataFrame, inv: DataFrame, destinat
         F.regexp_replace("_there", r" \(\d+\)(?=(\.[^.]*)?$)", "").alias("_low"),
         F.coalesce(F.nullif(F.regexp_extract("_there", r" \((\d+)\)(?=(?:\.[^.]*)?$)", 1), F.lit("")).try_cast("int"), F.lit(0)).alias("_k"),
     )
-    numbers = used.groupBy("_low").agg(F.collect_set("_k").alias("_used"))
-    nth = F.row_number().over(Window.partitionBy("_low").orderBy("path")) - 1
-    rows = rows.withColumn("_nth", nth).join(numbers, "_low", "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<int>")))
-    # the nth free number: candidates up to nth + the used ones are enough
-    free = F.array_except(F.sequence(F.lit(0), F.col("_nth") + F.size("_used")), F.col("_used"))
-    k = F.get(free, F.col("_nth"))
+    # before the i-th used number u stand u - i free ones: the nth free number is n and the used ones with at most n before them
+    of = Window.partitionBy("_low")
+    free = used.distinct().withColumn("_nth", F.col("_k") - (F.row_number().over(of.orderBy("_k")) - 1)).select("_low", F.col("_nth").cast("int"), F.lit(True).alias("_is_used"))
+    nth = rows.withColumn("_nth", F.row_number().over(of.orderBy("path")) - 1).withColumn("_is_used", F.lit(False))
+    both = nth.unionByName(free, allowMissingColumns=True)
+    passed = F.count_if("_is_used").over(of.orderBy("_nth", F.col("_is_used").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    rows = both.withColumn("_number", F.col("_nth") + passed).filter("NOT _is_used")
+    k = F.col("_number")
     target = F.concat(F.lit(dest + "/"), "_stem", F.when(k > 0, F.format_string(" (%d)", k)).otherwise(F.lit("")), "_suffix")
     return rows.select(F.col("path").alias("src"), target.alias("dst"), "ok", "reason")
 

@@ -15,6 +15,7 @@ from ..functions import expr as X
 from ..operators import cache as C
 from ..operators import dedup as D
 from ..operators import diff, filters, select, similar, stats, sweep
+from ..session import write_once
 from ..sources import inventory as I
 from . import actions, journal, report
 
@@ -228,13 +229,10 @@ _criteria("dup_filtered", D.Criteria(turbo=False, exclude=("src1", "*.jpg"), min
     WHERE size BETWEEN 300 AND 20000 AND NOT starts_with(path, '/src1/') AND lower(name) NOT LIKE '%.jpg') WHERE rk = 1)""" + _members(["size", _FULL], f"size || '|' || {_FULL}", hash_=_FULL, rows="kept"))
 
 
-@_query(f"WITH {_INV}{_SCAN}{_members(['url'], 'url', rows='(SELECT url, page_id AS walk_ord, 0.0::DOUBLE AS modified, 0 AS size FROM pages)')} SELECT group_key, member_ord FROM members", "dup_pages")
+@_query(f"WITH {_members(['size', 'sha256(html)'], "size || '|' || sha256(html)", rows='(SELECT *, strlen(html)::BIGINT AS size, page_id AS walk_ord, page_id::DOUBLE AS modified FROM pages WHERE strlen(html) > 0)')[2:]} SELECT group_key, member_ord, url AS path FROM members")
 def dup_pages(spark, sf_dir):
-    """Pages by name and path of their urls: few or none are equal."""
-    pages = _table(spark, sf_dir, "pages")
-    inv = I.from_pages(pages).withColumn("name", F.col("path")).withColumn("modified", F.lit(0.0)).drop("content")
-    rows = D._grouped(inv.withColumn("low_name", F.col("name")), ["low_name"])
-    return rows.select(F.col("low_name").alias("group_key"), "member_ord")
+    """Pages of equal html, whatever their urls."""
+    return D.find_duplicates(I.from_pages(_table(spark, sf_dir, "pages")), TURBO).select("group_key", "member_ord", "path")
 
 
 @_query(_BASE + """ SELECT group_key, count(*) AS files, string_agg(path, chr(10) ORDER BY member_ord) AS paths FROM members GROUP BY group_key""")
@@ -472,8 +470,7 @@ _criteria_cached = f"WITH {_INV}{_SCAN}" + _members(["size", _FULL], f"size || '
 def dup_incremental(spark, sf_dir):
     """A second scan, that hashes only what the table of the first doesn't have."""
     inv = _inv(spark, sf_dir)
-    hashes, _ = C.incremental_hashes(inv, _cache(inv))
-    return D.find_duplicates(inv, D.Criteria(turbo=False), hashes=hashes).select(*SHOWN)
+    return D.find_duplicates(C.incremental(inv, write_once(_cache(inv), "cache")), D.Criteria(turbo=False)).select(*SHOWN)
 
 
 # ---- trees ----
@@ -550,7 +547,18 @@ def similar_components(spark, sf_dir):
     return similar.components(similar.hamming_pairs(_codes(spark, sf_dir), X.max_distance(0.80), 49))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_CODES}, heads AS (SELECT code, min(id) AS w FROM codes GROUP BY code),
+pairs AS (SELECT a.w AS a, b.w AS b FROM heads a JOIN heads b ON a.w <> b.w AND bit_count(xor(a.code, b.code)) <= 12),
+walk AS (SELECT w AS id, w AS other FROM heads UNION SELECT walk.id, e.b FROM walk JOIN pairs e ON e.a = walk.other),
+items AS (SELECT row_number() OVER (ORDER BY c, w) AS i, c, w, code FROM (SELECT id AS w, min(other) AS c FROM walk GROUP BY id) JOIN heads USING (w)),
+linked(i, state) AS (SELECT 0::BIGINT, []::STRUCT(c BIGINT, g BIGINT, w BIGINT, code BIGINT)[] UNION ALL
+  SELECT n.i, list_append(list_filter(l.state, lambda s: s.c = n.c), {{'c': n.c, 'g': coalesce(list_min(list_filter(range(0, len(l.state)),
+    lambda g: len(list_filter(l.state, lambda s: s.c = n.c AND s.g = g)) > 0 AND len(list_filter(l.state, lambda s: s.c = n.c AND s.g = g AND bit_count(xor(s.code, n.code)) > 12)) = 0)),
+    coalesce(list_max(list_transform(list_filter(l.state, lambda s: s.c = n.c), lambda s: s.g)) + 1, 0)), 'w': n.w, 'code': n.code}}) FROM linked l JOIN items n ON n.i = l.i + 1),
+placed AS (SELECT state[-1].c AS c, state[-1].g AS g, state[-1].code AS code FROM linked WHERE i > 0),
+m AS (SELECT c, g, id, printf('%016x', code) AS hash, count(*) OVER (PARTITION BY c, g) AS n, min(id) OVER (PARTITION BY c, g) AS group_ord,
+  row_number() OVER (PARTITION BY c, g ORDER BY id * 7919 % 86400, id) - 1 AS member_ord FROM codes JOIN placed USING (code) QUALIFY n > 1)
+SELECT 'Photo Group ' || dense_rank() OVER (ORDER BY group_ord) || ': vec_' || first(id) OVER (PARTITION BY c, g ORDER BY member_ord) AS group_key, group_ord, member_ord, id, hash FROM m""")
 def similar_groups(spark, sf_dir):
     return similar.named_groups(similar.find_similar(_codes(spark, sf_dir), 0.80, 49)).select("group_key", "group_ord", "member_ord", "id", "hash")
 
@@ -590,43 +598,73 @@ def empty_dirs(spark, sf_dir):
     return sweep.empty_dirs(_dirs(inv), inv).select("path", "depth")
 
 
-@_query(f"WITH {_INV}, links AS (SELECT '/links/' || doc_id || '.lnk' AS path, 'C:' || (CASE WHEN doc_id % 3 = 0 THEN '/gone' ELSE '' END) || path AS target, doc_id FROM inv WHERE doc_id % 2 = 0) SELECT path, target FROM links WHERE doc_id % 3 = 0")
+@_query(f"""WITH {_INV}, links AS (SELECT '/links/' || doc_id || '.lnk' AS path, CASE WHEN doc_id % 7 = 2 THEN '' WHEN doc_id % 3 = 0 THEN 'C:/gone' || path WHEN doc_id % 5 = 1 THEN 'D:' || path ELSE upper('C:' || path) END AS target FROM inv)
+SELECT path, target FROM links l WHERE target <> '' AND starts_with(target, 'C:') AND NOT EXISTS (SELECT 1 FROM inv WHERE lower('C:' || inv.path) = lower(l.target))""")
 def broken_links(spark, sf_dir):
+    """Links of every document: to it in capitals, to a place where nothing is, to a drive that isn't there, to nothing."""
     inv = _inv(spark, sf_dir).withColumn("path", F.concat(F.lit("C:"), "path"))
     i = F.col("walk_ord")
-    target = F.when(i % 3 == 0, F.regexp_replace("path", "^C:", "C:/gone")).otherwise(F.col("path"))
-    links = inv.filter(i % 2 == 0).select(F.concat(F.lit("/links/"), i.cast("string"), F.lit(".lnk")).alias("path"), target.alias("target"))
+    target = F.when(i % 7 == 2, "").when(i % 3 == 0, F.regexp_replace("path", "^C:", "C:/gone")).when(i % 5 == 1, F.regexp_replace("path", "^C:", "D:")).otherwise(F.upper("path"))
+    links = inv.select(F.concat(F.lit("/links/"), i.cast("string"), F.lit(".lnk")).alias("path"), target.alias("target"))
     return sweep.broken_links(links, inv, spark.createDataFrame([("C:",)], "drive string"))
 
 
-@_query()
+def _little(c, n: int):
+    """``n`` bytes of a number, lowest first."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(c.cast("long"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(n)]))
+
+
+@_query(f"WITH {_INV} SELECT path, CASE WHEN doc_id % 10 <> 0 AND doc_id % 13 <> 1 THEN 'C:' || path END AS target FROM inv")
 def shortcut_targets(spark, sf_dir):
-    """Shortcut files with a target made of each path; every tenth is cut short."""
+    """Shortcut files with a target made of each path; some are cut short, some have no end mark."""
     from ..functions.python_udfs import link_target
 
     inv = _inv(spark, sf_dir)
-    le = lambda n: F.lit(int(n).to_bytes(4, "little"))
+    i = F.col("walk_ord")
     body = F.encode(F.concat(F.lit("C:"), "path"), "UTF-8")
-    size = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright((F.octet_length(body) + 29).cast("long"), s).bitwiseAND(255)), 2, "0") for s in (0, 8, 16, 24)]))
-    head = F.concat(F.lit(b"\x4c\0\0\0" + bytes(16)), le(2), F.lit(bytes(0x4C - 24)))
-    link = F.concat(head, size, le(28), le(1), le(0), le(28), F.lit(bytes(8)), body, F.lit(b"\0"))
-    cut = F.when(F.col("walk_ord") % 10 == 0, F.substring(link, 1, 40)).otherwise(link)
-    return inv.select("path", cut.alias("content")).repartition(8).select("path", link_target("content").alias("target"))
+    head = F.concat(F.lit(b"\x4c\0\0\0" + bytes(16)), _little(F.lit(2), 4), F.lit(bytes(0x4C - 24)))
+    link = F.concat(head, _little(F.octet_length(body) + 29, 4), *[_little(F.lit(x), 4) for x in (28, 1, 0, 28)], F.lit(bytes(8)), body)
+    cut = F.when(i % 10 == 0, F.substring(link, 1, 40)).when(i % 13 == 1, link).otherwise(F.concat(link, F.lit(b"\0")))
+    return inv.select("path", cut.alias("content")).select("path", link_target("content").alias("target"))
 
 
-@_query()
-def bin_index_lookup(spark, sf_dir):
-    """Bin records of some paths, of which the newest of each counts."""
+_BIN = "bins AS (SELECT *, 'C:' || path AS original_path, doc_id % 2 = 0 AS data_exists FROM inv WHERE doc_id % 11 <> 5)"
+
+
+def _bin_entries(inv: DataFrame) -> DataFrame:
+    """Bin records of every path, of both versions; some are cut short, every other one has data."""
     from ..sources.stores import bin_entries
 
-    inv = _inv(spark, sf_dir).filter("walk_ord % 4 = 0")
-    le = lambda c, n: F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(c.cast("long"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(n)]))
     i, path = F.col("walk_ord"), F.concat(F.lit("C:"), "path")
-    record = F.concat(le(F.lit(2), 8), le(F.col("size"), 8), le(F.lit(116444736000000000) + i * 10_000_000, 8), le(F.length(path) + 1, 4), F.encode(path, "UTF-16LE"), F.lit(b"\0\0"))
-    index = inv.select(F.concat(F.lit("/bin/$I"), i.cast("string")).alias("path"), record.alias("content"))
-    data = inv.filter("walk_ord % 8 = 0").select(F.concat(F.lit("/BIN/$r"), i.cast("string")).alias("path"), F.lit(b"").alias("content"))
-    entries = bin_entries(index.unionByName(data))
-    return journal.restorable_paths(inv.select(path.alias("path")), entries.filter("data_exists"))
+    head = lambda version: F.concat(_little(F.lit(version), 8), _little(F.col("size"), 8), _little(F.lit(116444736000000000) + i * 10_000_000, 8))
+    old = F.concat(head(1), F.substring(F.concat(F.encode(path, "ISO-8859-1"), F.lit(bytes(256))), 1, 256))
+    new = F.concat(head(2), _little(F.length(path) + 1, 4), F.encode(path, "UTF-16LE"), F.lit(b"\0\0"))
+    record = F.when(i % 3 == 1, old).otherwise(new)
+    index = inv.select(F.concat(F.lit("/bin/$I"), i.cast("string")).alias("path"), F.when(i % 11 == 5, F.substring(record, 1, 20)).otherwise(record).alias("content"))
+    data = inv.filter("walk_ord % 2 = 0").select(F.concat(F.lit("/BIN/$r"), i.cast("string")).alias("path"), F.lit(b"").alias("content"))
+    return bin_entries(index.unionByName(data))
+
+
+@_query(f"WITH {_INV}, {_BIN} SELECT '/bin/$I' || doc_id AS index_path, CASE WHEN data_exists THEN '/BIN/$r' || doc_id ELSE '' END AS data_path, original_path, size, doc_id::DOUBLE AS deleted_ts, data_exists FROM bins")
+def bin_entries(spark, sf_dir):
+    return _bin_entries(_inv(spark, sf_dir)).select("index_path", "data_path", "original_path", "size", "deleted_ts", "data_exists")
+
+
+@_query(f"WITH {_INV}, {_BIN} SELECT 'C:' || path AS path FROM inv WHERE lower('C:' || path) IN (SELECT lower(original_path) FROM bins WHERE data_exists)")
+def bin_index_lookup(spark, sf_dir):
+    """Paths that the bin can give back."""
+    inv = _inv(spark, sf_dir)
+    return journal.restorable_paths(inv.select(F.concat(F.lit("C:"), "path").alias("path")), _bin_entries(inv).filter("data_exists"))
+
+
+@_query(f"WITH {_INV} SELECT path, doc_id % 3 = 0 AND least(doc_id % 2048, size) < 1024 AS is_binary FROM inv")
+def binary_test(spark, sf_dir):
+    """Every third content gets a zero byte, some beyond the part that is looked at."""
+    inv = _inv(spark, sf_dir)
+    i = F.col("walk_ord")
+    at = F.least(i % 2048, F.col("size")).cast("int")
+    content = F.when(i % 3 == 0, F.concat(F.substr("content", F.lit(1), at), F.lit(b"\0"), F.substr("content", at + 1))).otherwise(F.col("content"))
+    return inv.select("path", X.is_binary(content).alias("is_binary"))
 
 
 # ---- reports and journals ----
@@ -647,7 +685,8 @@ def export_text(spark, sf_dir):
     return report.text_groups(_turbo(spark, sf_dir)).select("group_key", "body")
 
 
-@_query()
+@_query(_BASE + f""" SELECT group_key, '<tr class="group"><th colspan="5">' || group_key || ' &middot; ' || count(*) || ' files &middot; ' || ({_human('(coalesce(sum(size) FILTER (member_ord > 0), 0)::BIGINT)')}) || ' reclaimable</th></tr>' || chr(10)
+  || string_agg('<tr><td>' || name || '</td><td>' || path || '</td><td>' || ({_human('size')}) || '</td><td>' || strftime(make_timestamp((modified * 1000000)::BIGINT), '%Y-%m-%d %H:%M:%S') || '</td><td>' || category || '</td></tr>', chr(10) ORDER BY member_ord) AS body FROM members GROUP BY group_key""")
 def export_html(spark, sf_dir):
     return report.html_groups(_turbo(spark, sf_dir)).select("group_key", "body")
 
@@ -681,16 +720,16 @@ def undo_eligible(spark, sf_dir):
     return journal.undo_eligible(_journal(spark, sf_dir)).select("id", "type")
 
 
-@_query(f"""WITH o AS (SELECT event_id, {_KIND} AS type, event_id % 5 <> 0 AS ok, event_id AS freed, '/u/' || user_id || '/' || event_id AS path FROM events WHERE event_id < 500)
+@_query(f"""WITH o AS (SELECT event_id, {_KIND} AS type, event_id % 5 <> 0 AS ok, event_id AS freed, '/u/' || user_id || '/' || event_id AS path FROM events)
 SELECT count(*) FILTER (ok) AS done, count(*) FILTER (NOT ok) AS failed, (sum(freed) FILTER (ok))::BIGINT AS freed_bytes, (SELECT string_agg(e, ',' ORDER BY p) FROM (SELECT path AS p, 'e' || event_id AS e FROM o WHERE NOT ok ORDER BY path LIMIT 5)) AS errors FROM o""")
 def action_summary(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").filter("event_id < 500")
+    e = _table(spark, sf_dir, "events")
     i = F.col("event_id")
     rows = e.select(F.concat_ws("/", F.lit("/u"), F.col("user_id").cast("string"), i.cast("string")).alias("path"), (i % 5 != 0).alias("ok"), i.alias("freed"), F.concat(F.lit("e"), i.cast("string")).alias("error"))
     return stats.action_summary(rows).withColumn("errors", F.array_join("errors", ","))
 
 
-@_query("SELECT sum(o_orderkey)::BIGINT AS wasted FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)")
+@_query("SELECT sum(o_orderkey)::BIGINT AS wasted FROM orders")
 def history_total(spark, sf_dir):
-    o = _table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0")
+    o = _table(spark, sf_dir, "orders")
     return journal.history_total(o.select(F.col("o_orderkey").alias("wasted")))

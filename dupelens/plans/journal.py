@@ -31,6 +31,17 @@ def entry_of(plan: DataFrame, kind: str, now: float, **details) -> DataFrame:
     return one.filter(F.size("paths") > 0).select(F.lit(kind).alias("type"), F.lit(float(now)).alias("ts"), "paths", "freed_bytes", d.alias("details"))
 
 
+def link_pairs(plan: DataFrame, succeeded: DataFrame) -> DataFrame:
+    """(src, dst) of a link plan (original, duplicate) whose duplicates are among ``succeeded`` (path)."""
+    done = succeeded.select(F.col("path").alias("duplicate")).distinct()
+    return plan.join(done, "duplicate", "left_semi").select(F.col("original").alias("src"), F.col("duplicate").alias("dst"))
+
+
+def pairs_column(pairs: DataFrame) -> DataFrame:
+    """One row: the pairs of one operation as the journal's array, in order of their targets."""
+    return pairs.agg(F.array_sort(F.collect_list(F.struct("dst", "src"))).alias("_p")).select(F.transform("_p", lambda x: F.struct(x["src"].alias("src"), x["dst"].alias("dst"))).alias("pairs"))
+
+
 def history_append(history: DataFrame, entry: DataFrame) -> DataFrame:
     """The history with a scan that found something; the newest scans are kept."""
     return newest(history.unionByName(entry.filter("duplicates > 0").select(*history.columns)), "date", KEPT_SCANS, "date")

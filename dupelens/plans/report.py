@@ -1,7 +1,7 @@
 """Reports over all groups: rows for CSV, and JSON, text and HTML documents.
 
-A document is built a group a row, in order; only ``export``, which writes one file for people, streams the
-rows through the driver.
+``json_groups`` and the like give a group a row, for pages of groups that people look at. ``export`` writes all groups
+to one file: a row a member streams through the driver in order, so that a group of any size is written.
 """
 
 from __future__ import annotations
@@ -37,18 +37,28 @@ def _by_group(members: DataFrame, member: Column) -> DataFrame:
     )
 
 
+def _json_line() -> Column:
+    return F.struct("name", "path", "size", "modified", "category")
+
+
 def json_groups(members: DataFrame) -> DataFrame:
     """group_key, the order columns, wasted, and ``files``: a JSON array of name, path, size, modified, category."""
-    g = _by_group(members, F.struct("name", "path", "size", "modified", "category"))
+    g = _by_group(members, _json_line())
     return g.select("group_key", *ORDER, "wasted", F.to_json("rows").alias("files"))
 
 
+def _text_line() -> Column:
+    return F.concat(F.lit("  - "), "path", F.lit(" ("), human_size(F.col("size")), F.lit(")"))
+
+
+def _text_head() -> Column:
+    return F.concat(F.lit("=== Group: "), "group_key", F.lit(" ("), F.col("n").cast("string"), F.lit(" files, "), human_size(F.col("first_size")), F.lit(" each) ==="))
+
+
 def text_groups(members: DataFrame) -> DataFrame:
     """group_key, the order columns and ``body``: a headline and a line a member."""
-    line = F.concat(F.lit("  - "), "path", F.lit(" ("), human_size(F.col("size")), F.lit(")"))
-    g = _by_group(members, line)
-    head = F.concat(F.lit("=== Group: "), "group_key", F.lit(" ("), F.col("n").cast("string"), F.lit(" files, "), human_size(F.col("first_size")), F.lit(" each) ==="))
-    return g.select("group_key", *ORDER, F.concat_ws("\n", F.array(head), F.col("rows")).alias("body"))
+    g = _by_group(members, _text_line())
+    return g.select("group_key", *ORDER, F.concat_ws("\n", F.array(_text_head()), F.col("rows")).alias("body"))
 
 
 def html_text(c: Column) -> Column:
@@ -57,13 +67,29 @@ def html_text(c: Column) -> Column:
     return c
 
 
+def _html_line() -> Column:
+    cells = [html_text(F.col("name")), html_text(F.col("path")), human_size(F.col("size")), time_text(F.col("modified")), F.col("category")]
+    return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
+
+
+def _html_head() -> Column:
+    return F.concat(F.lit('<tr class="group"><th colspan="5">'), html_text(F.col("group_key")), F.lit(" &middot; "), F.col("n").cast("string"), F.lit(" files &middot; "), human_size(F.col("wasted")), F.lit(" reclaimable</th></tr>"))
+
+
 def html_groups(members: DataFrame) -> DataFrame:
     """group_key, the order columns and ``body``: table rows, with the bytes that each group would give back."""
-    cells = [html_text(F.col("name")), html_text(F.col("path")), human_size(F.col("size")), time_text(F.col("modified")), F.col("category")]
-    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
-    g = _by_group(members, row)
-    head = F.concat(F.lit('<tr class="group"><th colspan="5">'), html_text(F.col("group_key")), F.lit(" &middot; "), F.col("n").cast("string"), F.lit(" files &middot; "), human_size(F.col("wasted")), F.lit(" reclaimable</th></tr>"))
-    return g.select("group_key", *ORDER, F.concat_ws("\n", F.array(head), F.col("rows")).alias("body"))
+    g = _by_group(members, _html_line())
+    return g.select("group_key", *ORDER, F.concat_ws("\n", F.array(_html_head()), F.col("rows")).alias("body"))
+
+
+def lines(members: DataFrame, head: Column, line: Column) -> DataFrame:
+    """(group_key, member_ord, head, line), a row a member, in the report's order: a group of any size is as many rows."""
+    totals = members.groupBy("group_key").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("member_ord") == 0, F.col("size"))).alias("first_size"),
+        F.coalesce(F.sum(F.when(F.col("member_ord") > 0, F.col("size"))), F.lit(0)).alias("wasted"),
+    )
+    heads = totals.select("group_key", head.alias("head"))
+    return members.join(heads, "group_key").orderBy(*ORDER, "group_key", "member_ord").select("group_key", "member_ord", "head", line.alias("line"))
 
 
 def export(members: DataFrame, path: str, kind: str) -> None:
@@ -82,17 +108,23 @@ def export(members: DataFrame, path: str, kind: str) -> None:
                     out.writerow(row)
             elif kind == "json":
                 f.write(f'{{"total_groups": {total["groups"]}, "wasted_space": {total["wasted"]}, "groups": {{')
-                for i, row in enumerate(json_groups(members).orderBy(*ORDER, "group_key").toLocalIterator()):
-                    f.write(f"{', ' if i else ''}{json.dumps(row['group_key'])}: {row['files']}")
-                f.write("}}")
+                last = None
+                for row in lines(members, F.col("group_key"), F.to_json(_json_line())).toLocalIterator():
+                    if row["group_key"] == last:
+                        f.write(",")
+                    else:
+                        f.write(f"{'' if last is None else '], '}{json.dumps(row['group_key'])}: [")
+                    f.write(row["line"])
+                    last = row["group_key"]
+                f.write("}}" if last is None else "]}}")
             elif kind == "txt":
                 f.write(f"Duplicate report\nGroups: {total['groups']}\nReclaimable bytes: {total['wasted']}\n")
-                for row in text_groups(members).orderBy(*ORDER, "group_key").toLocalIterator():
-                    f.write("\n" + row["body"] + "\n")
+                for row in lines(members, _text_head(), _text_line()).toLocalIterator():
+                    f.write((f"\n{row['head']}\n" if row["member_ord"] == 0 else "") + row["line"] + "\n")
             elif kind == "html":
                 f.write(f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Duplicate report</title></head><body><h1>{total["groups"]} groups</h1><table>\n')
-                for row in html_groups(members).orderBy(*ORDER, "group_key").toLocalIterator():
-                    f.write(row["body"] + "\n")
+                for row in lines(members, _html_head(), _html_line()).toLocalIterator():
+                    f.write((f"{row['head']}\n" if row["member_ord"] == 0 else "") + row["line"] + "\n")
                 f.write("</table></body></html>\n")
             else:
                 raise ValueError(f"no such format: {kind}")

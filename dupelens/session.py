@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -34,9 +35,11 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    """A new folder below the session's ``spark.checkpoint.dir``; a temporary one where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _own[:] = _own or [tempfile.mkdtemp(prefix="dupelens-")]
         base = "file://" + _own[0]
     return f"{base.rstrip('/')}/dupelens-{uuid.uuid4().hex}"

@@ -5,32 +5,99 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.expr import path_key
 from ..functions.python_udfs import bin_record
 
+#: Bytes of a bin record that are read: more than any path needs.
+RECORD = 1 << 17
+
+
+def _place(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a store; plain paths are local ones."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getRawFileSystem() if fs.getScheme() == "file" else fs, p  # no checksum beside a local file, which others may edit
+
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array of objects as a table; a missing or damaged file is an empty one."""
-    try:
-        with open(path, encoding="utf-8") as f:
-            fine = isinstance(json.load(f), list)
-    except (OSError, ValueError):
-        fine = False
-    if not fine:
+    """A JSON array of objects, on any file system, as a table; a missing or damaged file is an empty one."""
+    fs, p = _place(spark, path)
+    if not fs.exists(p):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(f"file://{os.path.abspath(path)}", multiLine=True, mode="PERMISSIVE")
+    whole = spark.read.text(p.toString(), wholetext=True).filter(F.ltrim(F.col("value")).startswith("["))
+    rows = whole.select(F.explode(F.from_json("value", f"array<struct<{schema}>>", {"mode": "PERMISSIVE"})).alias("r"))
+    return rows.filter("r IS NOT NULL").select("r.*")
 
 
 def write_json(rows: DataFrame, path: str) -> None:
-    """Replace the store by ``rows``, a bounded table (a journal, a history): the new file appears whole."""
-    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
-    with open(tmp, "w", encoding="utf-8") as f:
-        f.write("[\n" + ",\n".join(rows.toJSON().toLocalIterator()) + "\n]\n")
-    os.replace(tmp, path)
+    """Replace the store by ``rows``, a bounded table (a journal, a history), on any file system: the new file appears whole."""
+    spark = rows.sparkSession
+    fs, p = _place(spark, path)
+    jvm, tmp = spark.sparkContext._jvm, p.suffix(f".{uuid.uuid4().hex}.tmp")
+    out = fs.create(tmp)
+    try:
+        out.write(bytearray(("[\n" + ",\n".join(rows.toJSON().toLocalIterator()) + "\n]\n").encode()))
+    finally:
+        out.close()
+    replace = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    replace.rename(tmp, p, options)
+
+
+class BinReader(DataSourceReader):
+    """Files of bins: those of a root and of its folders one level below, whose names don't begin with ``$``."""
+
+    def __init__(self, options: dict) -> None:
+        self.roots = [r for r in json.loads(options["roots"]) if os.path.isdir(r)]
+
+    def partitions(self) -> list[InputPartition]:
+        below = lambda r: [e.path for e in os.scandir(r) if e.is_dir() and not e.name.startswith("$")]
+        return [InputPartition(f) for r in self.roots for f in [r, *sorted(below(r))]]
+
+    def read(self, partition: InputPartition | None) -> Iterator[tuple]:
+        if partition is None:
+            return
+        try:
+            entries = sorted(os.scandir(partition.value), key=lambda e: e.name)
+        except OSError:  # another user's folder
+            return
+        for e in entries:
+            kind = e.name[:2].upper()
+            if kind == "$I" and e.is_file():
+                try:
+                    with open(e.path, "rb") as f:
+                        yield (e.path, f.read(RECORD), False)
+                except OSError:
+                    continue
+            elif kind == "$R":
+                yield (e.path, None, e.is_dir())
+
+
+class BinFolders(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "recycle_bins"
+
+    def schema(self) -> str:
+        return "path string, content binary, is_directory boolean"
+
+    def reader(self, schema) -> BinReader:
+        return BinReader(dict(self.options))
+
+
+def scan_bins(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """Entries of the recycle bins at ``roots``, each read with the folders right below it; bins that aren't there are empty."""
+    spark.dataSource.register(BinFolders)
+    return bin_entries(spark.read.format("recycle_bins").option("roots", json.dumps(roots)).load())
 
 
 def bin_entries(files: DataFrame) -> DataFrame:

@@ -7,14 +7,20 @@ pruned at their top; what can't be read is skipped. ``kind`` is ``files`` or ``d
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..operators.filters import NEVER_ENTERED
+from ..operators.dedup import Criteria, looked_at, size_candidates
+from ..operators.filters import NEVER_ENTERED, dedup_physical
+from ..session import write_once
 from .inventory import derived
 
 FILES = "path string, name string, size long, created double, modified double, dev long, ino long, walk_ord long, content binary"
@@ -32,7 +38,7 @@ def _closed(entry: os.DirEntry) -> bool:
 
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.roots = [r for r in options["path"].split(os.pathsep) if os.path.isdir(r)]
+        self.roots = [r for r in json.loads(options["roots"]) if os.path.isdir(r)]
         self.kind = options.get("kind", "files")
         self.content = options.get("content", "true") == "true"
 
@@ -99,12 +105,68 @@ class DirectoryTree(DataSource):
 def scan_tree(spark: SparkSession, roots: list[str], content: bool = True) -> DataFrame:
     """The inventory of directory trees, roots in order."""
     spark.dataSource.register(DirectoryTree)
-    rows = spark.read.format("directory_tree").option("content", str(content).lower()).load(os.pathsep.join(roots))
+    rows = spark.read.format("directory_tree").option("content", str(content).lower()).option("roots", json.dumps(roots)).load()
     return derived(rows)
 
 
 def scan_dirs(spark: SparkSession, roots: list[str]) -> DataFrame:
     """All folders below the roots: path, closed (pruned, linked or unreadable) and walk_ord."""
     spark.dataSource.register(DirectoryTree)
-    rows = spark.read.format("directory_tree").option("kind", "dirs").load(os.pathsep.join(roots))
+    rows = spark.read.format("directory_tree").option("kind", "dirs").option("roots", json.dumps(roots)).load()
     return rows.groupBy("path").agg(F.bool_or("closed").alias("closed"), F.min("walk_ord").alias("walk_ord"))
+
+
+def _turbo(path: str, size: int, partial: int) -> str | None:
+    """As ``expr.turbo_hash``, reading no more than the parts that count."""
+    try:
+        with open(path, "rb") as f:
+            h = hashlib.md5(f.read(partial), usedforsecurity=False)
+            if size > 2 * partial:
+                f.seek(size - partial)
+                h.update(f.read(partial))
+    except OSError:
+        return None
+    h.update(str(size).encode())
+    return h.hexdigest()
+
+
+def _full(path: str) -> str | None:
+    """As ``expr.full_hash``, a piece at a time."""
+    try:
+        with open(path, "rb") as f:
+            return hashlib.file_digest(f, "sha256").hexdigest()
+    except OSError:
+        return None
+
+
+@F.pandas_udf(T.StringType())
+def partial_digest(path: pd.Series, size: pd.Series, partial: pd.Series) -> pd.Series:
+    return pd.Series([_turbo(*x) for x in zip(path, size, partial, strict=True)], dtype="object")
+
+
+@F.pandas_udf(T.StringType())
+def whole_digest(path: pd.Series) -> pd.Series:
+    return path.map(_full)
+
+
+def fingerprints(spark: SparkSession, roots: list[str], criteria: Criteria = Criteria(), known: DataFrame | None = None) -> DataFrame:
+    """The inventory of the trees with ``full``, for ``find_duplicates``; files are read as little as may be.
+
+    Files of unique size aren't opened. In turbo mode the others show their ends first, and only those with equal
+    ends are read whole; else all are. ``known`` (path, full_hash): files that need no reading. ``full`` is null
+    for files that can equal no other, and for those that can't be read. Each step is written once, and files
+    are spread over tasks by path, wherever they lie.
+    """
+    rows = write_once(dedup_physical(looked_at(scan_tree(spark, roots, content=False).drop("content"), criteria, roots)), "files")
+    todo = size_candidates(rows).drop("block_ord") if criteria.by_size else rows
+    if known is not None:
+        todo = todo.join(known.filter(F.col("full_hash").isNotNull()).select("path"), "path", "left_anti")
+    todo = todo.select("path", "size")
+    if criteria.turbo and known is None:
+        parts = write_once(todo.repartition("path").withColumn("part", partial_digest("path", "size", F.lit(criteria.partial))), "ends")
+        again = parts.filter(F.col("part").isNotNull()).groupBy("size", "part").count().filter("count > 1").drop("count")
+        todo = parts.join(again, ["size", "part"], "left_semi").select("path", "size")
+    full = todo.repartition("path").select("path", whole_digest("path").alias("full"))
+    if known is not None:
+        full = full.unionByName(known.filter(F.col("full_hash").isNotNull()).select("path", F.col("full_hash").alias("full")))
+    return rows.join(write_once(full, "digests"), "path", "left")
