@@ -1,39 +1,59 @@
 """Nearest neighbours by a hash-prefix forest.
 
-Vectors are dealt to shards of about ``SHARD_ROWS`` by their id. In a shard, each of ``TREES`` trees gives every
-vector a string of ``LENGTH`` random-hyperplane bits and keeps the strings sorted. A query goes down each tree to
-its longest matching prefix by binary search, then all trees go up together, a bit at a time, until the rows
-under the matched prefixes are at least ``SHARE`` of the shard (and ``LEAST``). These candidates are measured
-exactly, in double precision. Queries, in blocks of ``QUERIES``, meet every shard; a task holds one of each.
+Vectors are dealt to shards of about ``SHARD_ROWS`` by their id, once. In a shard, each of ``TREES`` trees gives
+every vector a string of ``LENGTH`` random-hyperplane bits and keeps the strings sorted. The queries are written
+once, and each shard's task streams all of them past its forest: a query goes down each tree to its longest
+matching prefix by binary search, then all trees go up together, a bit at a time, until the rows under the matched
+prefixes are a certain share of the shard. These candidates are measured exactly, in double precision.
 
-On directions that are all far apart, as random ones in 64 dimensions, prefixes say little: for nine tenths of
-the true neighbours, a third of the rows must be measured. ``SHARE`` is set for that; clustered data would
-do with far less.
+The share is found in each shard: the least of ``SHARES`` at which ``PROBES`` of its own rows, spread over it,
+find ``RECALL`` of their exact neighbours in it. On directions that are all far apart, as random ones in 64
+dimensions, prefixes say little, and a third of the rows must be measured; clustered data does with far less.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and rows without id,
-take no part; of rows of one id the least vector counts; a query meets only vectors of its own dimension;
-ties go to the smaller id; a query with fewer candidates gets them all; no rows give no rows.
+take no part; of rows of one id the shortest and then least vector counts; a query meets only vectors of its own
+dimension; finite vectors of any length are measured (they are scaled by a power of two where squares would
+overflow or vanish); ties go to the smaller id; a query with fewer candidates gets them all; no rows give no rows.
+Columns other than vec_id and embedding are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..joins import spread_join
+from .common import Held, filesystem, materialize, release, shared_dir
+
 TREES, LENGTH = 128, 32
-SHARE, LEAST = 0.3, 1000
+SHARES = (0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.7)
+RECALL, PROBES = 0.96, 48
+LEAST = 1000
 SHARD_ROWS = 8192
-QUERIES = 4096
+#: Queries that a task holds at once.
+QUERIES = 512
 K = 10
+#: Ids are broadcast up to this number.
+BROADCAST_IDS = 100_000
+#: Squares of components within these sizes neither overflow nor vanish.
+SMALL, LARGE = 1e-140, 1e140
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of the vectors that take part."""
+    """(vec_id, v) of the vectors that take part, a row an id."""
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(F.col("v"), lambda x: x != 0)
-    return vectors.select("vec_id", v.alias("v")).filter(F.col("vec_id").isNotNull() & fine)
+    rows = vectors.select("vec_id", v.alias("v")).filter(F.col("vec_id").isNotNull() & fine)
+    repeated = materialize(rows.groupBy("vec_id").count().filter("count > 1").select("vec_id"), "repeated")
+    if repeated.isEmpty():
+        return rows
+    some = spread_join(rows, repeated, ["vec_id"], BROADCAST_IDS, "left_semi")
+    one = some.groupBy("vec_id").agg(F.min(F.struct(F.size("v").alias("n"), "v")).alias("least")).select("vec_id", F.col("least.v").alias("v"))
+    return spread_join(rows, repeated, ["vec_id"], BROADCAST_IDS, "left_anti").unionByName(one)
 
 
 class Forest:
@@ -43,13 +63,15 @@ class Forest:
         self.planes = np.random.default_rng(seed).standard_normal((x.shape[1], trees * LENGTH)).astype(np.float32)
         self.trees, self.n = trees, len(x)
         codes = self.hash(x)
-        self.order = np.argsort(codes, axis=0, kind="stable")
+        self.order = np.argsort(codes, axis=0, kind="stable").astype(np.int32)
         self.codes = np.take_along_axis(codes, self.order, 0)
 
     def hash(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), self.trees), np.uint64)
         for start in range(0, len(x), 2048):
-            bits = (x[start : start + 2048].astype(np.float32) @ self.planes > 0).reshape(-1, self.trees, LENGTH)
+            part = x[start : start + 2048]
+            part = (part / np.abs(part).max(1, keepdims=True)).astype(np.float32)  # only the direction counts
+            bits = (part @ self.planes > 0).reshape(-1, self.trees, LENGTH)
             for b in range(LENGTH):
                 out[start : start + 2048] = (out[start : start + 2048] << np.uint64(1)) | bits[:, :, b]
         return out
@@ -89,6 +111,10 @@ class Forest:
 def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, found: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query id, row id, distance) of the k nearest candidates of each query."""
     out = []
+    top = max(np.abs(x).max(initial=0), np.abs(q).max(initial=0))
+    low = min((np.abs(v).max(1).min(initial=np.inf) for v in (x, q)), default=1.0)
+    scale = 2.0 ** -np.frexp(top)[1] if top > LARGE or low < SMALL else 1.0  # a power of two: exact
+    x, q = (x, q) if scale == 1.0 else (x * scale, q * scale)
     xx = (x * x).sum(1)
     for i in range(len(q)):
         near = np.flatnonzero(found[i] & (ids != q_ids[i]))
@@ -98,49 +124,74 @@ def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, fo
         if len(near) > k:  # all that might be among the first k
             edge = np.partition(rough, k - 1)[k - 1]
             near = near[rough <= edge + 1e-9 * (1 + abs(edge) + float(q[i] @ q[i]))]
-        exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
+        exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1)) / scale
         for j in np.lexsort((ids[near], exact))[:k]:
             out.append((int(q_ids[i]), int(ids[near[j]]), float(exact[j])))
     return out
 
 
-def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, vectors), of each id the least vector."""
-    if not t.num_rows:
-        return np.zeros(0, np.int64), np.zeros((0, 1))
-    ids = t["vec_id"].to_numpy().astype(np.int64)
-    x = t["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    if (ids[1:] == ids[:-1]).any():
-        order = np.lexsort((*x.T[::-1], ids))
-        ids, x = ids[order], x[order]
-        new = np.concatenate([[True], ids[1:] != ids[:-1]])
-        ids, x = ids[new], x[new]
-    return ids, x
+class Shard:
+    """Rows of one dimension, their forest, and how many of them a query has to meet."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, recall: float, least: int) -> None:
+        self.ids, self.x, self.forest = ids, x, Forest(x)
+        self.enough = self._enough(k, recall, min(len(ids), max(least, k)))
+
+    def _enough(self, k: int, recall: float, least: int) -> int:
+        n = len(self.ids)
+        if least >= n:
+            return n
+        at = np.linspace(0, n - 1, min(n, PROBES)).astype(np.int64)
+        q, q_ids = self.x[at], self.ids[at]
+        want = {(i, j) for i, j, _ in nearest(self.x, self.ids, q, q_ids, np.ones((len(at), n), bool), k)}
+        for share in SHARES:
+            enough = max(least, int(share * n))
+            got = {(i, j) for i, j, _ in nearest(self.x, self.ids, q, q_ids, self.forest.candidates(q, enough), k)}
+            if len(want & got) >= recall * len(want):
+                return enough
+        return n
+
+    def search(self, q: np.ndarray, q_ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        return nearest(self.x, self.ids, q, q_ids, self.forest.candidates(q, self.enough), k)
+
+
+def _by_dimension(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, ids, vectors) of rows (vec_id, v)."""
+    size = np.asarray(pa.compute.list_value_length(batch["v"]))
+    for d in np.unique(size):
+        some = batch.take(pa.array(np.flatnonzero(size == d)))
+        v = some["v"].combine_chunks() if isinstance(some["v"], pa.ChunkedArray) else some["v"]
+        yield int(d), some["vec_id"].cast(pa.int64()).to_numpy(), v.flatten().to_numpy().reshape(len(some), int(d))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RECALL, least: int = LEAST) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the ``k`` nearest found to each query row."""
+    spark = vectors.sparkSession
     rows = usable(vectors)
-    n, n_queries = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-n_queries // QUERIES))
-    rows = rows.withColumn("d", F.size("v"))
-    index = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = rows.filter(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def run(key, have: pa.Table, ask: pa.Table) -> pa.Table:
-        (ids, x), (q_ids, q) = _matrix(have), _matrix(ask)
-        if not len(ids) or not len(q_ids):
-            got = []
-        else:
-            forest = Forest(x)
-            enough = min(len(ids), max(least, int(share * len(ids))))
-            got = [r for s in range(0, len(q), 512) for r in nearest(x, ids, q[s : s + 512], q_ids[s : s + 512], forest.candidates(q[s : s + 512], enough), k)]
-        a, b, c = zip(*got, strict=True) if got else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
-
-    keys = ["shard", "block", "d"]
-    found = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    queries = f"{shared_dir(spark)}/queries"
+    rows.filter(is_query).write.parquet(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
+
+        Held.begin("vectors")
+        have = list(batches)
+        if not have:
+            return
+        shard = {d: Shard(ids, x, k, recall, least) for d, ids, x in _by_dimension(pa.Table.from_batches(have))}
+        del have
+        fs, path = filesystem(queries)
+        for batch in ds.dataset(path, filesystem=fs, format="parquet").to_batches(batch_size=QUERIES):
+            for d, ids, q in _by_dimension(batch) if batch.num_rows else ():
+                got = shard[d].search(q, ids, k) if d in shard else []
+                if got:
+                    a, b, c = zip(*got, strict=True)
+                    yield pa.record_batch({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+        del shard
+        release()
+
+    of = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
+    found = rows.repartitionById(shards, of).mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -47,7 +47,7 @@ WINDOW, STRIDE = 32, 20
 #: A long word's windows are made and joined so many bytes at a time.
 SECTION = 1 << 18
 #: Bytes of words and stretches that a worker remembers; beyond, it keeps what was asked for again, up to half of it.
-REMEMBER = 96 << 20
+REMEMBER = 72 << 20
 #: Bytes of words a recursive query.
 QUERY_BYTES = 200_000
 PIECES, WORD = SpanHash(303), SpanHash(304)

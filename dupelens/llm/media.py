@@ -2,8 +2,9 @@
 
 A text's bytes, padded with zeros to a multiple of 64, become a grey PNG of 64 samples a row. Tasks append the
 images to archives in the shared folder. An archive is a row of members (header, image) and ends with a sparse
-directory: where a member begins, about every ``STEP`` bytes. The data source reads these directories alone to
-plan partitions, byte ranges that begin at a member. Readers stream members through Arrow in batches; a member
+directory: where a member begins, about every ``STEP`` bytes. The directories are also one table beside the
+archives, a row an archive; the data source reads this table alone to plan partitions, byte ranges that begin at a
+member, so that the driver opens no archive. Readers stream members through Arrow in batches; a member
 that can't be read or whose checksum is wrong is fetched again by its offset, without its neighbours.
 
 Defined results: a null text is empty; an empty payload is 64 zeros; equal texts give equal images; rows keep
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import filesystem, mapped, materialize, release, shared_dir, slices, small_batches, text_bytes
+from .common import filesystem, mapped, release, shared_dir, slices, small_batches, text_bytes
 
 WIDTH = 64
 STEP = 1 << 20
@@ -33,8 +34,9 @@ BATCH = 8 << 20
 TRIES = 4
 MEMBER = struct.Struct("<4sqQQI")  # mark, doc_id, payload's bytes, image's bytes, image's crc32
 FOOTER = struct.Struct("<QQ8s")  # directory entries, end of the members, mark
-MARK, END = b"MEMB", b"DLARCH01"
-NULL_ID = -(2**63)
+MARK, NO_ID, END = b"MEMB", b"MEM0", b"DLARCH01"
+#: Partitions that the driver plans, at most; beyond, each gets more bytes.
+PARTITIONS = 100_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -85,22 +87,23 @@ def features(samples: np.ndarray) -> str:
 
 
 class _Writer:
-    def __init__(self, folder: str) -> None:
+    def __init__(self, folder: str, archive: int = ARCHIVE, step: int = STEP) -> None:
         self.fs, self.path = filesystem(folder)
+        self.archive, self.step = archive, step
         self.fs.create_dir(self.path, recursive=True)
         self.out = None
 
-    def add(self, doc_id: int, n_bytes: int, png: bytes) -> dict | None:
+    def add(self, doc_id: int | None, n_bytes: int, png: bytes) -> dict | None:
         """A full archive's row, once it is closed."""
         if self.out is None:
             self.name, self.at, self.members, self.directory = f"{uuid.uuid4().hex}.arc", 0, 0, []
             self.out = self.fs.open_output_stream(f"{self.path}/{self.name}")
-        if not self.directory or self.at - self.directory[-1] >= STEP:
+        if not self.directory or self.at - self.directory[-1] >= self.step:
             self.directory.append(self.at)
-        self.out.write(MEMBER.pack(MARK, doc_id, n_bytes, len(png), zlib.crc32(png)))
+        self.out.write(MEMBER.pack(NO_ID if doc_id is None else MARK, doc_id or 0, n_bytes, len(png), zlib.crc32(png)))
         self.out.write(png)
         self.at, self.members = self.at + MEMBER.size + len(png), self.members + 1
-        return self.close() if self.at >= ARCHIVE else None
+        return self.close() if self.at >= self.archive else None
 
     def close(self) -> dict | None:
         if self.out is None:
@@ -109,79 +112,78 @@ class _Writer:
         self.out.write(FOOTER.pack(len(self.directory), self.at, END))
         self.out.close()
         self.out = None
-        return {"file": [self.name], "members": [self.members], "bytes": [self.at]}
+        return {"file": [self.name], "members": [self.members], "bytes": [self.at], "directory": [self.directory]}
 
 
-def write_archives(docs: DataFrame) -> tuple[str, DataFrame]:
-    """(folder, manifest): file, members, bytes. Files of lost tasks are in no manifest."""
+def write_archives(docs: DataFrame) -> str:
+    """The folder of the archives and their table, ``directories``: file, members, bytes, directory. Files of lost tasks aren't in it."""
     small_batches(docs.sparkSession)
-    folder = shared_dir(docs.sparkSession) + "/media"
+    folder, archive, step = shared_dir(docs.sparkSession) + "/media", ARCHIVE, STEP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = _Writer(folder)
+        w = _Writer(folder, archive, step)
         for batch in batches:
             for part in slices(batch, "text"):
                 buf, off = text_bytes(part.column(1))
                 data, cut = buf.tobytes(), off.tolist()
                 for i, a, b in zip(part.column(0).cast(pa.int64()).to_pylist(), cut[:-1], cut[1:], strict=True):
                     n = b - a
-                    row = w.add(NULL_ID if i is None else i, n, to_png(data[a:b] + bytes(max(WIDTH, -(-n // WIDTH) * WIDTH) - n)))
+                    row = w.add(i, n, to_png(data[a:b] + bytes(max(WIDTH, -(-n // WIDTH) * WIDTH) - n)))
                     if row:
                         yield pa.record_batch(row)
         if row := w.close():
             yield pa.record_batch(row)
         release()
 
-    manifest = docs.select("doc_id", "text").mapInArrow(run, "file string, members long, bytes long")
-    return folder, materialize(manifest, "manifest")
+    docs.select("doc_id", "text").mapInArrow(run, "file string, members long, bytes long, directory array<long>").write.parquet(f"{folder}/directories")
+    return folder
 
 
 class Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int) -> None:
-        self.path, self.start, self.end = path, start, end
+    """Byte ranges (file, start, end)."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]) -> None:
+        self.ranges = ranges
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.folder, self.files = options["folder"], options["files"]
+        self.folder = options["folder"]
         self.split = int(options.get("split", SPLIT))
 
     def partitions(self) -> list[Range]:
-        """Ranges of about ``split`` bytes, from the directories."""
-        fs, folder = filesystem(self.folder)
-        with fs.open_input_stream(filesystem(self.files)[1]) as f:
-            names = f.read().decode().split()
-        out = []
-        for name in names:
-            with fs.open_input_file(f"{folder}/{name}") as f:
-                size = f.size()
-                f.seek(size - FOOTER.size)
-                entries, end, mark = FOOTER.unpack(f.read(FOOTER.size))
-                if mark != END:
-                    raise ValueError(f"{name} is not a whole archive")
-                f.seek(end)
-                directory = np.frombuffer(f.read(8 * entries), "<u8").tolist()
-            start = 0
-            for at in [*directory[1:], end]:
-                if at - start >= self.split or at == end:
-                    out.append(Range(name, start, at))
-                    start = at
-        return out
+        """Ranges of about ``split`` bytes, from the table of directories."""
+        import pyarrow.dataset as ds
+
+        fs, path = filesystem(self.folder)
+        archives = ds.dataset(f"{path}/directories", filesystem=fs, format="parquet").to_table(columns=["file", "bytes", "directory"])
+        split = max(self.split, pa.compute.sum(archives["bytes"]).as_py() // PARTITIONS if archives.num_rows else 0)
+        out, held, size = [], [], 0
+        for batch in archives.to_batches(max_chunksize=1000):
+            for name, end, directory in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                start = 0
+                for at in [*directory[1:], end]:
+                    if size + at - start >= split or at == end:
+                        held, size, start = [*held, (name, start, at)], size + at - start, at
+                        if size >= split:
+                            out.append(Range(held))
+                            held, size = [], 0
+        return [*out, Range(held)] if held else out
 
     def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no archives
             return
         fs, folder = filesystem(self.folder)
-        path = f"{folder}/{partition.path}"
-        at, rows, held = partition.start, [], 0
-        source = Members(lambda: fs.open_input_file(path))
-        while at < partition.end:
-            doc_id, n_bytes, png, at = source.member(at)
-            rows.append((None if doc_id == NULL_ID else doc_id, n_bytes, png))
-            held += len(png)
-            if held >= BATCH:
-                yield _batch(rows)
-                rows, held = [], 0
+        rows, held = [], 0
+        for name, at, end in partition.ranges:
+            source = Members(lambda path=f"{folder}/{name}": fs.open_input_file(path))
+            while at < end:
+                doc_id, n_bytes, png, at = source.member(at)
+                rows.append((doc_id, n_bytes, png))
+                held += len(png)
+                if held >= BATCH:
+                    yield _batch(rows)
+                    rows, held = [], 0
         if rows:
             yield _batch(rows)
 
@@ -192,7 +194,8 @@ class Members:
     def __init__(self, open_) -> None:
         self.open, self.file, self.retried = open_, None, 0
 
-    def member(self, at: int) -> tuple[int, int, bytes, int]:
+    def member(self, at: int) -> tuple[int | None, int, bytes, int]:
+        """(doc_id, payload's bytes, image, where the next one begins)."""
         for attempt in range(TRIES):
             try:
                 if self.file is None:
@@ -200,9 +203,9 @@ class Members:
                 self.file.seek(at)
                 mark, doc_id, n_bytes, size, crc = MEMBER.unpack(self.file.read(MEMBER.size))
                 png = self.file.read(size)
-                if mark != MARK or len(png) != size or zlib.crc32(png) != crc:
+                if mark not in (MARK, NO_ID) or len(png) != size or zlib.crc32(png) != crc:
                     raise OSError(f"a damaged member at {at}")
-                return doc_id, n_bytes, png, at + MEMBER.size + size
+                return None if mark == NO_ID else doc_id, n_bytes, png, at + MEMBER.size + size
             except (OSError, struct.error):
                 self.file, self.retried = None, self.retried + 1
                 if attempt == TRIES - 1:
@@ -216,7 +219,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class MediaArchives(DataSource):
-    """``format("media_archives")``: options folder, files (a text file of archive names) and split."""
+    """``format("media_archives")``: options folder and split."""
 
     @classmethod
     def name(cls) -> str:
@@ -229,16 +232,10 @@ class MediaArchives(DataSource):
         return ArchiveReader(dict(self.options))
 
 
-def read_archives(spark: SparkSession, folder: str, manifest: DataFrame, split: int = SPLIT) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, split: int = SPLIT) -> DataFrame:
     """doc_id, n_bytes and media of all members."""
     spark.dataSource.register(MediaArchives)
-    fs, path = filesystem(folder)
-    fs.create_dir(path, recursive=True)
-    files = f"{folder}/files-{uuid.uuid4().hex}.txt"
-    with fs.open_output_stream(filesystem(files)[1]) as f:
-        for row in manifest.select("file").toLocalIterator():  # a name for each 64 MB
-            f.write(row["file"].encode() + b"\n")
-    return spark.read.format("media_archives").option("folder", folder).option("files", files).option("split", split).load()
+    return spark.read.format("media_archives").option("folder", folder).option("split", split).load()
 
 
 def measure(media: DataFrame) -> DataFrame:

@@ -10,12 +10,13 @@ only that bin's documents are put in order.
 
 Defined results: a null text has size 0; a null source is a source of its own, ranked last; sizes of 0 are
 taken 0 times; null weights count as 1; ties of key go by doc_id (nulls first); equal rows are interchangeable.
-An empty table gives an empty result. Columns of the input pass through; names of this operator
-(``size`` and so on) win over equal names of the input, which are dropped.
+An empty table gives an empty result. Columns of the input pass through, whatever their names; only those named
+like a column of the result (``size``, ``source_size``, ``target``, ``taken``) are dropped.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Bins of the key; the exact order is needed only within one bin of each source.
-BINS = 4096
+#: Bins of the key, at least and at most; the exact order is needed only within one bin of each source. There are
+#: eight times the root of the number of rows, so that bins and the rows of one grow alike.
+BINS, MOST_BINS = 4096, 1 << 20
 #: Sources up to this number are broadcast (about 100 bytes each); beyond, a salted join is used.
 BROADCAST_SOURCES = 100_000
 SALTS = 32
@@ -79,7 +81,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, c
     """
     docs = docs.drop(*RESULT)
     cols = docs.columns if keep_text else [c for c in docs.columns if c != "text"]
-    rows = docs.select(*[F.col(c) for c in cols], word_count(F.col("text")).alias("size"))
+    own = {c: c if c in ("doc_id", "source", "text") else f"in{i}" for i, c in enumerate(cols)}  # no clash with names below
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], word_count(F.col("text")).alias("size"))
     if quality is not None:
         small = quality.count() <= BROADCAST_QUALITY
         rows = rows.join(F.broadcast(quality) if small else quality, F.col("doc_id") == F.col("_q_id"), "left")
@@ -88,12 +91,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, c
     rows = rows.withColumn("_key", -F.log(uniform(F.col("doc_id"), seed)) / F.coalesce(F.col("_q"), F.lit(1.0)))
     if not keep_text:  # slim rows: the texts are read once
         rows = materialize(rows, "sizes")
-    rows = rows.withColumn("_bin", F.least(F.lit(BINS - 1), F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * BINS)).cast("int"))
+    n_bins = min(MOST_BINS, max(BINS, 1 << math.ceil(math.log2(8 * math.sqrt(max(1, (docs if keep_text else rows).count()))))))
+    rows = rows.withColumn("_bin", F.least(F.lit(n_bins - 1), F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * n_bins)).cast("int"))
     bins = rows.groupBy("source", "_bin").agg(F.sum("size").alias("words"))
     budget = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     budget = budget.withColumn("_passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     budget = budget.withColumn("_rest", F.col("target") - F.col("_passes") * F.col("source_size"))
-    run = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)  # at most BINS rows
+    run = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)  # at most MOST_BINS rows
     ends = (
         bins.withColumn("upto", F.sum("words").over(run)).alias("b").join(budget.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
         .groupBy(F.col("t.source").alias("_source"), "source_size", "target", "_passes", "_rest")
@@ -106,17 +110,17 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, c
         rows = rows.join(F.broadcast(ends), F.col("source").eqNullSafe(F.col("_source")))
     else:  # a hot source is spread over the salts
         salted = ends.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_key"), F.lit(SALTS)).cast("int")).withColumnRenamed("_salt", "_salt_")
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_key", "size"), F.lit(SALTS)).cast("int")).withColumnRenamed("_salt", "_salt_")
         rows = rows.join(salted, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_salt_") == F.col("_salt")))
     edge = F.coalesce(F.col("_bin") == F.col("_end"), F.lit(False))
     whole = rows.filter(~edge).withColumn("_more", F.when(F.coalesce(F.col("_bin") < F.col("_end"), F.lit(True)) & (F.col("_rest") > 0), F.lit(1)).otherwise(F.lit(0)))
     order = Window.partitionBy("source").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    # the end bin: 1 / BINS of a source, so its window is small
+    # the end bin: one of at least BINS of a source, so its window is small
     part = rows.filter(edge).withColumn("_sum", F.col("_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     gap = F.col("_rest") - F.col("_sum")
     part = part.withColumn("_more", F.when((F.col("_rest") > 0) & (gap > 0) & (F.col("size") <= gap * 2), F.lit(1)).otherwise(F.lit(0))).drop("_sum")
     out = whole.unionByName(part)
-    return out.select(*[F.col(c) for c in cols], "size", "source_size", "target", (F.col("size") * (F.col("_passes") + F.col("_more"))).cast("long").alias("taken"))
+    return out.select(*[F.col(n).alias(c) for c, n in own.items()], "size", "source_size", "target", (F.col("size") * (F.col("_passes") + F.col("_more"))).cast("long").alias("taken"))
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..joins import spread_join
 from .common import fmix, mapped, materialize, release, small_batches, text_bytes, word_hashes
 
 N = 5
@@ -36,6 +37,10 @@ ROWS = 5
 BLOCK = 256
 #: Keys of the texts whose sets are needed: broadcast up to this number (8 bytes each), else a shuffle join.
 BROADCAST_KEYS = 1_000_000
+#: Sets of more copies than this are few; they go to the documents, whose rows are never brought together by them.
+HOT = 500
+#: Names of sets are broadcast up to this number (some 60 bytes each), else salted.
+BROADCAST_NODES = 200_000
 COLUMNS = 4096
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(55)
@@ -168,11 +173,13 @@ def components(edges: DataFrame) -> DataFrame:
         step = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to"))
         step = materialize(step, "step")
         on = step.select(F.col("a").alias("to"), F.col("to").alias("on"))
-        step = materialize(step.join(on, "to").select("a", F.col("on").alias("to")), "step")
+        # the middle of a large component is the key of many rows
+        step = materialize(spread_join(step, on, ["to"], BROADCAST_NODES, by="a").select("a", F.col("on").alias("to")), "step")
         ends = [step.select(F.col("a").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab"]
-        edges = edges.join(ends[0], "a").join(ends[1], "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
+        edges = spread_join(edges, ends[0], ["a"], BROADCAST_NODES, by="b")
+        edges = spread_join(edges, ends[1], ["b"], BROADCAST_NODES, by="a").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
         edges = materialize(edges.filter(F.col("a") != F.col("b")).distinct(), "edges")
-        labels = materialize(labels.join(step.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+        labels = materialize(spread_join(labels, step.withColumnRenamed("a", "root"), ["root"], BROADCAST_NODES, "left", "node").select("node", F.coalesce("to", "root").alias("root")), "labels")
     return labels
 
 
@@ -225,8 +232,10 @@ def _joined(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     named = groups.join(classes.select("node", "rep"), "node")
     heads = named.groupBy("root").agg(F.min("rep").alias("head"))
     linked = groups.join(heads, "root").join(degree, "node").select("node", "root", "head", "texts", "docs")
-    info = classes.select("node", "copies", "rep").join(linked, "node", "left")
-    out = each.select("doc_id", "node").join(info, "node")
+    info = materialize(classes.select("node", "copies", "rep").join(linked, "node", "left"), "info")
+    rows, hot = each.select("doc_id", "node"), info.filter(F.col("copies") > HOT)
+    cold = spread_join(rows, hot.select("node"), ["node"], BROADCAST_NODES, "left_anti").join(info.filter(F.col("copies") <= HOT), "node")
+    out = spread_join(rows, hot, ["node"], BROADCAST_NODES).unionByName(cold)
     return out.select(
         "doc_id", F.coalesce("head", "rep").alias("class_id"), F.col("rep").alias("copy_id"),
         (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),

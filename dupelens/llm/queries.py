@@ -56,8 +56,7 @@ def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import measure, read_archives, write_archives
 
-    folder, manifest = write_archives(table(spark, sf_dir, "documents"))
-    return measure(read_archives(spark, folder, manifest))
+    return measure(read_archives(spark, write_archives(table(spark, sf_dir, "documents"))))
 
 
 def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +79,9 @@ URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .urlfilter import judge
+    from .urlfilter import html_label, judge
 
-    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judge(table(spark, sf_dir, "pages"), URL_RULES, html_label(F.col("html"))).drop("html")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

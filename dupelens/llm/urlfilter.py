@@ -9,8 +9,12 @@ that a task holds a node's distinct counts, not its branches. A template, the pa
 leaf, is rejected if its smoothed purity - bad labels plus ``BAD_PRIOR``, over all labels plus both priors -
 reaches ``REJECT``; templates without labels stay.
 
+Labels: what a rule says; else, where html is given, what its text shows (``html_label``): much punctuation or few
+distinct words are bad, a text of some length without either is good, any other says nothing. So labels vary
+within a host, and a template stands for its pages that say nothing themselves.
+
 Defined results: a null url, or one without ``://``, has an empty host and path and is a template of its own;
-labels that are null don't count; equal urls get equal verdicts; rows keep null and repeated ids; no rows
+labels that are null don't count; a null or empty html says nothing; equal urls get equal verdicts; rows keep null and repeated ids; no rows
 give no rows; further columns pass through, save those named like a result's.
 """
 
@@ -23,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..joins import spread_join, unused
 from .common import materialize
 
 SUPPORT = 2
@@ -32,6 +37,10 @@ BAD_PRIOR, GOOD_PRIOR = 1.0, 3.0
 REJECT = 0.6
 #: Tables of finished templates are written as one when there are so many.
 PARTS = 16
+#: A text is bad from this share of punctuation among its characters on, or this many distinct words over the root of all.
+PUNCTUATION, DISTINCT = 0.1, 4.0
+#: Words of a text that may be bad by its words, or good.
+ENOUGH = 50
 #: Two branches are alike up to this many standard errors between their shares.
 ALIKE = 1.96
 #: Templates are broadcast up to this many (some 100 bytes each); beyond, they are joined by shuffle.
@@ -63,6 +72,18 @@ def shape(path: Column) -> Column:
     return F.transform(s, lambda x: F.when(x.rlike(r"[0-9]") | (F.length(x) > 40), F.lit("*")).otherwise(x))
 
 
+def html_label(html: Column) -> Column:
+    """1 where a page's text is bad, 0 where it is good, null where it doesn't say."""
+    # what isn't closed goes to the end, and a tag ends before the next: no start is scanned from twice
+    text = F.regexp_replace(html, r"(?is)<(script|style|nav|title)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)", " ")
+    text = F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^<>]*>", " "), r"\s+", " "))
+    words = F.split(F.lower(text), " ")
+    punctuation = F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s]")) / F.nullif(F.length(text), F.lit(0))
+    enough = F.size(words) >= ENOUGH
+    few = F.size(F.array_distinct(words)) < DISTINCT * F.sqrt(F.size(words))
+    return F.when((punctuation >= PUNCTUATION) | (enough & few), F.lit(1)).when(enough, F.lit(0))
+
+
 def _merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Bins of one node's branches with equal counts: similar ones get one group."""
     rate = pdf["bad"] / pdf["labels"].where(pdf["labels"] > 0)
@@ -86,8 +107,7 @@ def _names(stats: DataFrame) -> DataFrame:
     """(host, prefix, seg, branch) of branches (host, prefix, seg, labels, bad); a literal segment has no digit, so no two names meet."""
     bins = stats.groupBy("host", "prefix", "labels", "bad").agg(F.count(F.lit(1)).alias("width"), F.min("seg").alias("least"))
     merged = materialize(bins.groupBy("host", "prefix").applyInPandas(_merge, "host string, prefix string, labels long, bad long, group long, width long, least string"), "merged")
-    small = merged.count() <= BROADCAST_TEMPLATES
-    each = stats.join(F.broadcast(merged) if small else merged, ["host", "prefix", "labels", "bad"])
+    each = spread_join(stats, merged, ["host", "prefix", "labels", "bad"], BROADCAST_TEMPLATES)
     wide = F.col("width") > NAMED
     by = Window.partitionBy("host", "prefix", "group", F.when(wide, F.col("seg")))
     plain = lambda c: F.replace(F.col(c), F.lit("|"), F.lit("%7C"))
@@ -106,7 +126,8 @@ def templates(pages: DataFrame) -> DataFrame:
         deeper = F.size("shape") >= level
         nodes = at.filter(deeper).groupBy("host", "prefix").agg((F.count(F.lit(1)) > 1).alias("many"), F.sum("n").alias("pages"), F.sum("labels").alias("known"))
         nodes = nodes.filter(F.col("many") & (F.col("pages") >= SUPPORT) & (F.col("known") > 0)).select("host", "prefix", F.lit(True).alias("open"))
-        at = materialize(at.join(nodes, ["host", "prefix"], "left").withColumn("open", deeper & F.col("open").isNotNull()), "level")
+        nodes = materialize(nodes, "nodes")
+        at = materialize(spread_join(at, nodes, ["host", "prefix"], BROADCAST_TEMPLATES, "left").withColumn("open", deeper & F.col("open").isNotNull()), "level")
         tail = F.array_join(F.slice("shape", F.lit(level), F.greatest(F.size("shape") - (level - 1), F.lit(0))), "/")
         done.append(at.filter(~F.col("open")).withColumn("prefix", F.when(deeper, F.concat("prefix", F.lit("/"), tail)).otherwise(F.col("prefix"))).drop("open"))
         if len(done) == PARTS:
@@ -118,20 +139,20 @@ def templates(pages: DataFrame) -> DataFrame:
         apart = (F.col("n") >= SUPPORT) | (F.col("labels") > 0)
         sums = materialize(sums.withColumn("as", F.when(apart, F.col("seg")).otherwise(F.lit("*"))), "sums")
         names = _names(sums.groupBy("host", "prefix", F.col("as").alias("seg")).agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad")))
-        names = sums.select("host", "prefix", "seg", "as").join(names.withColumnRenamed("seg", "as"), ["host", "prefix", "as"]).drop("as")
-        at = materialize(at.join(names, ["host", "prefix", "seg"]).withColumn("prefix", F.concat("prefix", F.lit("/"), "branch")).drop("seg", "branch"), "level")
+        names = materialize(names.withColumnRenamed("seg", "as"), "names")
+        names = materialize(spread_join(sums.select("host", "prefix", "seg", "as"), names, ["host", "prefix", "as"], BROADCAST_TEMPLATES).drop("as"), "branches")
+        at = materialize(spread_join(at, names, ["host", "prefix", "seg"], BROADCAST_TEMPLATES).withColumn("prefix", F.concat("prefix", F.lit("/"), "branch")).drop("seg", "branch"), "level")
     at = reduce(DataFrame.unionByName, done)
     total = at.groupBy("host", F.col("prefix").alias("template")).agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
     purity = (F.col("bad") + BAD_PRIOR) / (F.col("labels") + BAD_PRIOR + GOOD_PRIOR)
-    judged = total.select("host", "template", purity.alias("purity"), (purity >= REJECT).alias("rejected"))
-    return at.select("host", "shape", F.col("prefix").alias("template")).join(judged, ["host", "template"])
+    judged = materialize(total.select("host", "template", purity.alias("purity"), (purity >= REJECT).alias("rejected")), "judged")
+    return spread_join(at.select("host", "shape", F.col("prefix").alias("template")), judged, ["host", "template"], BROADCAST_TEMPLATES)
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], label: Column | None = None) -> DataFrame:
     """``pages`` with host, path, rule, verdict and template.
 
-    ``label``: of a row with host, path and rule, 1 for bad, 0 for good, null for unknown; by default, what
-    its rule says.
+    ``label``: of a row with host, path and rule, 1 for bad, 0 for good, null for unknown, where no rule speaks.
     """
     pages = pages.drop(*RESULT, "template")
     host, path = parts(F.col("url"))
@@ -140,10 +161,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], label: Column | No
     for verdict, rule in rules:
         by_rule = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(by_rule)
     said = F.when(by_rule == "block", F.lit(1)).when(by_rule == "allow", F.lit(0))
-    found = materialize(templates(rows.select("host", "path", (said if label is None else F.coalesce(label, said)).alias("label"))), "templates")
-    key = F.col("_shape") == F.col("shape")
-    found = found.select(F.col("host").alias("_host"), "shape", "template", "rejected")
-    small = found.count() <= BROADCAST_TEMPLATES
-    out = rows.withColumn("_shape", shape(F.col("path"))).join(F.broadcast(found) if small else found, (F.col("host") == F.col("_host")) & key, "left")
-    verdict = F.coalesce(by_rule, F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
+    found = materialize(templates(rows.select("host", "path", (said if label is None else F.coalesce(said, label)).alias("label"))), "templates")
+    of, bad = unused("shape", rows.columns), unused("rejected", rows.columns)
+    found = found.select("host", F.col("shape").alias(of), "template", F.col("rejected").alias(bad))
+    out = spread_join(rows.withColumn(of, shape(F.col("path"))), found, ["host", of], BROADCAST_TEMPLATES, "left", "path")
+    verdict = F.coalesce(by_rule, F.when(F.col(bad), F.lit("block")).otherwise(F.lit("allow")))
     return out.select(*pages.columns, "host", "path", "rule", verdict.alias("verdict"), "template")

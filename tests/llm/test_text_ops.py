@@ -71,6 +71,9 @@ def test_large_group_is_whole_and_chained(docs, monkeypatch):
     base = [f"b{i}" for i in range(150)]
     rows = [(i, edited(r, base, r.randrange(0, 4))) for i in range(60)] + [(1000 + i, " ".join(base)) for i in range(40)]
     assert sorted(map(tuple, ngramjoin.jaccard_join(docs(rows)).collect()), key=repr) == join_model(rows)
+    monkeypatch.setattr(ngramjoin, "HOT", 3)
+    monkeypatch.setattr(ngramjoin, "BROADCAST_NODES", 0)  # salted joins
+    assert sorted(map(tuple, ngramjoin.jaccard_join(docs(rows)).collect()), key=repr) == join_model(rows)
 
 
 def test_join_takes_odd_rows(odd, sorted_rows, spark):
