@@ -142,14 +142,16 @@ class Shard:
         if least >= n:
             return n
         at = np.linspace(0, n - 1, min(n, PROBES)).astype(np.int64)
-        q, q_ids = self.x[at], self.ids[at]
-        want = {(i, j) for i, j, _ in nearest(self.x, self.ids, q, q_ids, np.ones((len(at), n), bool), k)}
-        for share in SHARES:
-            enough = max(least, int(share * n))
-            got = {(i, j) for i, j, _ in nearest(self.x, self.ids, q, q_ids, self.forest.candidates(q, enough), k)}
-            if len(want & got) >= recall * len(want):
-                return enough
-        return n
+        row = {i: j for j, i in enumerate(self.ids.tolist())}
+        want = [(row[i], row[j]) for i, j, _ in nearest(self.x, self.ids, self.x[at], self.ids[at], np.ones((len(at), n), bool), k)]
+        probe = {p: i for i, p in enumerate(at.tolist())}
+        i, j = np.array([probe[a] for a, _ in want]), np.array([b for _, b in want])
+        low, high = 0, len(SHARES)  # a neighbour among the candidates is found: halve the shares that might do
+        while low < high:
+            middle = (low + high) // 2
+            found = self.forest.candidates(self.x[at], max(least, int(SHARES[middle] * n)))[i, j].mean()
+            low, high = (low, middle) if found >= recall else (middle + 1, high)
+        return max(least, int(SHARES[low] * n)) if low < len(SHARES) else n
 
     def search(self, q: np.ndarray, q_ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
         return nearest(self.x, self.ids, q, q_ids, self.forest.candidates(q, self.enough), k)
