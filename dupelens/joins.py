@@ -49,3 +49,35 @@ def numbered(rows: DataFrame, order: Sequence[str | Column], name: str) -> DataF
     starts = dealt.groupBy(part).count().select(part, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(upto))
     own = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
     return dealt.withColumn(name, own).join(F.broadcast(starts), part).withColumn(name, (F.col(name) + F.col(upto)).cast("long")).drop(part, upto)
+
+
+def running(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], sums: dict[str, Column], xors: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` with running sums (and exclusive ors) of the rows of the same ``by`` up to each row in ``order``.
+
+    Rows are dealt by range of ``by`` and ``order`` and written once, so a group of any size spans as many ranges as
+    it needs. A range adds up its own rows; only the totals of the first and last group of each range, two rows a
+    range, come together to say what a group had before. ``order`` should leave no ties within a group; nulls of
+    ``by`` are one group.
+    """
+    xors = xors or {}
+    taken = [*rows.columns, *sums, *xors]
+    part, low, high = (unused(c, taken) for c in ("part", "low", "high"))
+    ins = {name: unused(f"{name}_in", taken) for name in [*sums, *xors]}
+    total = lambda name: F.sum(ins[name]) if name in sums else F.bit_xor(ins[name])
+    plus = lambda name, a, b: a + b if name in sums else a.bitwiseXOR(b)
+    given = rows.withColumns({ins[name]: c.cast("long") for name, c in (sums | xors).items()})
+    dealt = write_once(given.repartitionByRange(*by, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    group = F.struct(*by)
+    edges = dealt.groupBy(part).agg(F.min(group).alias(low), F.max(group).alias(high))  # a row a range
+    at_edge = dealt.join(F.broadcast(edges), part).filter((group == F.col(low)) | (group == F.col(high)))
+    totals = at_edge.groupBy(part, *by).agg(*[total(name).alias(name) for name in ins])
+    before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # at most a row a range
+    kind = {name: (F.sum if name in sums else F.bit_xor)(name).over(before).alias(name) for name in ins}
+    starts = totals.select(part, *[F.col(c).alias(f"{part}_{k}") for k, c in enumerate(by)], *kind.values()).filter(F.col(next(iter(ins))).isNotNull())
+    upto = Window.partitionBy(part, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = dealt.withColumns({name: total(name).over(upto) for name in ins})
+    on = own[part] == starts[part]
+    for k, c in enumerate(by):
+        on &= own[c].eqNullSafe(starts[f"{part}_{k}"])
+    kept = [own[c] for c in rows.columns]
+    return own.join(F.broadcast(starts), on, "left").select(*kept, *[plus(name, own[name], F.coalesce(starts[name], F.lit(0))).alias(name) for name in ins])

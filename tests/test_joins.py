@@ -1,0 +1,33 @@
+"""Running totals within groups against a loop."""
+
+import random
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
+from dupelens.joins import running
+
+
+def test_running_totals_of_groups_that_span_ranges(spark):
+    r = random.Random(1)
+    rows = [(r.choice([None, 1, 1, 1, 1, 2, 3]), r.choice("ab"), i, r.randrange(100)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "g long, h string, part long, v long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many ranges
+    try:
+        out = running(df, ["g", "h"], [F.col("part").desc()], {"total": F.col("v"), "place": F.lit(1)}, {"x": F.xxhash64("v")})
+        got = {(t.g, t.h, t.part): (t.total, t.place, t.x) for t in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hashes = {v: h for v, h in df.select("v", F.xxhash64("v")).distinct().collect()}
+    sums, expected = defaultdict(lambda: [0, 0, 0]), {}
+    for g, h, part, v in sorted(rows, key=lambda t: -t[2]):
+        s = sums[g, h]
+        s[:] = s[0] + v, s[1] + 1, s[2] ^ hashes[v]
+        expected[g, h, part] = tuple(s)
+    assert got == expected
+    assert out.columns == ["g", "h", "part", "v", "total", "place", "x"]
+
+
+def test_running_totals_of_no_rows(spark):
+    df = spark.createDataFrame([], "g long, o long")
+    assert running(df, ["g"], ["o"], {"n": F.lit(1)}).collect() == []
