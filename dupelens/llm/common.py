@@ -166,7 +166,7 @@ def _lanes(buf: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
 
 
-def _roomy(buf: np.ndarray) -> np.ndarray:
+def roomy(buf: np.ndarray) -> np.ndarray:
     """``buf`` and 8 zeros."""
     out = np.zeros(len(buf) + 8, np.uint8)
     out[: len(buf)] = buf
@@ -189,7 +189,7 @@ class SpanHash:
     def spans(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         n = (end - start).astype(np.int64)
         h = fmix(n.astype(np.uint64) * FMIX_STEP + self.seed)
-        lanes = _lanes(_roomy(buf))
+        lanes = _lanes(roomy(buf))
         live = np.flatnonzero((n > 0) & (n <= LANE_BYTES))
         at, left = start[live], n[live]
         while len(live):
@@ -204,7 +204,7 @@ class SpanHash:
 def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Whether ``n`` bytes of ``a`` from each of ``a_start`` are those of ``b``, 8 bytes longer than its last span, from ``b_start``."""
     out = np.ones(len(n), bool)
-    x, y = _lanes(_roomy(a)), _lanes(b)
+    x, y = _lanes(roomy(a)), _lanes(b)
     live = np.flatnonzero((n > 0) & (n <= LANE_BYTES))
     done = 0
     while len(live):

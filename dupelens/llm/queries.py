@@ -97,6 +97,21 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, quality=quality_weights(table(spark, sf_dir, "labels"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import materialize
+    from .prefixtrie import prefix_trie, rebuilt, signed
+
+    turns = materialize(signed(table(spark, sf_dir, "conversations")), "turns")
+    convs = turns.select("conv_id").distinct()
+    return prefix_trie(rebuilt(turns, convs), convs)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -170,6 +185,67 @@ SELECT doc_id, size, source_size, target,
   (size * (passes + CASE WHEN rest > 0 AND rest - before > 0 AND size <= 2 * (rest - before) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
 
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id, sig, chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sig) AS i FROM (
+    SELECT conv_id, turn, coalesce(role, '') AS role, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS sig,
+      length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL)
+), c AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, 0 AS own, t.i, sig, chars FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.i <= h
+  UNION ALL SELECT conv_id, 1, i, sig, chars FROM c JOIN t USING (conv_id) WHERE i > h
+), p AS (
+  SELECT conv_id, row_number() OVER w AS d, sha256(string_agg(sig, ',') OVER w) AS k, chars FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, i)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c
+), n AS (
+  SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM p GROUP BY d, k
+), kids AS (
+  SELECT p.d, p.k, count(*) AS n_children FROM n JOIN p ON p.conv_id = n.conv_id AND p.d = n.d - 1 GROUP BY p.d, p.k
+), sub AS (
+  SELECT p.d, p.k, sum((n.n_convs - 1) * n.chars) AS saved, count(*) FILTER (kids.k IS NULL) AS leaves
+  FROM n JOIN p ON p.conv_id = n.conv_id AND p.d <= n.d LEFT JOIN kids ON kids.d = n.d AND kids.k = n.k GROUP BY p.d, p.k
+), e AS (
+  SELECT d, k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM p
+  WHERE (conv_id, d) IN (SELECT (conv_id, max(d)) FROM p GROUP BY conv_id) GROUP BY d, k
+)
+SELECT n.conv_id, n.d::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+  leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN sub USING (d, k) LEFT JOIN kids USING (d, k) LEFT JOIN e USING (d, k)
+LEFT JOIN p ON p.conv_id = n.conv_id AND p.d = n.d - 1 LEFT JOIN n AS up ON up.d = p.d AND up.k = p.k
+"""
+
+OP13_SQL = r"""
+WITH w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (
+    SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k)
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100
+), n AS (
+  SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1
+), cut AS (
+  SELECT c.lang, c.phrase, c.a, n.n, j, x.f AS l, y.f AS r, (1000 * c.a::HUGEINT * n.n) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN n USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[j + 1:c.k], ' ')
+), best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), inside AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM (
+    SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2)) GROUP BY 1, 2
+)
+SELECT lang, (row_number() OVER w)::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_token_files": op2_token_files,
@@ -181,5 +257,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": op8_url_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_collocations": op13_collocations,
 }
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op9_line_dedup": OP9_SQL, "op10_mix_sources": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op9_line_dedup": OP9_SQL, "op10_mix_sources": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_collocations": OP13_SQL}
