@@ -1,6 +1,6 @@
 """Phrase collocations from vertical positional inverted lists.
 
-1. Documents of one language are put together into bundles of about ``BUNDLE`` words. A bundle's words have
+1. Documents of one language are put together into bundles of about a million words. A bundle's words have
    positions; a break between pieces or documents skips one, so words of a phrase have consecutive positions.
 2. A bundle keeps, for each of its frequent phrases, the sorted list of positions where it begins: the lengths of these
    lists, added up over the bundles, are exact frequencies. Only (bundle, phrase, length) rows are shuffled by phrase,
@@ -27,10 +27,8 @@ from pyspark.sql import functions as F
 from ..joins import spread_join
 from .common import LOWER, Held, SpanHash, materialize, release, roomy, same_bytes, small_batches, text_bytes, words
 
-#: Words of a bundle, about; a longer document is a bundle of its own.
-BUNDLE = 2_000_000
-#: Bytes of texts that a task gathers before it makes a bundle of a language.
-BUNDLE_BYTES = 12 << 20
+#: Bytes of texts that a task gathers before it makes a bundle of a language; a longer document is one of its own.
+BUNDLE_BYTES = 6 << 20
 MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
@@ -73,16 +71,32 @@ def _bundle(texts: list[tuple[np.ndarray, np.ndarray]]) -> dict:
         base += len(buf)
     start, end = np.concatenate(starts), np.concatenate(ends)
     number, spelled = _spelled(np.concatenate(bufs), start, end)
-    return {"n": len(start), "at": _packed(np.concatenate(at)), "of": number.astype(np.int32).tobytes(), "names": spelled, "counts": np.bincount(number, minlength=len(spelled))}
+    counts = np.bincount(number, minlength=len(spelled))
+    order = np.argsort(-counts, kind="stable")  # small numbers for frequent words
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return {"n": len(start), "at": _packed(_steps(np.concatenate(at))), "of": _packed(rank[number]), "names": [spelled[k] for k in order.tolist()], "counts": counts[order]}
 
 
-def _packed(at: np.ndarray) -> bytes:
-    """Rising positions as their differences, which compress."""
-    return np.diff(at, prepend=0).astype(np.int32).tobytes()
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, compressed byte by byte."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int32)
+
+
+def _steps(at: np.ndarray) -> np.ndarray:
+    """Rising positions as their differences."""
+    return np.diff(at, prepend=0)
 
 
 def _positions(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.int32), dtype=np.int64)
+    return np.cumsum(_unpacked(data), dtype=np.int32)
 
 
 def bundles(docs: DataFrame) -> DataFrame:
@@ -98,7 +112,7 @@ def bundles(docs: DataFrame) -> DataFrame:
             b = _bundle(held.pop(lang))
             size.pop(lang)
             made += 1
-            row = {"bundle": [task << OF_TASK | made], "lang": [lang], "n": [b["n"]], "at": [b["at"]], "of": [b["of"]], "names": pa.array([b["names"]], pa.list_(pa.binary())), "counts": [b["counts"].tolist()]}
+            row = {"bundle": [task << OF_TASK | made], "lang": [lang], "n": [b["n"]], "at": pa.array([b["at"]], pa.binary()), "of": pa.array([b["of"]], pa.binary()), "names": pa.array([b["names"]], pa.list_(pa.binary())), "counts": [b["counts"].tolist()]}
             return pa.record_batch(row)
 
         for batch in batches:
@@ -126,21 +140,29 @@ LISTS = "bundle long, at binary, of binary, ids binary, word_at binary, word_of
 
 
 def _lists(bundle: int, at: np.ndarray, ids: np.ndarray, word_at: np.ndarray, word_ids: np.ndarray) -> pa.Table:
-    known, of = np.unique(ids, return_inverse=True)
-    words_, word_of = np.unique(word_ids, return_inverse=True)
-    row = {"at": _packed(at), "of": of.astype(np.int32).tobytes(), "ids": known.tobytes(), "word_at": _packed(word_at), "word_of": word_of.astype(np.int32).tobytes(), "word_ids": words_.tobytes()}
+    row = {"at": _packed(_steps(at)), "word_at": _packed(_steps(word_at))}
+    for name, own in (("", ids), ("word_", word_ids)):
+        known, of, n = np.unique(own, return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")  # small numbers for frequent ones
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        row |= {f"{name}of": _packed(rank[of]), f"{name}ids": known[order].tobytes()}
     return pa.table({"bundle": [bundle]} | {k: pa.array([v], pa.binary()) for k, v in row.items()})
 
 
 def _extended(row: dict, k: int):
     """Candidates of k + 1 words: (begin of each occurrence, its number, phrase and word of each number, counts)."""
-    at, of, ids = _positions(row["at"]), np.frombuffer(row["of"], np.int32).astype(np.int64), np.frombuffer(row["ids"], np.int64)
-    word_at, word_of, word_ids = _positions(row["word_at"]), np.frombuffer(row["word_of"], np.int32), np.frombuffer(row["word_ids"], np.int64)
-    j, met = _merged(word_at, at + k)
-    i, follows = _merged(at, at + 1)  # its last k words are frequent, too
+    at, of, ids = _positions(row["at"]), _unpacked(row["of"]), np.frombuffer(row["ids"], np.int64)
+    word_at, word_of, word_ids = _positions(row["word_at"]), _unpacked(row["word_of"]), np.frombuffer(row["word_ids"], np.int64)
+    j, met = _merged(word_at, at + np.int32(k))
+    _, follows = _merged(at, at + np.int32(1))  # its last k words are frequent, too
     keep = np.flatnonzero(met & follows)
-    pair, number, counts = np.unique(of[keep] * max(1, len(word_ids)) + word_of[j[keep]], return_inverse=True, return_counts=True)
-    return at[keep], number, ids[pair // max(1, len(word_ids))], word_ids[pair % max(1, len(word_ids))], counts
+    most = max(1, len(word_ids))
+    pair = of[keep].astype(np.int64) * most + word_of[j[keep]]
+    at = at[keep]
+    del of, word_at, word_of, j, met, follows, keep
+    pair, number, counts = np.unique(pair, return_inverse=True, return_counts=True)
+    return at, number, ids[pair // most], word_ids[pair % most], counts
 
 
 def _merged(at: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +204,7 @@ def _kept(left: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
         Held.begin("phrases")
         row, idx, ids = rows.to_pylist()[0], kept.column("idx").to_numpy(), kept.column("id").to_numpy()
         if k == 1:
-            at, number = _positions(row["at"]), np.frombuffer(row["of"], np.int32)
+            at, number = _positions(row["at"]), _unpacked(row["of"])
             named = np.full(max(int(number.max(initial=0)), int(idx.max(initial=0))) + 1, -1, np.int64)
         else:
             at, number, _, _, n = _extended(row, k - 1)
@@ -192,8 +214,8 @@ def _kept(left: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
         at, found = at[found >= 0], found[found >= 0]
         if k == 1:
             return _lists(key[0].as_py(), at, found, at, found)
-        word_at, word_ids = _positions(row["word_at"]), np.frombuffer(row["word_ids"], np.int64)[np.frombuffer(row["word_of"], np.int32)]
-        j, met = _merged(word_at, at + k)
+        word_at, word_ids = _positions(row["word_at"]), np.frombuffer(row["word_ids"], np.int64)[_unpacked(row["word_of"])]
+        j, met = _merged(word_at, at + np.int32(k))
         return _lists(key[0].as_py(), at, found, word_at[j[met]], word_ids[j[met]])
 
     rows = left.select("bundle", "at", "of") if k == 1 else left
