@@ -97,6 +97,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, quality=quality_weights(table(spark, sf_dir, "labels"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdedup import dedup_passages
+
+    return dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False, digest=True)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import materialize
     from .prefixtrie import prefix_trie, rebuilt, signed
@@ -185,6 +191,27 @@ SELECT doc_id, size, source_size, target,
   (size * (passes + CASE WHEN rest > 0 AND rest - before > 0 AND size <= 2 * (rest - before) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), w AS (
+  SELECT doc_id, p, md5_number(substr(x, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS p FROM d WHERE n >= 100)
+), gone AS (
+  SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, p) > 1
+), run AS (
+  SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (
+    SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM (
+      SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM gone)) GROUP BY doc_id, r
+), keep AS (
+  SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM run GROUP BY doc_id
+), stay AS (
+  SELECT doc_id, a, lead(a, 1, n) OVER (PARTITION BY doc_id ORDER BY a, b) AS e, b FROM (SELECT doc_id, a, b, n FROM run JOIN d USING (doc_id) UNION ALL SELECT doc_id, 0, 0, n FROM d)
+)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(t)) AS kept_sha256
+FROM d LEFT JOIN keep USING (doc_id) JOIN (
+  SELECT doc_id, string_agg(substr(x, 2 * b + 1, 2 * greatest(e - b, 0)), '' ORDER BY a, b) AS t FROM stay JOIN d USING (doc_id) GROUP BY doc_id) USING (doc_id)
+"""
+
 OP12_SQL = r"""
 WITH t AS (
   SELECT conv_id, sig, chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sig) AS i FROM (
@@ -257,7 +284,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": op8_url_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_collocations": op13_collocations,
 }
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op9_line_dedup": OP9_SQL, "op10_mix_sources": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_collocations": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op9_line_dedup": OP9_SQL, "op10_mix_sources": OP10_SQL, "op11_suffix_dedup": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_collocations": OP13_SQL}
