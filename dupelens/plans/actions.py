@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import parent, path_key, same_volume
-from ..joins import numbered
+from ..joins import numbered, running
 from ..operators.sweep import emptied_parents
+from ..session import write_once
 
 #: Times of a snapshot may differ by this much.
 TOLERANCE = 0.001
@@ -65,35 +66,48 @@ def hardlink_plan(members: DataFrame, selection: DataFrame, inv: DataFrame) -> D
     return rows.select("original", "duplicate", "size", reason.alias("reason")).withColumn("freed", F.when(F.col("reason").isNull(), F.col("size")).otherwise(0).cast("long"))
 
 
+def _family(name: Column) -> tuple[Column, Column, Column]:
+    """(stem without a number, number or null, suffix) of a name as ``stem (n).ext``."""
+    suffix = F.regexp_extract(name, r"(?s)^\.*[^.].*(\.[^.]*)$", 1)
+    stem = F.substr(name, F.lit(1), F.length(name) - F.length(suffix))
+    number = F.nullif(F.regexp_extract(stem, r"(?s) \(([1-9][0-9]{0,17})\)$", 1), F.lit("")).cast("long")
+    bare = F.when(number.isNull(), stem).otherwise(F.substr(stem, F.lit(1), F.length(stem) - F.length(number.cast("string")) - 3))
+    return bare, number, suffix
+
+
 def move_plan(members: DataFrame, selection: DataFrame, inv: DataFrame, destination: str) -> DataFrame:
-    """src, dst, ok and reason: targets in one folder, none of which is taken or given twice.
+    """src, dst, ok and reason: targets in one folder, none of which is taken or given twice, whatever their case.
 
-    A name that is taken, or already given to a path before it in path order, gets `` (n)`` before its suffix:
-    the n-th such path of that name, counted on past numbers that exist there.
+    A name that isn't taken goes to the first path, in path order, that asks for it. The others get `` (n)`` before
+    their suffix, with the least numbers that are neither taken there nor asked for by others: names with numbers come
+    from one stem and suffix only, so each family of names counts for itself. Refused rows get no target. Families are
+    numbered by ranges (``joins.running``), so a name that all files have is no one task's.
     """
     checked = verify_snapshot(snapshot_of(members, selection), inv)
     name = F.regexp_extract("path", r"(?s)([^/]*)$", 1)
-    rows = checked.withColumn("_name", name).withColumn("_low", F.lower(name))
     dest = destination.rstrip("/")
-    here = inv.filter(parent(F.col("path")) == dest).select(F.lower(F.regexp_extract("path", r"(?s)([^/]*)$", 1)).alias("_there")).distinct()
-    suffix = F.regexp_extract("_name", r"(?s)^\.*[^.].*(\.[^.]*)$", 1)
-    stem = F.substr("_name", F.lit(1), F.length("_name") - F.length(suffix))
-    rows = rows.withColumn("_stem", stem).withColumn("_suffix", suffix)
-    # numbers of a name that exist already: "stem (n).ext" in the folder, n = 0 for the plain name
-    used = here.select(
-        F.regexp_replace("_there", r" \(\d+\)(?=(\.[^.]*)?$)", "").alias("_low"),
-        F.coalesce(F.nullif(F.regexp_extract("_there", r" \((\d+)\)(?=(?:\.[^.]*)?$)", 1), F.lit("")).try_cast("int"), F.lit(0)).alias("_k"),
-    )
-    # before the i-th used number u stand u - i free ones: the nth free number is n and the used ones with at most n before them
-    of = Window.partitionBy("_low")
-    free = used.distinct().withColumn("_nth", F.col("_k") - (F.row_number().over(of.orderBy("_k")) - 1)).select("_low", F.col("_nth").cast("int"), F.lit(True).alias("_is_used"))
-    nth = rows.withColumn("_nth", F.row_number().over(of.orderBy("path")) - 1).withColumn("_is_used", F.lit(False))
-    both = nth.unionByName(free, allowMissingColumns=True)
-    passed = F.count_if("_is_used").over(of.orderBy("_nth", F.col("_is_used").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    rows = both.withColumn("_number", F.col("_nth") + passed).filter("NOT _is_used")
-    k = F.col("_number")
-    target = F.concat(F.lit(dest + "/"), "_stem", F.when(k > 0, F.format_string(" (%d)", k)).otherwise(F.lit("")), "_suffix")
-    return rows.select(F.col("path").alias("src"), target.alias("dst"), "ok", "reason")
+    there = inv.filter(parent(F.col("path")) == dest).select(F.lower(name).alias("low")).distinct()
+    rows = write_once(checked.withColumn("name", name).withColumn("low", F.lower(name)), "moves")
+    asked = rows.filter("ok").groupBy("low").agg(F.min("path").alias("path")).join(there, "low", "left_anti").withColumn("first", F.lit(True))
+    rows = rows.join(asked.select("path", "first"), "path", "left")
+    # the others, by family: the i-th of it, from 1
+    suffix = _family(F.col("name"))[2]
+    own = F.substr("name", F.lit(1), F.length("name") - F.length(suffix))
+    others = rows.filter("ok AND first IS NULL").select("path", own.alias("stem"), suffix.alias("suffix"))
+    others = others.withColumn("low_stem", F.lower("stem")).withColumn("low_suffix", F.lower("suffix"))
+    family = ["low_stem", "low_suffix"]
+    ith = running(others, family, ["path"], {"i": F.lit(1)})
+    # before the j-th used number u (j from 0) stand u - 1 - j free ones, so the i-th free number has passed it if u - j <= i
+    bare, number, after = _family(F.col("low"))
+    used = there.unionByName(asked.select("low")).select(bare.alias("low_stem"), after.alias("low_suffix"), number.alias("u")).filter("u IS NOT NULL")
+    used = used.join(others.select(*family).distinct(), family, "left_semi")
+    passed = running(used, family, ["u"], {"j": F.lit(1)}).select(*family, (F.col("u") - F.col("j") + 1).alias("i"), F.lit(1).alias("mark"))
+    both = ith.select(*family, "i", F.lit(0).alias("mark"), "path", "stem", "suffix").unionByName(passed, allowMissingColumns=True)
+    numbered_ = running(both, family, ["i", F.col("mark").desc()], {"before": F.col("mark")}).filter("mark = 0")
+    given = numbered_.select("path", F.concat("stem", F.lit(" ("), (F.col("i") + F.col("before")).cast("string"), F.lit(")"), "suffix").alias("given"))
+    out = rows.join(given, "path", "left")
+    target = F.when(F.col("ok"), F.concat(F.lit(dest + "/"), F.when(F.col("first"), F.col("name")).otherwise(F.col("given"))))
+    return out.select(F.col("path").alias("src"), target.alias("dst"), "ok", "reason")
 
 
 def parents_to_remove(plan: DataFrame, inv: DataFrame) -> DataFrame:

@@ -410,11 +410,35 @@ def hardlink_plan(spark, sf_dir):
     return actions.hardlink_plan(m, select.select_members(m, "first"), _later(spark, sf_dir)).select("original", "duplicate", "reason", "freed")
 
 
-@_query(_BASE + r""", r AS (SELECT path, name, lower(name) AS low, regexp_extract(name, '^\.*[^.].*(\.[^.]*)$', 1) AS suf, row_number() OVER (PARTITION BY lower(name) ORDER BY path) - 1 AS k FROM members WHERE member_ord > 0)
-SELECT path AS src, '/dest/' || name[1:length(name) - length(suf)] || (CASE WHEN k > 0 THEN ' (' || k || ')' ELSE '' END) || suf AS dst FROM r""")
+# some names have numbers, and some are taken at the destination: by walk position, as stated here
+_SUF = r"regexp_extract({0}, '^\.*[^.].*(\.[^.]*)$', 1)"
+_MOVED = r""", moved AS (
+  SELECT regexp_extract(path, '^(.*/)[^/]*$', 1) || name[1:length(name) - length(suf)] || CASE WHEN walk_ord % 3 = 0 THEN ' (' || (walk_ord % 4 + 1) || ')' ELSE '' END || suf AS path, walk_ord, member_ord
+  FROM (SELECT *, """ + _SUF.format("name") + r""" AS suf FROM members)
+), r AS (SELECT path, regexp_extract(path, '[^/]*$') AS name FROM moved WHERE member_ord > 0
+), parts AS (SELECT path, name, lower(name) AS low, name[1:length(name) - length(suf)] AS stem, suf FROM (SELECT *, """ + _SUF.format("name") + r""" AS suf FROM r)
+), there AS (SELECT DISTINCT lower(regexp_extract(path, '[^/]*$')) AS low FROM moved WHERE walk_ord % 7 = 0
+), asked AS (SELECT low, min(path) AS path FROM parts WHERE low NOT IN (FROM there) GROUP BY low
+), others AS (SELECT *, row_number() OVER (PARTITION BY lower(stem), lower(suf) ORDER BY path) AS i FROM parts WHERE path NOT IN (SELECT path FROM asked)
+), taken AS (SELECT low, """ + _SUF.format("low") + r""" AS suf FROM (FROM there UNION SELECT low FROM asked)
+), used AS (SELECT regexp_replace(s, ' \([1-9][0-9]{0,17}\)$', '') AS stem, suf, regexp_extract(s, ' \(([1-9][0-9]{0,17})\)$', 1)::BIGINT AS u
+  FROM (SELECT low[1:length(low) - length(suf)] AS s, suf FROM taken) WHERE regexp_matches(s, ' \([1-9][0-9]{0,17}\)$')
+), marks AS (SELECT stem, suf, u - row_number() OVER (PARTITION BY stem, suf ORDER BY u) + 1 AS t FROM used)
+SELECT path AS src, '/dest/' || name AS dst FROM parts WHERE path IN (SELECT path FROM asked)
+UNION ALL SELECT o.path, '/dest/' || any_value(o.stem) || ' (' || (any_value(o.i) + count(m.t)) || ')' || any_value(o.suf)
+FROM others o LEFT JOIN marks m ON m.stem = lower(o.stem) AND m.suf = lower(o.suf) AND m.t <= o.i GROUP BY o.path"""
+
+
+@_query(_BASE + _MOVED)
 def move_plan(spark, sf_dir):
-    m = _turbo(spark, sf_dir)
-    return actions.move_plan(m, select.select_members(m, "first"), _inv(spark, sf_dir), "/dest").select("src", "dst")
+    name, i = F.regexp_extract("path", r"(?s)([^/]*)$", 1), F.col("walk_ord")
+    suffix = F.regexp_extract(name, r"(?s)^\.*[^.].*(\.[^.]*)$", 1)
+    number = F.when(i % 3 == 0, F.concat(F.lit(" ("), (i % 4 + 1).cast("string"), F.lit(")"))).otherwise("")
+    path = F.concat(F.substr("path", F.lit(1), F.length("path") - F.length(suffix)), number, suffix)
+    m = write_once(_turbo(spark, sf_dir).withColumn("path", path), "members")
+    there = m.filter(i % 7 == 0).withColumn("path", F.concat(F.lit("/dest/"), name))
+    inv = m.unionByName(there).select("path", "size", "modified")
+    return actions.move_plan(m, select.select_members(m, "first"), inv, "/dest").select("src", "dst")
 
 
 @_query(_BASE + r""", gone AS (SELECT path FROM members WHERE member_ord > 0), p AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS path FROM gone)

@@ -1,5 +1,6 @@
 """Operators without a registered query, and rows that the driver's tables don't have."""
 
+import itertools
 import os
 import random
 import struct
@@ -286,3 +287,43 @@ def test_cancelling_ends_the_jobs(spark):
         raise ValueError
     with cancellable(spark):
         assert spark.range(5).count() == 5
+
+
+def moved(names, there):
+    """Names given one after another: who asks for a free name first gets it, then the others take the least free numbers."""
+    taken, out = {n.lower() for n in there}, {}
+    for path in sorted(names):
+        if (low := names[path].lower()) not in taken:
+            out[path] = names[path]
+            taken.add(low)
+    for path in sorted(set(names) - set(out)):
+        stem, suffix = os.path.splitext(names[path])
+        n = next(n for n in itertools.count(1) if f"{stem} ({n}){suffix}".lower() not in taken)
+        out[path] = f"{stem} ({n}){suffix}"
+        taken.add(out[path].lower())
+    return out
+
+
+def test_moves_against_one_after_another(spark, monkeypatch):
+    r = random.Random(12)
+    rows_, there, want = [], [], {}
+    stems = ["a", "A", "a (1)", "a (2)", "a (1) (1)", "b", ".h", "a.b", "a (01)", "é (3)", "é", "a (99999999999999999999)"]
+    for k in range(120):  # selections of one folder each, planned at once: families of different folders don't meet
+        ext = f".x{k}"
+        names = {f"/d{i}/{n}": n for i in range(r.randrange(1, 9)) if (n := r.choice(stems) + r.choice([ext, ext.upper()]))}
+        own = {r.choice(stems) + ext for _ in range(r.randrange(4))}
+        given = moved(names, own)
+        assert len({g.lower() for g in given.values()} | {o.lower() for o in own}) == len(names) + len({o.lower() for o in own})
+        want |= {p: f"/dest/{g}" for p, g in given.items()}
+        rows_ += [("g", i, p, 1, 1.0) for i, p in enumerate(names)]
+        there += [(f"/dest/{o}", 1, 1.0) for o in own]
+    members = spark.createDataFrame(rows_, "group_key string, member_ord long, path string, size long, modified double")
+    inv = members.select("path", "size", "modified").unionByName(spark.createDataFrame(there, "path string, size long, modified double"))
+    plan = {x.src: x.dst for x in actions.move_plan(members, members, inv, "/dest").collect()}
+    assert plan == want
+
+
+def test_refused_moves_take_no_name(spark):
+    members = spark.createDataFrame([("g", 0, "/a/x", 1, 1.0), ("g", 1, "/b/x", 1, 1.0)], "group_key string, member_ord long, path string, size long, modified double")
+    inv = members.withColumn("size", F.when(F.col("path") == "/a/x", 2).otherwise(1).cast("long")).select("path", "size", "modified")
+    assert {tuple(x) for x in actions.move_plan(members, members, inv, "/dest").collect()} == {("/a/x", None, False, "size"), ("/b/x", "/dest/x", True, None)}
