@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..joins import spread_join
+from ..joins import spread_join, unused
 from .common import fmix, mapped, materialize, release, small_batches, text_bytes, word_hashes
 
 N = 5
@@ -251,15 +251,15 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"node": batch.column(0), "copies": batch.column(1), "bands": pa.array([r.tobytes() for r in flat], pa.binary())})
 
 
-def _named(docs: DataFrame, n: int) -> DataFrame:
-    """``docs`` with the names of their n-gram sets as _node."""
+def _named(docs: DataFrame, n: int, node: str) -> DataFrame:
+    """``docs`` with the names of their n-gram sets as ``node``."""
     at = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         names = _set_names(*ngram_sets(*text_bytes(batch.column(at)), n))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], [*batch.schema.names, "_node"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], [*batch.schema.names, node])
 
-    return docs.mapInArrow(mapped(run, "ngrams"), T.StructType([*docs.schema.fields, T.StructField("_node", T.BinaryType())]))
+    return docs.mapInArrow(mapped(run, "ngrams"), T.StructType([*docs.schema.fields, T.StructField(node, T.BinaryType())]))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
@@ -275,13 +275,14 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
     kept = docs.join(few(drop), "doc_id", "left_anti")
     again = materialize(groups.filter(some).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
-    near = materialize(groups.filter(~some & F.col("class_id").isNotNull()).select(F.col("node").alias("_node")).distinct(), "near")
+    node = unused("_node", docs.columns)
+    near = materialize(groups.filter(~some & F.col("class_id").isNotNull()).select(F.col("node").alias(node)).distinct(), "near")
     if not again.isEmpty():  # such an id doesn't tell which row is meant; its n-gram set does
         first = groups.join(few(again), "doc_id", "left_semi").filter(F.col("doc_id") == F.col("class_id"))
-        first = materialize(first.groupBy("root", "doc_id").agg(F.min("node").alias("_node")).drop("root"), "first")
-        twice = _named(docs.join(few(again), "doc_id", "left_semi"), options.get("n", N)).join(few(first), ["doc_id", "_node"], "left_semi")
-        kept = kept.join(few(again), "doc_id", "left_anti").unionByName(twice.dropDuplicates(["doc_id", "_node"]).select(docs.columns))
+        first = materialize(first.groupBy("root", "doc_id").agg(F.min("node").alias(node)).drop("root"), "first")
+        twice = _named(docs.join(few(again), "doc_id", "left_semi"), options.get("n", N), node).join(few(first), ["doc_id", node], "left_semi")
+        kept = kept.join(few(again), "doc_id", "left_anti").unionByName(twice.dropDuplicates(["doc_id", node]).select(docs.columns))
     if not near.isEmpty():
-        alone = _named(docs.filter(~some), options.get("n", N)).join(few(near), "_node", "left_anti")
+        alone = _named(docs.filter(~some), options.get("n", N), node).join(few(near), node, "left_anti")
         kept = kept.filter(some).unionByName(alone.select(docs.columns))
     return kept

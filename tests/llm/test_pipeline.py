@@ -73,3 +73,16 @@ def test_stages_take_odd_and_empty_tables(spark, sf, odd):
             out = stage(spark, d, sf)
             assert k == 4 or out.columns == d.columns
             out.collect()
+
+
+def test_stages_keep_own_columns(spark, sf):
+    names = ["size", "Score", "n_lines", "target", "_copy", "_node", "predicted", "a.b", "key", "taken", "_aside_1", "back`tick"]
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    twice = base.unionByName(base.filter("doc_id < 9")).unionByName(base.filter("doc_id = 2").withColumn("doc_id", F.lit(None).cast("long")))
+    own = twice.select("*", *[F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string")).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, own, sf)
+        assert out.columns == own.columns
+        got = out.collect()
+        assert len(got) > 50
+        assert all(r[n] == f"{n}:{-1 if r.doc_id is None else r.doc_id}" for r in got for n in names)
