@@ -81,3 +81,24 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], s
         on &= own[c].eqNullSafe(starts[f"{part}_{k}"])
     kept = [own[c] for c in rows.columns]
     return own.join(F.broadcast(starts), on, "left").select(*kept, *[plus(name, own[name], F.coalesce(starts[name], F.lit(0))).alias(name) for name in ins])
+
+
+#: Groups of more rows than this are numbered by ranges.
+HOT_GROUP = 100_000
+
+
+def numbered_within(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
+    """``rows`` with their number from 0 in ``order`` among those of the same ``by``.
+
+    Groups of up to ``HOT_GROUP`` rows are sorted by a task each; the rows of larger ones are dealt by range. Groups are
+    counted map-side first, so ``rows`` is read twice.
+    """
+    large = rows.groupBy(*by).count().filter(F.col("count") > HOT_GROUP).select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(by)])
+    small = lambda df: df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+    if large.isEmpty():
+        return small(rows)
+    on = F.lit(True)
+    for k, c in enumerate(by):
+        on &= rows[c].eqNullSafe(large[f"_{k}"])
+    hot = running(rows.join(large, on, "left_semi"), by, order, {name: F.lit(1)}).withColumn(name, F.col(name) - 1)
+    return small(rows.join(large, on, "left_anti")).unionByName(hot)

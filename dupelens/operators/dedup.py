@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import full_hash, turbo_hash
-from ..joins import few, numbered
+from ..joins import few, numbered, numbered_within
 from ..session import write_once
 from .filters import dedup_physical, exclude, prune, size_range
 
@@ -88,11 +88,15 @@ def candidate_stats(inv: DataFrame, by_size: bool = True) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, keys: list[str], by_walk: bool = False) -> DataFrame:
-    """Rows whose keys occur more than once, with group_ord and member_ord: one shuffle of slim rows."""
-    w = Window.partitionBy(*(keys or [F.lit(1)]))
+    """Rows whose keys occur more than once, with group_ord and member_ord.
+
+    Groups are counted map-side, and a group of very many rows is split where it is joined and where it is ordered.
+    """
+    keys = keys or ["_all"]
+    rows = rows.withColumn("_all", F.lit(0))
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("walk_ord").alias("group_ord")).filter("_n > 1").drop("_n")
     order = ["walk_ord"] if by_walk else ["modified", "walk_ord"]
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("group_ord", F.min("walk_ord").over(w))
-    return rows.withColumn("member_ord", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).filter("_n > 1").drop("_n")
+    return numbered_within(rows.join(groups, keys), keys, order, "member_ord").drop("_all")
 
 
 def find_duplicates(inv: DataFrame, criteria: Criteria = Criteria(), roots: Sequence[str] = (), hashes: DataFrame | None = None) -> DataFrame:
@@ -134,7 +138,7 @@ def find_duplicates(inv: DataFrame, criteria: Criteria = Criteria(), roots: Sequ
     elif c.by_byte:  # files of one group are split by content; the parts are numbered by their first members
         split = _grouped(rows.filter(F.col("full").isNotNull()), [*dict.fromkeys([*keys, "size", "full"])])
         heads = split.filter("member_ord = 0").select(*keys, "group_ord")  # a row a group
-        heads = heads.withColumn("sub", F.row_number().over(Window.partitionBy(*keys).orderBy("group_ord")) - 1) if keys else numbered(heads, ["group_ord"], "sub")
+        heads = numbered_within(heads, keys, ["group_ord"], "sub") if keys else numbered(heads, ["group_ord"], "sub")
         out = split.join(heads.select("group_ord", "sub"), "group_ord").withColumn("hash", F.lit(None).cast("string"))
     else:
         out = _grouped(rows, keys, by_walk=not c.by_name).withColumn("hash", F.lit(None).cast("string"))

@@ -8,34 +8,45 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import under
+from ..joins import numbered_within
 
 YEAR = 365 * 86400
 PAGE = 50
 RULES = ("first", "last", "newest", "oldest", "largest_res", "priority", "shortest", "all", "none", "invert")
 
 
-def _group() -> WindowSpec:
-    return Window.partitionBy("group_key")
+def _with(members: DataFrame, *values: Column, several: bool = True) -> DataFrame:
+    """``members`` with values of their groups, of which a join splits those of very many members.
+
+    Values come from aggregates, which add up a group's rows where they are. ``several``: only groups of several.
+    """
+    groups = members.groupBy("group_key").agg(F.count(F.lit(1)).alias("_n"), *values)
+    return members.join(groups.filter("_n > 1") if several else groups, "group_key").drop("_n")
+
+
+def _least(*order: Column) -> Column:
+    """member_ord of the first member in ``order``."""
+    return F.min(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(order)], F.col("member_ord").alias("at")))["at"]
 
 
-def _remove(rule: str, priorities: Sequence[str]) -> Column:
-    """Whether the rule removes a member."""
-    order = {"newest": [F.col("modified").desc()], "oldest": [F.col("modified")], "shortest": [F.length("path")], "largest_res": [F.col("pixels").desc_nulls_last()]}
-    if rule in order:
-        return F.row_number().over(_group().orderBy(*order[rule], "member_ord")) > 1
+def _scoped(scope: DataFrame, rule: str, priorities: Sequence[str]) -> DataFrame:
+    """Members of groups of several that the rule removes."""
+    kept = {"newest": [-F.col("modified")], "oldest": [F.col("modified")], "shortest": [F.length("path")], "last": [-F.col("member_ord")]}
+    if rule == "largest_res":
+        kept[rule] = [F.col("pixels").isNull(), -F.col("pixels")]
+    if rule in kept:
+        return _with(scope, _least(*kept[rule]).alias("_at")).filter("member_ord <> _at")
     if rule == "first":
-        return F.col("member_ord") > 0
-    if rule == "last":
-        return F.col("member_ord") < F.max("member_ord").over(_group())
+        return _with(scope).filter("member_ord > 0")
     if rule == "priority":
         own = under(F.col("path"), list(priorities))
-        return F.when(F.max(own).over(_group()), ~own).otherwise(F.col("member_ord") > 0)
+        return _with(scope, F.bool_or(own).alias("_any")).filter(F.when(F.col("_any"), ~own).otherwise(F.col("member_ord") > 0))
     if rule in ("all", "none"):
-        return F.lit(rule == "all")
+        return _with(scope).filter(F.lit(rule == "all"))
     raise ValueError(f"no such rule: {rule}")
 
 
@@ -46,13 +57,12 @@ def select_members(members: DataFrame, rule: str, priorities: Sequence[str] = ()
     needs a column ``pixels``.
     """
     scope = members if view is None else view
-    several = scope.withColumn("_n", F.count(F.lit(1)).over(_group())).filter("_n > 1").drop("_n")
     if rule == "invert":
-        chosen = several.select("path")
+        chosen = _with(scope).select("path")
         if selection is not None:
             chosen = chosen.join(selection.select("path").distinct(), "path", "left_anti")
     else:
-        chosen = several.withColumn("_out", _remove(rule, priorities)).filter("_out").select("path")
+        chosen = _scoped(scope, rule, priorities).select("path")
     return protect(members, chosen)
 
 
@@ -63,9 +73,9 @@ def _marked(members: DataFrame, selection: DataFrame) -> DataFrame:
 
 def protect(members: DataFrame, selection: DataFrame) -> DataFrame:
     """The selection without the first members of groups (of several) that it takes whole."""
-    m = _marked(members, selection)
-    lost = F.bool_and("selected").over(_group()) & (F.count(F.lit(1)).over(_group()) > 1) & (F.col("member_ord") == 0)
-    return m.withColumn("_back", lost).filter("selected AND NOT _back").select("path").distinct()
+    m = _marked(members, selection).select("group_key", "member_ord", "path", "selected")
+    m = _with(m, F.bool_and("selected").alias("_all"), F.count(F.lit(1)).alias("_of"), several=False)
+    return m.filter("selected AND NOT (_all AND _of > 1 AND member_ord = 0)").select("path").distinct()
 
 
 def endangered_groups(members: DataFrame, selection: DataFrame) -> DataFrame:
@@ -78,8 +88,8 @@ def default_selection(members: DataFrame, content_verified: bool, allow_hardlink
     """All but first members, of groups whose first isn't empty; only where contents have been proved equal."""
     if not (allow_hardlink and content_verified and not by_picture):
         return members.select("path").limit(0)
-    first = F.max(F.when(F.col("member_ord") == 0, F.col("size"))).over(_group())
-    return members.withColumn("_first", first).filter("member_ord > 0 AND _first <> 0").select("path")
+    first = F.max(F.when(F.col("member_ord") == 0, F.col("size"))).alias("_first")
+    return _with(members, first, several=False).filter("member_ord > 0 AND _first <> 0").select("path")
 
 
 def filter_groups(members: DataFrame, category: str | None = None, search: str = "", min_size: int = 0, age: str | None = None, now: float = 0.0) -> DataFrame:
@@ -88,18 +98,18 @@ def filter_groups(members: DataFrame, category: str | None = None, search: str =
     The category and size tested are the first member's; the search text may be in any member's name or path;
     ``age`` tests the newest member: ``year`` is at most 365 days before ``now``, ``older`` is longer ago.
     """
-    g, first = members, lambda c: F.max(F.when(F.col("member_ord") == 0, F.col(c))).over(_group())
+    first = lambda c: F.max(F.when(F.col("member_ord") == 0, F.col(c)))
     keep = F.lit(True)
     if category and category != "all":
         keep &= first("category") == category
     if text := search.strip().lower():
-        keep &= F.bool_or(F.contains(F.lower("name"), F.lit(text)) | F.contains(F.lower("path"), F.lit(text))).over(_group())
+        keep &= F.bool_or(F.contains(F.lower("name"), F.lit(text)) | F.contains(F.lower("path"), F.lit(text)))
     if min_size > 0:
         keep &= first("size") >= min_size
     if age:
-        recent = F.max("modified").over(_group()) >= now - YEAR
+        recent = F.max("modified") >= now - YEAR
         keep &= recent if age == "year" else ~recent
-    return g.withColumn("_keep", keep).filter("_keep").drop("_keep")
+    return _with(members, keep.alias("_keep"), several=False).filter("_keep").drop("_keep")
 
 
 def sort_groups(members: DataFrame, by: str = "wasted") -> DataFrame:
@@ -121,5 +131,4 @@ def page(rows: DataFrame, number: int = 0, size: int = PAGE) -> DataFrame:
 def remove_members(members: DataFrame, gone: DataFrame) -> DataFrame:
     """What is left of the groups without the paths ``gone``; groups of one vanish, members are counted anew."""
     left = members.join(gone.select("path").distinct(), "path", "left_anti")
-    left = left.withColumn("_n", F.count(F.lit(1)).over(_group())).filter("_n > 1").drop("_n")
-    return left.withColumn("member_ord", (F.row_number().over(_group().orderBy("member_ord")) - 1).cast("long"))
+    return numbered_within(_with(left).withColumnRenamed("member_ord", "_was"), ["group_key"], ["_was"], "member_ord").drop("_was").select(members.columns)
