@@ -17,6 +17,12 @@ def ancestors(path: Column) -> Column:
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).otherwise(F.array().cast("array<string>"))
 
 
+def _holding(paths: DataFrame) -> DataFrame:
+    """All folders above any of ``paths``, each once: of many files in a folder, the folder goes on alone."""
+    folders = paths.filter(F.contains("path", F.lit("/"))).select(parent(F.col("path")).alias("path")).distinct()
+    return folders.select(F.explode(F.array_append(ancestors(F.col("path")), F.col("path"))).alias("path")).distinct()
+
+
 def empty_dirs(dirs: DataFrame, inv: DataFrame, roots: Sequence[str] = ()) -> DataFrame:
     """Folders (path, depth) that hold nothing, or only such folders; roots are never among them.
 
@@ -25,7 +31,7 @@ def empty_dirs(dirs: DataFrame, inv: DataFrame, roots: Sequence[str] = ()) -> Da
     those are subtracted.
     """
     closed = dirs.filter("closed") if "closed" in dirs.columns else dirs.limit(0)
-    full = inv.select("path").unionByName(closed.select("path")).select(F.explode(ancestors(F.col("path"))).alias("path")).distinct()
+    full = _holding(inv.select("path").unionByName(closed.select("path")))
     open_ = dirs.join(closed.select("path"), "path", "left_anti") if "closed" in dirs.columns else dirs
     each = open_.groupBy("path").agg(F.min("walk_ord").alias("walk_ord")) if "walk_ord" in dirs.columns else open_.select("path").distinct()
     out = each.join(full, "path", "left_anti")
@@ -71,5 +77,5 @@ def broken_links(links: DataFrame, existing: DataFrame, drives: DataFrame | None
 def emptied_parents(gone: DataFrame, inv: DataFrame) -> DataFrame:
     """Direct parents of the removed paths that hold no other file; never their parents in turn."""
     folders = gone.select(parent(F.col("path")).alias("path")).distinct()
-    left = inv.join(gone.select("path"), "path", "left_anti").select(F.explode(ancestors(F.col("path"))).alias("path")).distinct()
+    left = _holding(inv.join(gone.select("path"), "path", "left_anti").select("path"))
     return folders.join(left, "path", "left_anti")

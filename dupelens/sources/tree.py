@@ -1,119 +1,165 @@
-"""A Spark data source for real directory trees, with inodes.
+"""Real directory trees, with inodes, walked by all executors.
 
-Partitions are the folders right below the roots (and the roots' own files), so executors walk them side by
-side; a shared file system is needed, as for any tree. Links are not followed; never-entered folders are
-pruned at their top; what can't be read is skipped. ``kind`` is ``files`` or ``dirs``.
+A walk goes in rounds. Each lists the folders that are open, deals them anew by path, and lets every task go down
+from its folders until it has seen ``BUDGET`` entries; what it leaves open is listed in the next round, so neither a deep
+folder nor a wide one is one task's for long. A round is written once. Places in the walk are numbered by ranges
+afterwards, from keys that sort as a walk does: a folder's files by name, then its folders by name.
+
+A shared file system is needed, as for any tree. Links are not followed; never-entered folders are pruned at their
+top; what can't be read is skipped, as are names that are no UTF-8. Bodies are read only where they are asked for:
+``content`` is a column that is computed from the path, so a plan without it opens no file.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.python_udfs import link_candidates
+from ..joins import numbered
 from ..operators.dedup import Criteria, looked_at, size_candidates
 from ..operators.filters import NEVER_ENTERED, dedup_physical
 from ..session import write_once
 from .inventory import derived
 
-FILES = "path string, name string, size long, created double, modified double, dev long, ino long, walk_ord long, content binary"
-DIRS = "path string, closed boolean, walk_ord long"
-
-
-class Part(InputPartition):
-    def __init__(self, number: int, top: str, deep: bool, is_root: bool) -> None:
-        self.number, self.top, self.deep, self.is_root = number, top, deep, is_root
+#: Entries that a task lists before it leaves the rest to the next round; it lists all of each folder that it opens.
+BUDGET = 20_000
+#: Bodies of more bytes aren't columns: ``content`` is null, and digests are made from the file (``fingerprints``).
+LARGEST_BODY = (1 << 31) - (1 << 20)
+#: kind is file, dir, closed (pruned, linked or unreadable folder) or open (a folder for the next round).
+ENTRY = "kind string, root int, key string, path string, name string, size long, created double, modified double, dev long, ino long"
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+_SCHEMA = pa.schema([(name, _KINDS[kind]) for name, kind in (f.split(" ") for f in ENTRY.split(", "))])
+_BLANK = {"name": None, "size": None, "created": None, "modified": None, "dev": None, "ino": None}
 
 
 def _closed(entry: os.DirEntry) -> bool:
     return entry.name.lower() in NEVER_ENTERED or entry.is_symlink() or entry.is_junction()
 
 
-class TreeReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.roots = [r for r in json.loads(options["roots"]) if os.path.isdir(r)]
-        self.kind = options.get("kind", "files")
-        self.content = options.get("content", "true") == "true"
-
-    def partitions(self) -> list[Part]:
-        out: list[Part] = []
-        for root in map(os.path.abspath, self.roots):
-            out.append(Part(len(out), root, False, True))
-            with os.scandir(root) as entries:
-                for e in sorted((e for e in entries if e.is_dir(follow_symlinks=False) and not _closed(e)), key=lambda e: e.name):
-                    out.append(Part(len(out), e.path, True, False))
-        return out
-
-    def read(self, part: Part | None) -> Iterator[tuple]:
-        if part is None:  # no roots
-            return
-        order = part.number << 40
-        stack = [part.top]
-        if self.kind == "dirs" and not part.is_root:
-            yield (part.top, False, order)
-        while stack:
-            folder = stack.pop()
-            try:
-                with os.scandir(folder) as found:
-                    entries = sorted(found, key=lambda e: e.name)
-            except OSError:
-                if self.kind == "dirs":
-                    order += 1
-                    yield (folder, True, order)
-                continue
-            below = []
-            for e in entries:
-                order += 1
-                try:
-                    if e.is_dir(follow_symlinks=False) or e.is_junction():
-                        closed = _closed(e)
-                        if self.kind == "dirs" and (closed or part.deep):
-                            yield (e.path, closed, order)
-                        if part.deep and not closed:
-                            below.append(e.path)
-                    elif self.kind == "files" and not e.is_symlink():
-                        s = e.stat(follow_symlinks=False)
-                        data = None
-                        if self.content:
-                            with open(e.path, "rb") as f:
-                                data = f.read()
-                        yield (e.path, e.name, s.st_size, s.st_ctime, s.st_mtime, s.st_dev, s.st_ino, order, data)
-                except OSError:
-                    continue
-            stack.extend(reversed(below))
-
-
-class DirectoryTree(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "directory_tree"
-
-    def schema(self) -> str:
-        return DIRS if self.options.get("kind") == "dirs" else FILES
-
-    def reader(self, schema) -> TreeReader:
-        return TreeReader(dict(self.options))
-
-
-def scan_tree(spark: SparkSession, roots: list[str], content: bool = True) -> DataFrame:
-    """The inventory of directory trees, roots in order."""
-    spark.dataSource.register(DirectoryTree)
-    rows = spark.read.format("directory_tree").option("content", str(content).lower()).option("roots", json.dumps(roots)).load()
-    return derived(rows)
-
-
-def scan_dirs(spark: SparkSession, roots: list[str]) -> DataFrame:
+def _utf8(name: str) -> bool:
+    try:
+        name.encode()
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _listed(folder: str, root: int, key: str) -> Iterator[dict]:
+    """Rows of one folder's entries, in walk order; a folder's key is its parent's, a mark that is greater than that of files, its name and an end."""
+    try:
+        with os.scandir(folder) as found:
+            entries = sorted((e for e in found if _utf8(e.name)), key=lambda e: e.name)
+    except OSError:
+        yield {"kind": "closed", "root": root, "key": key, "path": folder, **_BLANK}
+        return
+    for e in entries:
+        row = {"root": root, "path": e.path}
+        try:
+            if e.is_dir(follow_symlinks=False) or e.is_junction():
+                yield {"kind": "closed" if _closed(e) else "dir", "key": f"{key}\x01{e.name}\0", **row, **_BLANK}
+            elif not e.is_symlink():
+                s = e.stat(follow_symlinks=False)
+                yield {"kind": "file", "key": f"{key}\0{e.name}", **row, "name": e.name, "size": s.st_size, "created": s.st_ctime, "modified": s.st_mtime, "dev": s.st_dev, "ino": s.st_ino}
+        except OSError:
+            continue
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen, rows, budget = 0, [], BUDGET
+    for batch in batches:
+        for start in batch.to_pylist():
+            stack, first = [(start["path"], start["key"])], True
+            while stack:
+                folder, key = stack.pop()
+                if seen >= budget and not first:
+                    rows.append({"kind": "open", "root": start["root"], "key": key, "path": folder, **_BLANK})
+                else:
+                    below = []
+                    for row in _listed(folder, start["root"], key):
+                        rows.append(row)
+                        seen += 1
+                        if row["kind"] == "dir":
+                            below.append((row["path"], row["key"]))
+                        if len(rows) >= 5000:
+                            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+                            rows = []
+                    stack.extend(reversed(below))
+                first = False
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+
+
+def walk(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """All entries below the roots (see ``ENTRY``), each round's written once; missing roots have none."""
+    there = [(k, "", os.path.abspath(r)) for k, r in enumerate(r for r in roots if os.path.isdir(r))]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    open_, out = spark.createDataFrame(there, "root int, key string, path string"), None
+    while not open_.isEmpty():
+        found = write_once(open_.repartition(tasks, "path", "root").mapInArrow(_walked, ENTRY), "walk")
+        out = found if out is None else out.unionByName(found)
+        open_ = found.filter("kind = 'open'").select("root", "key", "path")
+    return out if out is not None else spark.createDataFrame([], ENTRY)
+
+
+@F.pandas_udf(T.BinaryType())
+def body(path: pd.Series) -> pd.Series:
+    """The file's bytes; null where it can't be read, or is larger than a value may be."""
+
+    def read(p: str) -> bytes | None:
+        try:
+            with open(p, "rb") as f:
+                return f.read() if os.fstat(f.fileno()).st_size <= LARGEST_BODY else None
+        except OSError:
+            return None
+
+    return path.map(read)
+
+
+def scan_tree(spark: SparkSession, roots: Sequence[str], content: bool = True) -> DataFrame:
+    """The inventory of directory trees, roots in order; bodies are read where ``content`` is used, each time it is."""
+    files = numbered(walk(spark, roots).filter("kind = 'file'"), ["root", "key"], "walk_ord")
+    rows = derived(files.select("path", "name", "size", "created", "modified", "dev", "ino", "walk_ord"))
+    return rows.withColumn("content", body("path") if content else F.lit(None).cast("binary"))
+
+
+def scan_dirs(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     """All folders below the roots: path, closed (pruned, linked or unreadable) and walk_ord."""
-    spark.dataSource.register(DirectoryTree)
-    rows = spark.read.format("directory_tree").option("kind", "dirs").option("roots", json.dumps(roots)).load()
-    return rows.groupBy("path").agg(F.bool_or("closed").alias("closed"), F.min("walk_ord").alias("walk_ord"))
+    rows = walk(spark, roots).filter("kind IN ('dir', 'closed')")
+    each = rows.groupBy("path").agg(F.bool_or(F.col("kind") == "closed").alias("closed"), F.min(F.struct("root", "key")).alias("at"))
+    return numbered(each, ["at"], "walk_ord").drop("at")
+
+
+@F.pandas_udf(T.BooleanType())
+def is_there(path: pd.Series) -> pd.Series:
+    return path.map(lambda p: p is not None and os.path.exists(p)).astype(bool)
+
+
+def scan_shortcuts(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """Shortcut files (path, name, size, modified) with ``target``: of what each may mean the first that exists, else the first; null if nothing.
+
+    Folders that are never entered, links and junctions are pruned as in any walk. Only shortcut files are opened.
+    """
+    files = scan_tree(spark, roots).filter(F.lower("name").endswith(".lnk"))
+    rows = files.select("path", "name", "size", "modified", "walk_ord", link_candidates("content").alias("may"))
+    each = rows.select("path", F.posexplode("may").alias("at", "target"))
+    found = each.filter(is_there("target")).groupBy("path").agg(F.min(F.struct("at", "target"))["target"].alias("found"))
+    return rows.join(found, "path", "left").select("path", "name", "size", "modified", "walk_ord", F.coalesce("found", F.get("may", F.lit(0))).alias("target"))
+
+
+def broken_shortcuts(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """Shortcuts whose target isn't there though its drive is."""
+    links = scan_shortcuts(spark, roots).filter(F.col("target").isNotNull() & (F.col("target") != ""))
+    drive = F.regexp_extract("target", r"^([A-Za-z]:|[\\\\/]{2}[^\\\\/]+[\\\\/][^\\\\/]+)", 1)
+    rows = links.filter(~is_there("target")).withColumn("drive", drive)
+    return rows.filter((F.col("drive") == "") | is_there(F.concat("drive", F.lit(os.sep)))).drop("drive")
 
 
 def _turbo(path: str, size: int, partial: int) -> str | None:
