@@ -33,7 +33,7 @@ from .inventory import derived
 BUDGET = 20_000
 #: Bodies of more bytes aren't columns: ``content`` is null, and digests are made from the file (``fingerprints``).
 LARGEST_BODY = (1 << 31) - (1 << 20)
-#: kind is file, dir, closed (pruned, linked or unreadable folder) or open (a folder for the next round).
+#: kind is file, dir, closed (a pruned or unreadable folder, a link, or what holds something that can't be shown) or open (a folder for the next round).
 ENTRY = "kind string, root int, key string, path string, name string, size long, created double, modified double, dev long, ino long"
 _KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
 _SCHEMA = pa.schema([(name, _KINDS[kind]) for name, kind in (f.split(" ") for f in ENTRY.split(", "))])
@@ -56,20 +56,24 @@ def _listed(folder: str, root: int, key: str) -> Iterator[dict]:
     """Rows of one folder's entries, in walk order; a folder's key is its parent's, a mark that is greater than that of files, its name and an end."""
     try:
         with os.scandir(folder) as found:
-            entries = sorted((e for e in found if _utf8(e.name)), key=lambda e: e.name)
+            entries = list(found)
     except OSError:
+        entries = None
+    if entries is None or not all(_utf8(e.name) for e in entries):
         yield {"kind": "closed", "root": root, "key": key, "path": folder, **_BLANK}
-        return
+    entries = sorted((e for e in entries or () if _utf8(e.name)), key=lambda e: e.name)
     for e in entries:
         row = {"root": root, "path": e.path}
         try:
             if e.is_dir(follow_symlinks=False) or e.is_junction():
                 yield {"kind": "closed" if _closed(e) else "dir", "key": f"{key}\x01{e.name}\0", **row, **_BLANK}
-            elif not e.is_symlink():
+            elif e.is_symlink():
+                yield {"kind": "closed", "key": f"{key}\x01{e.name}\0", **row, **_BLANK}
+            else:
                 s = e.stat(follow_symlinks=False)
                 yield {"kind": "file", "key": f"{key}\0{e.name}", **row, "name": e.name, "size": s.st_size, "created": s.st_ctime, "modified": s.st_mtime, "dev": s.st_dev, "ino": s.st_ino}
-        except OSError:
-            continue
+        except OSError:  # it holds its folder all the same
+            yield {"kind": "closed", "key": f"{key}\x01{e.name}\0", **row, **_BLANK}
 
 
 def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +135,7 @@ def scan_tree(spark: SparkSession, roots: Sequence[str], content: bool = True) -
 
 
 def scan_dirs(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    """All folders below the roots: path, closed (pruned, linked or unreadable) and walk_ord."""
+    """All folders and links below the roots: path, closed (pruned, link, or not to be read as a whole) and walk_ord."""
     rows = walk(spark, roots).filter("kind IN ('dir', 'closed')")
     each = rows.groupBy("path").agg(F.bool_or(F.col("kind") == "closed").alias("closed"), F.min(F.struct("root", "key")).alias("at"))
     return numbered(each, ["at"], "walk_ord").drop("at")
