@@ -1,20 +1,22 @@
 """Reports over all groups: rows for CSV, and JSON, text and HTML documents.
 
 ``json_groups`` and the like give a group a row, for pages of groups that people look at. ``export`` writes all groups
-to one file: a row a member streams through the driver in order, so that a group of any size is written.
+to one file: a row is a member, so a group of any size is written, and ranges of rows are rendered side by side.
 """
 
 from __future__ import annotations
 
 import csv
-import json
+import io
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import human_size, time_text
+from ..operators.stats import wasted_totals
+from ..session import shared_folder
 
 HEADER = ["Group", "File Name", "Path", "Size (bytes)", "Size (formatted)", "Modified", "Category"]
 ORDER = ("block_ord", "group_ord")
@@ -82,53 +84,97 @@ def html_groups(members: DataFrame) -> DataFrame:
     return g.select("group_key", *ORDER, F.concat_ws("\n", F.array(_html_head()), F.col("rows")).alias("body"))
 
 
-def lines(members: DataFrame, head: Column, line: Column) -> DataFrame:
-    """(group_key, member_ord, head, line), a row a member, in the report's order: a group of any size is as many rows."""
+def _csv_line() -> Column:
+    def cell(c: Column) -> Column:
+        text = F.coalesce(c.cast("string"), F.lit(""))
+        return F.when(text.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    row = [F.col("group_key"), F.col("name"), F.col("path"), F.col("size"), human_size(F.col("size")), time_text(F.col("modified")), F.col("category")]
+    return F.concat_ws(",", *map(cell, row))
+
+
+def _json_text(c: Column) -> Column:
+    """As a JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(c.alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
+
+
+def rendered(members: DataFrame, kind: str) -> tuple[DataFrame, str]:
+    """(the report's order and ``text``, a row a member; what stands between rows): a group of any size is as many rows."""
     totals = members.groupBy("group_key").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("member_ord") == 0, F.col("size"))).alias("first_size"),
         F.coalesce(F.sum(F.when(F.col("member_ord") > 0, F.col("size"))), F.lit(0)).alias("wasted"),
     )
-    heads = totals.select("group_key", head.alias("head"))
-    return members.join(heads, "group_key").orderBy(*ORDER, "group_key", "member_ord").select("group_key", "member_ord", "head", line.alias("line"))
+    rows, first = members.join(totals, "group_key"), F.col("member_ord") == 0
+    if kind == "csv":
+        text, between = _csv_line(), "\r\n"
+    elif kind == "json":
+        last = F.when(F.col("member_ord") == F.col("n") - 1, "]").otherwise("")
+        text, between = F.concat(F.when(first, F.concat(F.lit(" "), _json_text(F.col("group_key")), F.lit(": ["))).otherwise(""), F.to_json(_json_line()), last), ","
+    elif kind in ("txt", "html"):
+        head, line = (_text_head(), _text_line()) if kind == "txt" else (_html_head(), _html_line())
+        before = F.lit("\n" if kind == "txt" else "")
+        text, between = F.concat(F.when(first, F.concat(before, head, F.lit("\n"))).otherwise(""), line), "\n"
+    else:
+        raise ValueError(f"no such format: {kind}")
+    return rows.select(*ORDER, "group_key", "member_ord", text.alias("text")), between
+
+
+def _ends(kind: str, total: Row) -> tuple[str, str]:
+    """What stands before and after the rows."""
+    if kind == "csv":
+        line = io.StringIO()
+        csv.writer(line).writerow(HEADER)
+        return "\ufeff" + line.getvalue(), ""
+    if kind == "json":
+        return f'{{"total_groups": {total["groups"]}, "wasted_space": {total["wasted"]}, "groups": {{', "}}"
+    if kind == "txt":
+        return f"Duplicate report\nGroups: {total['groups']}\nReclaimable bytes: {total['wasted']}\n", ""
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Duplicate report</title></head><body><h1>{total["groups"]} groups</h1><table>\n', "</table></body></html>\n"
 
 
 def export(members: DataFrame, path: str, kind: str) -> None:
-    """Write one local file: csv (UTF-8 with mark), json, txt or html. The file appears whole or not at all."""
-    from ..operators.stats import wasted_totals
-
-    total = wasted_totals(members).first()
+    """Write one local file: csv (UTF-8 with mark), json, txt or html. The file appears whole or not at all.
+
+    Executors render the ranges of the report's order and write them side by side; the driver joins their files in
+    order, as bytes, and no row passes it.
+    """
+    spark = members.sparkSession
+    rows, between = rendered(members, kind)
+    order = [*ORDER, "group_key", "member_ord"]
+    parts = f"{shared_folder(spark)}/parts"
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("text").write.option("lineSep", between).text(parts)
+    head, foot = _ends(kind, wasted_totals(members).first())
     tmp = f"{path}.{uuid.uuid4().hex}.tmp"
     try:
-        with open(tmp, "w", encoding="utf-8-sig" if kind == "csv" else "utf-8", newline="") as f:
-            if kind == "csv":
-                out = csv.writer(f)
-                out.writerow(HEADER)
-                ordered = members.orderBy(*ORDER, "group_key", "member_ord")
-                for row in export_rows(ordered).toLocalIterator():
-                    out.writerow(row)
-            elif kind == "json":
-                f.write(f'{{"total_groups": {total["groups"]}, "wasted_space": {total["wasted"]}, "groups": {{')
-                last = None
-                for row in lines(members, F.col("group_key"), F.to_json(_json_line())).toLocalIterator():
-                    if row["group_key"] == last:
-                        f.write(",")
-                    else:
-                        f.write(f"{'' if last is None else '], '}{json.dumps(row['group_key'])}: [")
-                    f.write(row["line"])
-                    last = row["group_key"]
-                f.write("}}" if last is None else "]}}")
-            elif kind == "txt":
-                f.write(f"Duplicate report\nGroups: {total['groups']}\nReclaimable bytes: {total['wasted']}\n")
-                for row in lines(members, _text_head(), _text_line()).toLocalIterator():
-                    f.write((f"\n{row['head']}\n" if row["member_ord"] == 0 else "") + row["line"] + "\n")
-            elif kind == "html":
-                f.write(f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Duplicate report</title></head><body><h1>{total["groups"]} groups</h1><table>\n')
-                for row in lines(members, _html_head(), _html_line()).toLocalIterator():
-                    f.write((f"{row['head']}\n" if row["member_ord"] == 0 else "") + row["line"] + "\n")
-                f.write("</table></body></html>\n")
-            else:
-                raise ValueError(f"no such format: {kind}")
+        with open(tmp, "w", encoding="utf-8", newline="") as f:
+            f.write(head)
+        start = os.path.getsize(tmp)
+        _append(spark, parts, tmp, skip=1 if kind == "json" else 0)  # the first group needs no space before it
+        if kind == "json" and os.path.getsize(tmp) > start:
+            os.truncate(tmp, os.path.getsize(tmp) - len(between))
+        with open(tmp, "a", encoding="utf-8", newline="") as f:
+            f.write(foot)
         os.replace(tmp, path)
     finally:
         if os.path.exists(tmp):
             os.remove(tmp)
+
+
+def _append(spark: SparkSession, folder: str, path: str, skip: int) -> None:
+    """Append the files of ``folder`` in order to a local file, without the first ``skip`` bytes, through the JVM."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(conf)
+    found = sorted((s.getPath().getName(), s) for s in fs.listStatus(at) if s.getPath().getName().startswith("part-") and s.getLen())
+    out = jvm.java.io.FileOutputStream(path, True)
+    try:
+        for k, (_, status) in enumerate(found):
+            part = fs.open(status.getPath())
+            try:
+                if k == 0:
+                    part.seek(skip)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
