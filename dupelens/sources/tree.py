@@ -199,11 +199,61 @@ def whole_digest(path: pd.Series) -> pd.Series:
     return path.map(_full)
 
 
+#: Bytes that the first round of a byte comparison reads of each file; each next round reads ``STEP`` times as many.
+FIRST_RANGE, STEP = 1 << 16, 8
+
+
+@F.pandas_udf(T.StringType())
+def range_digest(path: pd.Series, offset: pd.Series, length: pd.Series) -> pd.Series:
+    """SHA-256 of bytes of the files from ``offset`` on, read a piece at a time; null where it can't be read."""
+
+    def one(p: str, start: int, left: int) -> str | None:
+        h = hashlib.sha256()
+        try:
+            with open(p, "rb") as f:
+                f.seek(start)
+                while left > 0 and (piece := f.read(min(left, 1 << 20))):
+                    h.update(piece)
+                    left -= len(piece)
+        except OSError:
+            return None
+        return h.hexdigest()
+
+    return pd.Series([one(*x) for x in zip(path, offset, length, strict=True)], dtype="object")
+
+
+def refined(files: DataFrame, by: Sequence[str] = ("size",)) -> tuple[DataFrame, DataFrame]:
+    """Files (path, size and ``by``) that equal another byte for byte: (path, full: equal for equal files of one ``by``), and (path, bytes_read) of all.
+
+    Groups are split by one range of bytes after another, as wide again by ``STEP`` each round, and a file leaves as soon as
+    nothing is left that it could equal: files that differ early are hardly read, and no file is read twice. A round is
+    written once; its files are dealt anew by path.
+    """
+    state, offset, length = files.select("path", "size", *[c for c in by if c != "size"]).withColumn("chain", F.lit("")), 0, FIRST_RANGE
+    out = counts = None
+    while not state.isEmpty():
+        part = range_digest("path", F.lit(offset).cast("long"), F.lit(length).cast("long"))
+        read = state.repartition("path").withColumn("part", part).filter("part IS NOT NULL").withColumn("chain", F.sha2(F.concat("chain", "part"), 256)).drop("part")
+        read = write_once(read, "ranges")
+        often = read.groupBy(*by, "chain").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        alike = read.join(often, [*by, "chain"], "left_semi")
+        ended = F.col("size") <= offset + length
+        done = alike.filter(ended).select("path", F.col("chain").alias("full"))
+        bytes_ = read.select("path", F.least("size", F.lit(offset + length)).alias("bytes_read"))
+        out, counts = (done, bytes_) if out is None else (out.unionByName(done), counts.unionByName(bytes_))
+        state = write_once(alike.filter(~ended), "alike")
+        offset, length = offset + length, length * STEP
+    if out is None:
+        return files.select("path", F.lit(None).cast("string").alias("full")).limit(0), files.select("path", F.lit(0).cast("long").alias("bytes_read")).limit(0)
+    return out, counts.groupBy("path").agg(F.max("bytes_read").alias("bytes_read"))
+
+
 def fingerprints(spark: SparkSession, roots: list[str], criteria: Criteria = Criteria(), known: DataFrame | None = None) -> DataFrame:
     """The inventory of the trees with ``full``, for ``find_duplicates``; files are read as little as may be.
 
     Files of unique size aren't opened. In turbo mode the others show their ends first, and only those with equal
-    ends are read whole; else all are. ``known`` (path, full_hash): files that need no reading. ``full`` is null
+    ends are read whole; else all are, except where bytes alone are compared: these are read range by range while they
+    still equal another (``refined``). ``known`` (path, full_hash): files that need no reading. ``full`` is null
     for files that can equal no other, and for those that can't be read. Each step is written once, and files
     are spread over tasks by path, wherever they lie.
     """
@@ -211,6 +261,10 @@ def fingerprints(spark: SparkSession, roots: list[str], criteria: Criteria = Cri
     todo = size_candidates(rows).drop("block_ord") if criteria.by_size else rows
     if known is not None:
         todo = todo.join(known.filter(F.col("full_hash").isNotNull()).select("path"), "path", "left_anti")
+    if criteria.by_byte and not criteria.by_hash and known is None:
+        by = ["size"] + ["low_name"] * criteria.by_name
+        full, _ = refined(todo.withColumn("low_name", F.lower("name")), by)
+        return rows.join(write_once(full, "digests"), "path", "left")
     todo = todo.select("path", "size")
     if criteria.turbo and known is None:
         parts = write_once(todo.repartition("path").withColumn("part", partial_digest("path", "size", F.lit(criteria.partial))), "ends")
