@@ -5,6 +5,8 @@
 2. A bundle keeps, for each of its frequent phrases, the sorted list of positions where it begins: the lengths of these
    lists, added up over the bundles, are exact frequencies. Only (bundle, phrase, length) rows are shuffled by phrase,
    a row a bundle at most, and those of frequent phrases go back to their bundle.
+   Pairs, of which there are most, are first counted by hash in a fixed number of counters; only those whose counter
+   reaches the minimum are counted by themselves.
 3. Level by level, the lists of frequent phrases of k words are merged with the postings of the words k places on;
    a phrase is a candidate only where its last k words are frequent, too. Phrases are named by (phrase, word) pairs
    of exact numbers, so nothing rests on a hash.
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..joins import spread_join
-from .common import LOWER, Held, SpanHash, materialize, release, roomy, same_bytes, small_batches, text_bytes, words
+from .common import FMIX_STEP, LOWER, Held, SpanHash, fmix, materialize, release, roomy, same_bytes, small_batches, text_bytes, words
 
 #: Bytes of texts that a task gathers before it makes a bundle of a language; a longer document is one of its own.
 BUNDLE_BYTES = 6 << 20
@@ -34,6 +36,8 @@ MAX_WORDS = 5
 TOP = 2000
 #: A task makes fewer than 2^12 bundles, and a bundle has fewer than 2^31 phrases.
 OF_TASK, OF_BUNDLE = 12, 31
+#: Counters of pairs, by hash, and the rows in which a task sends them.
+FILTER, SEGMENTS = 1 << 22, 64
 #: Frequent phrases are broadcast up to this number, else salted.
 BROADCAST_PHRASES = 100_000
 #: Ends of pieces, and what is no part of a word.
@@ -173,17 +177,58 @@ def _merged(at: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return j, met
 
 
-def _candidates(lists: DataFrame, k: int) -> DataFrame:
-    """bundle, idx, phrase, word and n of the candidates of k + 1 words in each bundle."""
+def _place(phrase: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` counters a pair of ids belongs to."""
+    return (fmix(phrase.view(np.uint64) * FMIX_STEP + word.view(np.uint64)) % np.uint64(size)).astype(np.int64)
+
+
+def crowded(lists: DataFrame, min_count: int, size: int) -> np.ndarray:
+    """Whether each of ``size`` counters, among which all pairs of neighbouring frequent words are dealt by hash, has counted ``min_count``.
+
+    A pair in another can't be frequent. A task sends its counters once, cut to ``min_count``; what comes to the driver are
+    ``size`` bits, whatever the input. Where pairs are so many that all counters are full, it holds back nothing.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Held.begin("phrases")
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, _, phrase, word, n = _extended(row, 1)
+                np.add.at(total, _place(phrase, word, size), n)
+        if total.any():
+            cut = np.minimum(total, min_count).reshape(SEGMENTS, -1)
+            for k in range(SEGMENTS):
+                yield pa.record_batch({"segment": [k], "counts": pa.array([_packed(cut[k])], pa.binary())})
+        release()
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size // SEGMENTS, np.int64)
+        for batch in batches:
+            for counts in batch.column(batch.schema.get_field_index("counts")).to_pylist():
+                total = np.minimum(total + _unpacked(counts), min_count)
+        yield pa.record_batch({"segment": [key[0].as_py()], "full": pa.array([np.packbits(total >= min_count).tobytes()], pa.binary())})
+
+    sums = lists.mapInArrow(count, "segment long, counts binary").groupBy("segment").applyInArrow(add, "segment long, full binary")
+    out = np.zeros((SEGMENTS, size // SEGMENTS), bool)
+    for segment, full in sums.collect():
+        out[segment] = np.unpackbits(np.frombuffer(full, np.uint8))
+    return out.reshape(-1)
+
+
+def _candidates(lists: DataFrame, k: int, among: np.ndarray | None = None) -> DataFrame:
+    """bundle, idx, phrase, word and n of the candidates of k + 1 words in each bundle; ``among``: the counters of those that may be frequent."""
+    bits = None if among is None else np.packbits(among)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Held.begin("phrases")
         for batch in batches:
             for row in batch.to_pylist():
                 _, _, phrase, word, n = _extended(row, k)
-                for i in range(0, len(n), 20_000):
-                    j = min(len(n), i + 20_000)
-                    yield pa.record_batch({"bundle": np.full(j - i, row["bundle"]), "idx": np.arange(i, j), "phrase": phrase[i:j], "word": word[i:j], "n": n[i:j]})
+                idx = np.arange(len(n)) if bits is None else np.flatnonzero(np.unpackbits(bits)[_place(phrase, word, 8 * len(bits))])
+                for i in range(0, len(idx), 20_000):
+                    at = idx[i : i + 20_000]
+                    yield pa.record_batch({"bundle": np.full(len(at), row["bundle"]), "idx": at, "phrase": phrase[at], "word": word[at], "n": n[at]})
         release()
 
     return lists.mapInArrow(run, "bundle long, idx long, phrase long, word long, n long")
@@ -193,8 +238,9 @@ def _frequent(candidates: DataFrame, keys: list[str], min_count: int) -> DataFra
     """Candidates of at least ``min_count`` in all bundles together, with this ``total`` and an ``id`` of the phrase: the least of its numbers."""
     w = Window.partitionBy(*keys)
     own = F.shiftleft("bundle", OF_BUNDLE) + F.col("idx")
-    found = candidates.withColumn("own", own).withColumn("total", F.sum("n").over(w)).filter(F.col("total") >= min_count)
-    return materialize(found.withColumn("id", F.min("own").over(w)), "frequent")
+    found = candidates.withColumn("own", own).withColumn("total", F.sum("n").over(w)).filter(F.col("total") >= min_count).withColumn("id", F.min("own").over(w))
+    first = F.col("own") == F.col("id")  # one row says what the phrase is
+    return materialize(found.select("bundle", "idx", "id", first.alias("first"), *[F.when(first, F.col(c)).alias(c) for c in [*keys, "total"]]), "frequent")
 
 
 def _kept(left: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
@@ -233,14 +279,15 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WO
     words_ = made.select("bundle", "lang", F.posexplode(F.arrays_zip("names", "counts")).alias("idx", "w"))
     words_ = words_.select("bundle", "lang", F.col("idx").cast("long").alias("idx"), F.col("w.names").alias("name"), F.col("w.counts").alias("n"))
     frequent = _frequent(words_, ["lang", "name"], min_count)
-    known = materialize(frequent.filter("own = id").select("id", "lang", F.col("name").cast("string").alias("phrase"), F.col("total").alias("f")), "words")
+    known = materialize(frequent.filter("first").select("id", "lang", F.col("name").cast("string").alias("phrase"), F.col("total").alias("f")), "words")
     one, levels, lists = known.select("id", F.col("phrase").alias("last")), [known.withColumn("k", F.lit(1))], made
     for k in range(1, max_words):
         lists = materialize(_kept(lists, frequent, k), "lists")
-        frequent = _frequent(_candidates(lists, k), ["phrase", "word"], min_count)
+        among = crowded(lists, min_count, FILTER) if k == 1 else None  # pairs are by far the most
+        frequent = _frequent(_candidates(lists, k, among), ["phrase", "word"], min_count)
         if frequent.isEmpty():
             break
-        new = frequent.filter("own = id").select("id", F.col("phrase").alias("first"), "word", F.col("total").alias("f"))
+        new = frequent.filter("first").select("id", F.col("phrase").alias("first"), "word", F.col("total").alias("f"))
         new = spread_join(new, known.select(F.col("id").alias("first"), "lang", "phrase"), ["first"], BROADCAST_PHRASES, by="id")
         new = spread_join(new, one.withColumnRenamed("id", "word"), ["word"], BROADCAST_PHRASES, by="id")
         known = materialize(new.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "f"), "phrases")

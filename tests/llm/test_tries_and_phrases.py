@@ -119,6 +119,8 @@ def phrases_of(spark, rows, **options):
 def test_phrases_against_counting(spark, texts, monkeypatch):
     monkeypatch.setattr(collocations, "BUNDLE_BYTES", 2000)  # many bundles a task
     monkeypatch.setattr(collocations, "BROADCAST_PHRASES", 5)
+    monkeypatch.setattr(collocations, "FILTER", 1 << 9)  # full counters, and some that aren't
+    monkeypatch.setattr(collocations, "SEGMENTS", 8)
     got = phrases_of(spark, texts, min_count=4)
     assert got == phrase_model(texts, 4) and any(len(x[2].split(" ")) == 5 for x in got)
     assert phrases_of(spark, texts, min_count=30, top=3) == phrase_model(texts, 30, top=3)
