@@ -17,7 +17,7 @@ class Handle:
     """What other threads hold; ``cancel`` may be called at any time and more than once."""
 
     def __init__(self, spark: SparkSession, tag: str) -> None:
-        self.spark, self.tag, self.cancelled = spark, tag, False
+        self.spark, self.tag, self.cancelled, self.partial = spark, tag, False, False
 
     def cancel(self) -> None:
         self.cancelled = True
@@ -30,13 +30,18 @@ class Handle:
 
 
 @contextmanager
-def cancellable(spark: SparkSession) -> Iterator[Handle]:
-    """``with cancellable(spark) as handle``: a cancelled block raises ``Cancelled``, whatever its jobs raised."""
+def cancellable(spark: SparkSession, partial: bool = False) -> Iterator[Handle]:
+    """``with cancellable(spark) as handle``: a cancelled block raises ``Cancelled``, whatever its jobs raised.
+
+    With ``partial``, a block in which a walk of trees was given the handle and stopped with what it had
+    (``handle.partial`` is true then) ends as usual.
+    """
     context, handle = spark.sparkContext, Handle(spark, f"dupelens-{uuid.uuid4().hex}")
     context.addJobTag(handle.tag)
     try:
         yield handle
-        handle.check()
+        if not (partial and handle.partial):
+            handle.check()
     except Exception as error:
         if handle.cancelled and not isinstance(error, Cancelled):
             raise Cancelled from error

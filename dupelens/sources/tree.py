@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..cancel import Handle
 from ..functions.python_udfs import link_candidates
 from ..joins import numbered
 from ..operators.dedup import Criteria, looked_at, size_candidates
@@ -76,8 +77,8 @@ def _listed(folder: str, root: int, key: str) -> Iterator[dict]:
             yield {"kind": "closed", "key": f"{key}\x01{e.name}\0", **row, **_BLANK}
 
 
-def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen, rows, budget = 0, [], BUDGET
+def _walked(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+    seen, rows = 0, []
     for batch in batches:
         for start in batch.to_pylist():
             stack, first = [(start["path"], start["key"])], True
@@ -101,16 +102,30 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
 
-def walk(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    """All entries below the roots (see ``ENTRY``), each round's written once; missing roots have none."""
+def walk(spark: SparkSession, roots: Sequence[str], handle: Handle | None = None) -> DataFrame:
+    """All entries below the roots (see ``ENTRY``), each round's written once; missing roots have none.
+
+    Where ``handle`` is cancelled, the walk ends with the rounds that are written, and ``handle.partial`` is set. The
+    folders that were still open count as closed, so that none that wasn't looked into is taken for empty.
+    """
     there = [(k, "", os.path.abspath(r)) for k, r in enumerate(r for r in roots if os.path.isdir(r))]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    open_, out = spark.createDataFrame(there, "root int, key string, path string"), None
-    while not open_.isEmpty():
-        found = write_once(open_.repartition(tasks, "path", "root").mapInArrow(_walked, ENTRY), "walk")
-        out = found if out is None else out.unionByName(found)
-        open_ = found.filter("kind = 'open'").select("root", "key", "path")
-    return out if out is not None else spark.createDataFrame([], ENTRY)
+    open_, out, budget = spark.createDataFrame(there, "root int, key string, path string"), None, BUDGET
+    try:
+        while not open_.isEmpty():
+            if handle:
+                handle.check()
+            found = write_once(open_.repartition(tasks, "path", "root").mapInArrow(lambda batches: _walked(batches, budget), ENTRY), "walk")
+            out = found if out is None else out.unionByName(found)
+            open_ = found.filter("kind = 'open'").select("root", "key", "path")
+    except Exception:
+        if not (handle and handle.cancelled):
+            raise
+        handle.partial = True
+        unseen = open_.select(F.lit("closed").alias("kind"), "root", "key", "path")
+        out = unseen if out is None else out.unionByName(unseen, allowMissingColumns=True)
+    none = spark.createDataFrame([], ENTRY)
+    return none if out is None else none.unionByName(out, allowMissingColumns=True)
 
 
 @F.pandas_udf(T.BinaryType())
@@ -127,16 +142,16 @@ def body(path: pd.Series) -> pd.Series:
     return path.map(read)
 
 
-def scan_tree(spark: SparkSession, roots: Sequence[str], content: bool = True) -> DataFrame:
+def scan_tree(spark: SparkSession, roots: Sequence[str], content: bool = True, handle: Handle | None = None) -> DataFrame:
     """The inventory of directory trees, roots in order; bodies are read where ``content`` is used, each time it is."""
-    files = numbered(walk(spark, roots).filter("kind = 'file'"), ["root", "key"], "walk_ord")
+    files = numbered(walk(spark, roots, handle).filter("kind = 'file'"), ["root", "key"], "walk_ord")
     rows = derived(files.select("path", "name", "size", "created", "modified", "dev", "ino", "walk_ord"))
     return rows.withColumn("content", body("path") if content else F.lit(None).cast("binary"))
 
 
-def scan_dirs(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+def scan_dirs(spark: SparkSession, roots: Sequence[str], handle: Handle | None = None) -> DataFrame:
     """All folders and links below the roots: path, closed (pruned, link, or not to be read as a whole) and walk_ord."""
-    rows = walk(spark, roots).filter("kind IN ('dir', 'closed')")
+    rows = walk(spark, roots, handle).filter("kind IN ('dir', 'closed')")
     each = rows.groupBy("path").agg(F.bool_or(F.col("kind") == "closed").alias("closed"), F.min(F.struct("root", "key")).alias("at"))
     return numbered(each, ["at"], "walk_ord").drop("at")
 
@@ -146,12 +161,12 @@ def is_there(path: pd.Series) -> pd.Series:
     return path.map(lambda p: p is not None and os.path.exists(p)).astype(bool)
 
 
-def scan_shortcuts(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+def scan_shortcuts(spark: SparkSession, roots: Sequence[str], handle: Handle | None = None) -> DataFrame:
     """Shortcut files (path, name, size, modified) with ``target``: of what each may mean the first that exists, else the first; null if nothing.
 
     Folders that are never entered, links and junctions are pruned as in any walk. Only shortcut files are opened.
     """
-    files = scan_tree(spark, roots).filter(F.lower("name").endswith(".lnk"))
+    files = scan_tree(spark, roots, handle=handle).filter(F.lower("name").endswith(".lnk"))
     rows = files.select("path", "name", "size", "modified", "walk_ord", link_candidates("content").alias("may"))
     each = rows.select("path", F.posexplode("may").alias("at", "target"))
     found = each.filter(is_there("target")).groupBy("path").agg(F.min(F.struct("at", "target"))["target"].alias("found"))

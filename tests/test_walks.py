@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from dupelens.cancel import Cancelled, cancellable
 from dupelens.operators import dedup as D
 from dupelens.operators import sweep
 from dupelens.sources import tree
@@ -108,3 +109,35 @@ def test_folders_are_climbed_once(spark):
     assert {r.path for r in above.collect()} == {"r", "r/a", "r/a/b", "r/a/b/0", "r/a/b/1", "r/a/b/2"}
     plan = above._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.rindex("Aggregate")  # folders are made distinct before they are climbed
+
+
+def test_a_cancelled_walk_hands_out_what_it_has(spark, root, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "BUDGET", 1)
+    whole = {r.path for r in tree.scan_tree(spark, [root], content=False).collect()}
+    empty = {r.path for r in sweep.empty_dirs(tree.scan_dirs(spark, [root]), tree.scan_tree(spark, [root], content=False), [root]).collect()}
+    rounds, written = [], tree.write_once
+    with cancellable(spark, partial=True) as handle:
+
+        def write(df, name):
+            if name == "walk" and len(rounds) == 2:
+                handle.cancel()
+                raise RuntimeError("a job was cancelled")
+            rounds.append(name)
+            return written(df, name)
+
+        monkeypatch.setattr(tree, "write_once", write)
+        some = {r.path for r in tree.scan_tree(spark, [root], content=False, handle=handle).collect()}
+        assert handle.partial and 0 < len(some) < len(whole) and some < whole
+    with cancellable(spark, partial=True) as handle:
+        rounds.clear()
+        dirs = tree.scan_dirs(spark, [root], handle)
+        part = {r.path for r in sweep.empty_dirs(dirs, spark.createDataFrame([(p,) for p in some], "path string"), [root]).collect()}
+        assert part <= empty  # no folder that wasn't looked into
+    with pytest.raises(Cancelled), cancellable(spark) as handle:
+        rounds.clear()
+        tree.scan_tree(spark, [root], content=False, handle=handle)
+    with pytest.raises(RuntimeError):  # what isn't cancelled fails as ever
+        rounds[:] = ["walk", "walk"]
+        handle = None
+        monkeypatch.setattr(tree, "write_once", lambda *_: (_ for _ in ()).throw(RuntimeError()))
+        tree.scan_tree(spark, [root], content=False)
