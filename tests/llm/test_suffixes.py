@@ -111,3 +111,36 @@ def test_rows_of_one_id(spark, sorted_rows):
 
 def test_no_rows(spark):
     assert sd.dedup_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_texts_of_several_megabytes(spark, sorted_rows):
+    r = random.Random(11)
+    text = "".join(r.choices("abcdefgh ", k=2_300_000))
+    cut = sd.CHUNK
+    text = text[: cut - 60] + text[100:400] + text[cut + 240 : 2 * cut - 250] + text[50:550] + text[2 * cut + 250 :]  # repeats over the ends of parts
+    rows = [(1, text), (2, text[cut - 500 : cut + 500]), (3, "é" + text[: cut + 5]), (4, "z" * 1_200_000)]
+    got = sorted_rows(sd.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=False, digest=True))
+    assert got == model(rows, 100)
+
+
+def test_parts_and_tasks_of_any_size(monkeypatch, passages):
+    """What tasks do, in small portions: parts cover each place once, and equal pieces keep one first in each portion."""
+    import pyarrow as pa
+
+    texts = [t for _, t in passages]
+    batch = pa.record_batch({"text": texts})
+    monkeypatch.setattr(sd, "CHUNK", 1500)
+    monkeypatch.setattr(sd, "HELD", 40)
+    places, found = [], []
+    for buf, off, rows, begin in sd._chunks(batch, 100):
+        row, place, n, h, d = sd.pieces(buf, off, 100, 32)
+        doc = rows[row]
+        found.append({"h": h.view(np.int64), "d": d.view(np.int64), "doc": doc, "alike": doc * 0, "place": place + begin[row], "n": n.astype(np.int32)})
+        places += [(a, b + k) for a, b, m in zip(doc.tolist(), found[-1]["place"].tolist(), n.tolist(), strict=True) for k in range(m)]
+    assert sorted(places) == [(k, p) for k, t in enumerate(texts) for p in range(len((t or "").encode()) - 99)]
+    out = pa.Table.from_batches(list(sd._settled(iter(found)))).to_pylist()
+    assert len(out) == sum(len(f["h"]) for f in found) and any(x["again"] for x in out)
+    of = {(x, p): h for f in found for h, x, p in zip(f["h"].tolist(), f["doc"].tolist(), f["place"].tolist(), strict=True)}
+    assert all(x["h"] == of[x["doc"], x["place"]] for x in out if not x["again"])
+    kinds = lambda rows: {(of[x["doc"], x["place"]], x["d"]) for x in rows}
+    assert kinds(out) == kinds([x for x in out if not x["again"]])
