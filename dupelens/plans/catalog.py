@@ -757,3 +757,49 @@ def action_summary(spark, sf_dir):
 def history_total(spark, sf_dir):
     o = _table(spark, sf_dir, "orders")
     return journal.history_total(o.select(F.col("o_orderkey").alias("wasted")))
+
+
+# ---- small operators over whole tables ----
+
+
+@_query(f"WITH {_INV} SELECT path, CASE WHEN doc_id % 2 = 0 THEN walk_ord ELSE walk_ord + 281474976710656 END AS walk_ord FROM inv")
+def roots_in_order(spark, sf_dir):
+    inv = _inv(spark, sf_dir).drop("content")
+    return I.union(inv.filter("walk_ord % 2 = 0"), inv.filter("walk_ord % 2 = 1")).select("path", "walk_ord")
+
+
+@_query(f"WITH {_INV} SELECT DISTINCT lower(regexp_extract(path, '^(.*)/[^/]*$', 1)) AS prefix FROM inv WHERE doc_id % 3 > 0")
+def priority_folders(spark, sf_dir):
+    folder, i = F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.col("walk_ord")
+    # blanks, doubled and last separators, another case
+    shown = F.when(i % 3 == 0, "  ").when(i % 4 == 0, F.concat(F.upper(folder), F.lit("//"))).when(i % 4 == 1, F.concat(F.lit(" "), F.replace(folder, F.lit("/"), F.lit("\\")))).otherwise(folder)
+    return filters.normalize_folders(_inv(spark, sf_dir).select(shown.alias("prefix")))
+
+
+@_query(f"""WITH {_INV}, p AS (SELECT doc_id, ['C:', 'c:', 'D:', ''][doc_id % 4 + 1] || path AS a, ['C:', 'd:', ''][doc_id % 3 + 1] || path AS b FROM inv)
+SELECT a, b, a[2] = ':' AND b[2] = ':' AND lower(a[1]) = lower(b[1]) AS same FROM p""")
+def volumes(spark, sf_dir):
+    i = F.col("walk_ord")
+    a = F.concat(F.element_at(F.array(*map(F.lit, ("C:", "c:", "D:", ""))), (i % 4 + 1).cast("int")), "path")
+    b = F.concat(F.element_at(F.array(*map(F.lit, ("C:", "d:", ""))), (i % 3 + 1).cast("int")), "path")
+    return _inv(spark, sf_dir).select(a.alias("a"), b.alias("b")).withColumn("same", X.same_volume(F.col("a"), F.col("b")))
+
+
+@_query(f"WITH {_INV} SELECT path, (modified * 10000000 + doc_id % 7)::DOUBLE / 10000000 AS seconds FROM inv")
+def filetimes(spark, sf_dir):
+    ticks = F.lit(116444736000000000) + (F.col("modified") * 10_000_000).cast("long") + F.col("walk_ord") % 7
+    return _inv(spark, sf_dir).select("path", X.filetime_epoch(ticks).alias("seconds"))
+
+
+@_query(_BASE + _NOW_INV + f""" SELECT f.path AS src, m.path AS dst FROM members m JOIN members f ON f.group_key = m.group_key AND f.member_ord = 0 JOIN now n ON n.path = m.path JOIN now o ON o.path = f.path
+WHERE m.member_ord > 0 AND {_REASON} IS NULL AND o.dev = n.dev AND NOT (o.ino <> 0 AND o.ino = n.ino) AND o.size = n.size AND o.hash = n.hash""")
+def link_pairs(spark, sf_dir):
+    m = _turbo(spark, sf_dir)
+    plan = write_once(actions.hardlink_plan(m, select.select_members(m, "first"), _later(spark, sf_dir)), "plan")
+    return journal.link_pairs(plan, plan.filter("reason IS NULL").select(F.col("duplicate").alias("path")))
+
+
+@_query(f"""WITH {_INV} SELECT date, size % 3 AS duplicates, size AS wasted FROM (SELECT *, printf('%012d', doc_id) AS date FROM inv) WHERE size % 3 > 0 ORDER BY date DESC LIMIT 30""")
+def history_kept(spark, sf_dir):
+    rows = _inv(spark, sf_dir).select(F.format_string("%012d", "walk_ord").alias("date"), F.array("path").alias("folders"), (F.col("size") % 3).alias("duplicates"), F.col("size").alias("wasted"))
+    return journal.history_append(rows.filter("duplicates > 0 AND wasted % 2 = 0"), rows.filter("duplicates = 0 OR wasted % 2 = 1")).select("date", "duplicates", "wasted")
