@@ -5,8 +5,8 @@
 2. A bundle keeps, for each of its frequent phrases, the sorted list of positions where it begins: the lengths of these
    lists, added up over the bundles, are exact frequencies. Only (bundle, phrase, length) rows are shuffled by phrase,
    a row a bundle at most, and those of frequent phrases go back to their bundle.
-   Pairs, of which there are most, are first counted by hash in a fixed number of counters; only those whose counter
-   reaches the minimum are counted by themselves.
+   Candidates are first counted by hash in a fixed number of counters; only those whose counter reaches the minimum are
+   counted by themselves.
 3. Level by level, the lists of frequent phrases of k words are merged with the postings of the words k places on;
    a phrase is a candidate only where its last k words are frequent, too. Phrases are named by (phrase, word) pairs
    of exact numbers, so nothing rests on a hash.
@@ -36,7 +36,7 @@ MAX_WORDS = 5
 TOP = 2000
 #: A task makes fewer than 2^12 bundles, and a bundle has fewer than 2^31 phrases.
 OF_TASK, OF_BUNDLE = 12, 31
-#: Counters of pairs, by hash, and the rows in which a task sends them.
+#: Counters of candidates, by hash, and the rows in which a task sends them.
 FILTER, SEGMENTS = 1 << 22, 64
 #: Frequent phrases are broadcast up to this number, else salted.
 BROADCAST_PHRASES = 100_000
@@ -182,11 +182,11 @@ def _place(phrase: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
     return (fmix(phrase.view(np.uint64) * FMIX_STEP + word.view(np.uint64)) % np.uint64(size)).astype(np.int64)
 
 
-def crowded(lists: DataFrame, min_count: int, size: int) -> np.ndarray:
-    """Whether each of ``size`` counters, among which all pairs of neighbouring frequent words are dealt by hash, has counted ``min_count``.
+def crowded(lists: DataFrame, k: int, min_count: int, size: int) -> np.ndarray:
+    """Whether each of ``size`` counters, among which all candidates of k + 1 words are dealt by hash, has counted ``min_count``.
 
-    A pair in another can't be frequent. A task sends its counters once, cut to ``min_count``; what comes to the driver are
-    ``size`` bits, whatever the input. Where pairs are so many that all counters are full, it holds back nothing.
+    A phrase in another can't be frequent. A task sends its counters once, cut to ``min_count``; what comes to the driver are
+    ``size`` bits, whatever the input. Where phrases are so many that all counters are full, it holds back nothing.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,12 +194,12 @@ def crowded(lists: DataFrame, min_count: int, size: int) -> np.ndarray:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for row in batch.to_pylist():
-                _, _, phrase, word, n = _extended(row, 1)
+                _, _, phrase, word, n = _extended(row, k)
                 np.add.at(total, _place(phrase, word, size), n)
         if total.any():
             cut = np.minimum(total, min_count).reshape(SEGMENTS, -1)
-            for k in range(SEGMENTS):
-                yield pa.record_batch({"segment": [k], "counts": pa.array([_packed(cut[k])], pa.binary())})
+            for s in range(SEGMENTS):
+                yield pa.record_batch({"segment": [s], "counts": pa.array([_packed(cut[s])], pa.binary())})
         release()
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,16 +216,16 @@ def crowded(lists: DataFrame, min_count: int, size: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _candidates(lists: DataFrame, k: int, among: np.ndarray | None = None) -> DataFrame:
-    """bundle, idx, phrase, word and n of the candidates of k + 1 words in each bundle; ``among``: the counters of those that may be frequent."""
-    bits = None if among is None else np.packbits(among)
+def _candidates(lists: DataFrame, k: int, among: np.ndarray) -> DataFrame:
+    """bundle, idx, phrase, word and n of the candidates of k + 1 words in each bundle that may be frequent: their counters are ``among`` them."""
+    bits = np.packbits(among)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Held.begin("phrases")
         for batch in batches:
             for row in batch.to_pylist():
                 _, _, phrase, word, n = _extended(row, k)
-                idx = np.arange(len(n)) if bits is None else np.flatnonzero(np.unpackbits(bits)[_place(phrase, word, 8 * len(bits))])
+                idx = np.flatnonzero(np.unpackbits(bits)[_place(phrase, word, 8 * len(bits))])
                 for i in range(0, len(idx), 20_000):
                     at = idx[i : i + 20_000]
                     yield pa.record_batch({"bundle": np.full(len(at), row["bundle"]), "idx": at, "phrase": phrase[at], "word": word[at], "n": n[at]})
@@ -283,8 +283,7 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WO
     one, levels, lists = known.select("id", F.col("phrase").alias("last")), [known.withColumn("k", F.lit(1))], made
     for k in range(1, max_words):
         lists = materialize(_kept(lists, frequent, k), "lists")
-        among = crowded(lists, min_count, FILTER) if k == 1 else None  # pairs are by far the most
-        frequent = _frequent(_candidates(lists, k, among), ["phrase", "word"], min_count)
+        frequent = _frequent(_candidates(lists, k, crowded(lists, k, min_count, FILTER)), ["phrase", "word"], min_count)
         if frequent.isEmpty():
             break
         new = frequent.filter("first").select("id", F.col("phrase").alias("first"), "word", F.col("total").alias("f"))
