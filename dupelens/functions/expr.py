@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -170,17 +173,31 @@ def which(a: Column, b: Column) -> Column:
     return F.when(a > b, F.lit("a")).when(b > a, F.lit("b")).otherwise(F.lit("same"))
 
 
-def under(path: Column, prefixes: list[str]) -> Column:
-    """Whether a path is one of the prefixes or lies below one, by whole parts; both as ``path_key`` gives them."""
-    key = path_key(path)
-    tests = [(key == p) | key.startswith("/" if p == "/" else p + "/") for p in map(_key, prefixes) if p]
-    return reduce(lambda x, y: x | y, tests, F.lit(False))
+def ancestors(path: Column) -> Column:
+    """The path itself and all folders above it as ``path_key`` gives them, the root first; null for a null path."""
+    parts = F.split(path_key(path), "/")
+    upto = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.transform(upto, lambda a: F.when(a == "", F.lit("/")).otherwise(a))
 
 
-def _key(path: str) -> str:
-    import posixpath
+def one_of(value: Column, texts: Iterable[str]) -> Column:
+    """Whether ``value`` is one of ``texts``: one expression, however many they are, which looks them up by hash."""
+    return value.isin(sorted(set(texts)))
 
-    p = path.strip().replace("\\", "/").lower()
+
+def under(path: Column, prefixes: Sequence[str]) -> Column:
+    """Whether a path is one of the prefixes or lies below one, by whole parts; both as ``path_key`` gives them.
+
+    The path's own ancestors are looked up among the prefixes, so the plan is one expression for any number of
+    them; ``operators.filters.longest_prefix`` takes prefixes from a table. Blank prefixes are ignored.
+    """
+    keys = {folder_key(p) for p in prefixes} - {""}
+    return F.exists(ancestors(path), lambda a: one_of(a, keys)) if keys else F.lit(False)
+
+
+def folder_key(path: str) -> str:
+    """``path_key`` of one path of the driver's; empty for a blank one."""
+    p = re.sub(r"[\\/]+", "/", path.strip()).lower()
     return posixpath.normpath(p) if p else ""
 
 

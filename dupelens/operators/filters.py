@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import posixpath
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import components, ext, parent, path_key
+from ..functions.expr import ancestors, components, ext, one_of, parent, path_key, under
+from ..joins import spread_join, unused
 
 # Folders that no scan enters, system folders, junk.
 NEVER_ENTERED = ("$recycle.bin", "system volume information")
@@ -65,36 +66,85 @@ def glob_regex(pattern: str) -> str:
         else:
             out.append(re.sub(r"([^\w\s])", r"\\\1", c))
         i += 1
-    return f"(?s)^{''.join(out)}$"
+    return f"(?s)^{''.join(out)}(?!.)"
 
 
 def excluded(path: Column, patterns: Sequence[str]) -> Column:
     """Whether any pattern matches: one with a separator or a last ``:`` as a path prefix, else any whole component.
 
-    Case doesn't count; blank patterns are ignored; components of the scan's root count too.
+    Case doesn't count; blank patterns are ignored; components of the scan's root count too. The plan has at most five
+    tests, however many patterns there are: prefixes, whole names, ``name*`` and ``*name`` are looked up by hash, by
+    the path's ancestors, its components and their first or last characters; all other shell patterns are
+    alternatives of one regular expression.
     """
-    key, parts, tests = path_key(path), components(path), []
+    kinds: dict[str, set[str]] = {"under": set(), "whole": set(), "head": set(), "tail": set(), "glob": set()}
     for p in (p.strip().lower() for p in patterns):
-        if not p:
-            continue
-        if "/" in p or "\\" in p or p.endswith(":"):
-            p = posixpath.normpath(p.replace("\\", "/"))
-            tests.append((key == p) | key.startswith(p.rstrip("/") + "/"))
-        elif re.search(r"[*?\[]", p):
-            tests.append(F.exists(parts, _matches(glob_regex(p))))
-        else:
-            tests.append(F.array_contains(parts, p))
+        if p:
+            kinds[_kind(p)].add(p)
+    parts, tests = components(path), []
+    if kinds["under"]:
+        tests.append(under(path, sorted(kinds["under"])))
+    if kinds["whole"]:
+        tests.append(F.exists(parts, lambda c: one_of(c, kinds["whole"])))
+    if kinds["head"]:
+        tests.append(_cut(parts, F.left, {p[:-1] for p in kinds["head"]}))
+    if kinds["tail"]:
+        tests.append(_cut(parts, F.right, {p[1:] for p in kinds["tail"]}))
+    if kinds["glob"]:
+        any_of = "|".join(f"(?:{glob_regex(p)})" for p in sorted(kinds["glob"]))
+        tests.append(F.exists(parts, lambda c: c.rlike(any_of)))
     return _any(tests)
 
 
-def _matches(regex: str):
-    return lambda c: c.rlike(regex)
+def _kind(pattern: str) -> str:
+    if "/" in pattern or "\\" in pattern or pattern.endswith(":"):
+        return "under"
+    if not re.search(r"[*?\[]", pattern):
+        return "whole"
+    if pattern.count("*") == 1 and not re.search(r"[?\[]", pattern) and (pattern[0] == "*" or pattern[-1] == "*"):
+        return "tail" if pattern[0] == "*" else "head"
+    return "glob"
+
+
+def _cut(parts: Column, cut: Callable[[Column, Column], Column], texts: set[str]) -> Column:
+    """Whether the first (last) characters of any part are one of ``texts``, of which only the lengths are tried."""
+    lengths = F.array(*[F.lit(n) for n in sorted({len(t) for t in texts})])
+    return F.exists(parts, lambda c: F.exists(lengths, lambda n: one_of(cut(c, n), texts)))
 
 
 def exclude(inv: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return inv.filter(~excluded(F.col("path"), patterns))
 
 
+#: Folders of a table that are sent to all tasks.
+FOLDERS_SENT = 100_000
+
+
+def longest_prefix(inv: DataFrame, folders: DataFrame, name: str = "prefix", column: str = "prefix") -> DataFrame:
+    """``inv`` with ``name``: the longest of ``folders`` that the row's path is or lies below, by whole parts; else null.
+
+    For tables of prefixes of any size: the plan doesn't depend on it. Only the distinct folders of the inventory climb;
+    their ancestors meet the prefixes by a hash join, and rows meet what their folder found, a hot folder's spread over
+    many tasks. Both as ``path_key`` gives them; blank and null prefixes are ignored, repeated ones count once, a null
+    path has none. A column of that name in ``inv`` is replaced.
+    """
+    inv = inv.drop(name)
+    own, folder, up, found, at = (unused(c, [*inv.columns, name]) for c in ("own", "folder", "up", "found", "at"))
+    known = normalize_folders(folders, column).select(F.col("prefix").alias(up))
+    rows = inv.withColumn(own, path_key(F.col("path"))).withColumn(folder, F.coalesce(F.get(ancestors(F.col("path")), F.size(ancestors(F.col("path"))) - 2), F.lit("")))
+    climbed = rows.select(folder).distinct().filter(F.col(folder) != "").withColumn(up, F.explode(ancestors(F.col(folder))))
+    above = spread_join(climbed, known, [up], FOLDERS_SENT, by=folder).groupBy(folder).agg(F.max_by(up, F.length(up)).alias(found))
+    rows = spread_join(rows, above, [folder], FOLDERS_SENT, how="left", by=own)
+    rows = spread_join(rows, known.select(F.col(up).alias(own), F.col(up).alias(at)), [own], FOLDERS_SENT, how="left", by=folder)
+    return rows.select(*[F.col(f"`{c}`") for c in inv.columns], F.coalesce(at, found).alias(name))
+
+
+def exclude_under(inv: DataFrame, folders: DataFrame, column: str = "prefix") -> DataFrame:
+    """Rows that lie neither at nor below any folder of a table of any size; rows of a null path stay."""
+    name = unused("prefix", inv.columns)
+    return longest_prefix(inv, folders, name, column).filter(F.col(name).isNull()).drop(name)
+
+
 def split_patterns(field: str) -> list[str]:
     """Patterns of a comma-separated field."""
     return [p.strip() for p in field.split(",") if p.strip()]
@@ -152,4 +202,4 @@ def junk_preselected(junk: DataFrame) -> DataFrame:
 
 def normalize_folders(folders: DataFrame, column: str = "prefix") -> DataFrame:
     """Distinct folders in comparison form, blanks left out, sorted."""
-    return folders.select(path_key(F.trim(F.col(column))).alias("prefix")).filter(F.col("prefix") != "").distinct().orderBy("prefix")
+    return folders.select(path_key(F.trim(F.col(column), F.lit(" \t\n\v\f\r"))).alias("prefix")).filter(F.col("prefix") != "").distinct().orderBy("prefix")

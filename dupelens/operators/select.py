@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import under
 from ..joins import numbered_within
+from .filters import longest_prefix
 
 YEAR = 365 * 86400
 PAGE = 50
@@ -33,7 +34,7 @@ def _least(*order: Column) -> Column:
     return F.min(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(order)], F.col("member_ord").alias("at")))["at"]
 
 
-def _scoped(scope: DataFrame, rule: str, priorities: Sequence[str]) -> DataFrame:
+def _scoped(scope: DataFrame, rule: str, priorities: Sequence[str] | DataFrame) -> DataFrame:
     """Members of groups of several that the rule removes."""
     kept = {"newest": [-F.col("modified")], "oldest": [F.col("modified")], "shortest": [F.length("path")], "last": [-F.col("member_ord")]}
     if rule == "largest_res":
@@ -43,18 +44,22 @@ def _scoped(scope: DataFrame, rule: str, priorities: Sequence[str]) -> DataFrame
     if rule == "first":
         return _with(scope).filter("member_ord > 0")
     if rule == "priority":
-        own = under(F.col("path"), list(priorities))
+        if isinstance(priorities, DataFrame):
+            scope = longest_prefix(scope, priorities, "_priority")
+            own = F.col("_priority").isNotNull()
+        else:
+            own = under(F.col("path"), priorities)
         return _with(scope, F.bool_or(own).alias("_any")).filter(F.when(F.col("_any"), ~own).otherwise(F.col("member_ord") > 0))
     if rule in ("all", "none"):
         return _with(scope).filter(F.lit(rule == "all"))
     raise ValueError(f"no such rule: {rule}")
 
 
-def select_members(members: DataFrame, rule: str, priorities: Sequence[str] = (), view: DataFrame | None = None, selection: DataFrame | None = None) -> DataFrame:
+def select_members(members: DataFrame, rule: str, priorities: Sequence[str] | DataFrame = (), view: DataFrame | None = None, selection: DataFrame | None = None) -> DataFrame:
     """Paths to remove by ``rule``; ``view``: the members of the groups in view, all by default.
 
     ``invert`` takes the paths in view less ``selection``; every other rule starts from none. ``largest_res``
-    needs a column ``pixels``.
+    needs a column ``pixels``. ``priorities``: folders, or a table of any number of them in a column ``prefix``.
     """
     scope = members if view is None else view
     if rule == "invert":

@@ -122,6 +122,33 @@ def exclude_patterns(spark, sf_dir):
     return filters.exclude(_inv(spark, sf_dir), PATTERNS).select("path", "size")
 
 
+_LARGE = """, spot AS (SELECT path, size, regexp_extract(path, '^/[^/]*') AS f1, regexp_extract(path, '^/[^/]*/[^/]*') AS f2, regexp_extract(path, '^/[^/]*/[^/]*/[^/]*') AS f3 FROM inv),
+folders AS (SELECT 1 AS depth, f1 AS prefix, sum(size) AS bytes FROM spot GROUP BY f1 UNION ALL SELECT 2, f2, sum(size) FROM spot GROUP BY f2 UNION ALL SELECT 3, f3, sum(size) FROM spot GROUP BY f3),
+large AS (SELECT lower(prefix) AS prefix FROM folders JOIN (SELECT depth, sum(bytes) AS total, count(*) AS n FROM folders WHERE prefix IS NOT NULL GROUP BY depth) USING (depth) WHERE bytes * n > total),
+placed AS (SELECT path, size, coalesce(c.prefix, b.prefix, a.prefix) AS prefix FROM spot
+  LEFT JOIN large a ON a.prefix = lower(f1) LEFT JOIN large b ON b.prefix = lower(f2) LEFT JOIN large c ON c.prefix = lower(f3))"""
+
+
+def _large_folders(inv: DataFrame) -> DataFrame:
+    """A table of folders that grows with the inventory: those of more bytes than the mean of their depth."""
+    above = X.ancestors(F.col("path"))
+    folders = inv.select("size", F.posexplode(F.slice(above, F.lit(1), F.size(above) - 1)).alias("depth", "prefix")).filter("depth > 0").groupBy("depth", "prefix").agg(F.sum("size").alias("bytes"))
+    depths = folders.groupBy("depth").agg(F.sum("bytes").alias("total"), F.count(F.lit(1)).alias("n"))  # a row a depth
+    return folders.join(F.broadcast(depths), "depth").filter("bytes * n > total").select("prefix")
+
+
+@_query(f"WITH {_INV}{_LARGE} SELECT path, prefix FROM placed")
+def longest_prefix(spark, sf_dir):
+    inv = _inv(spark, sf_dir).select("path", "size")
+    return filters.longest_prefix(inv, _large_folders(inv)).select("path", "prefix")
+
+
+@_query(f"WITH {_INV}{_LARGE} SELECT path, size FROM placed WHERE prefix IS NULL")
+def exclude_folder_table(spark, sf_dir):
+    inv = _inv(spark, sf_dir).select("path", "size")
+    return filters.exclude_under(inv, _large_folders(inv)).select("path", "size")
+
+
 @_query(f"WITH {_INV} SELECT path, size FROM inv WHERE size BETWEEN 1024 AND 8192")
 def size_range_filter(spark, sf_dir):
     return filters.size_range(_inv(spark, sf_dir), *filters.kb_range(1, 8)).select("path", "size")

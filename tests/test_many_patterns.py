@@ -1,0 +1,104 @@
+"""Exclusion and priority by thousands of patterns and folders: brute force, plan size, odd rows."""
+
+from __future__ import annotations
+
+import fnmatch
+import posixpath
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from dupelens.functions import expr as X
+from dupelens.operators import filters as P
+from dupelens.operators.select import select_members
+
+
+def plan_lines(df):
+    return df._jdf.queryExecution().optimizedPlan().treeString().count("exists(") + df._jdf.queryExecution().optimizedPlan().treeString().count("\n")
+
+
+def brute(path, patterns):
+    key = posixpath.normpath(re.sub(r"[\\/]+", "/", path)).lower()
+    parts = [c for c in re.split(r"[\\/]", path.lower()) if c]
+    for p in (p.strip().lower() for p in patterns):
+        if not p:
+            continue
+        if "/" in p or "\\" in p or p.endswith(":"):
+            p = posixpath.normpath(re.sub(r"[\\/]+", "/", p))
+            if key == p or key.startswith(p.rstrip("/") + "/"):
+                return True
+        elif any(fnmatch.fnmatchcase(c, p) for c in parts):
+            return True
+    return False
+
+
+def some_paths(rng, n):
+    names = ["a", "b", "ab", "Abc", "x.tmp", "x.TMP.bak", "~$doc", "tmp", "a[1]", "b1.txt", "node_modules", "ü", "a b", "line\n"]
+    return sorted({rng.choice(["/", "C:/", "", "d:\\", "//"]) + rng.choice("/\\").join(rng.choices(names, k=rng.randint(1, 5))) for _ in range(n)})
+
+
+def test_patterns_as_brute_force(spark):
+    rng = random.Random(3)
+    paths = some_paths(rng, 400)
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").cache()
+    pool = ["*.tmp", "*", "~$*", "a*", "*b", "a?", "[ab]", "[!ab]*", "*x*", "a[[]1]", "tmp", "AB", "/a", "/a/b/", "c:", "C:\\ab", "d:/b", "/", "//a", "a/b", "ü", "line", "*e", " ", "b1.*", "a**", "/a//ab"]
+    for pattern in pool:
+        got = {r.path for r in P.exclude(rows, [pattern]).collect()}
+        assert got == {p for p in paths if not brute(p, [pattern])}, pattern
+    for _ in range(5):
+        patterns = rng.sample(pool, 6)
+        assert {r.path for r in P.exclude(rows, patterns).collect()} == {p for p in paths if not brute(p, patterns)}, patterns
+
+
+def test_no_patterns_and_null_paths(spark):
+    rows = spark.createDataFrame([("/a/b",), (None,)], "path string")
+    assert P.exclude(rows, []).count() == 2
+    assert [r.path for r in P.exclude(rows, ["/c"]).collect()] == ["/a/b"]
+    assert rows.select(X.under(F.col("path"), [" "]).alias("u")).filter("u").count() == 0
+
+
+def test_plan_of_ten_thousand_prefixes(spark):
+    rows = spark.range(1000).select(F.concat(F.lit("/Top/f"), F.col("id"), F.lit("/x.bin")).alias("path"))
+    few = P.exclude(rows, [f"/top/f{k}" for k in range(0, 40, 2)] + ["*.t1", "*.t2", "u1*", "u22*"])
+    many = P.exclude(rows, [f"/top/f{k}" for k in range(0, 20_000, 2)] + [f"*.t{k}" for k in range(500)] + [f"u{k}*" for k in range(500)])
+    assert plan_lines(few) == plan_lines(many)
+    assert many.count() == 500
+
+
+def longest(path, prefixes):
+    key = None if path is None else posixpath.normpath(re.sub(r"[\\/]+", "/", path)).lower()
+    keys = {posixpath.normpath(re.sub(r"[\\/]+", "/", p.strip())).lower() for p in prefixes if p and p.strip()}
+    hits = [p for p in keys if key is not None and (key == p or key.startswith(p.rstrip("/") + "/"))]
+    return max(hits, key=len, default=None)
+
+
+@pytest.mark.parametrize("bound", [100_000, 3])
+def test_longest_prefix(spark, monkeypatch, bound):
+    monkeypatch.setattr(P, "FOLDERS_SENT", bound)
+    rng = random.Random(bound)
+    paths = [*some_paths(rng, 200), None, None, "/", "/a", "/a"]
+    prefixes = [*some_paths(rng, 60), "/", "c:/", "/A", "/a/", " ", None, "d:"]
+    rows = spark.createDataFrame(list(enumerate(paths)), "walk_ord long, path string").withColumns({c: F.lit(c) for c in ("own", "folder", "found", "salt", "up", "prefix", "at.b")})
+    got = P.longest_prefix(rows, spark.createDataFrame([(p,) for p in prefixes], "prefix string"), "Prefix")
+    assert set(got.columns) == {*rows.columns, "Prefix"} - {"prefix"}
+    assert {r.walk_ord: r.Prefix for r in got.collect()} == {i: longest(p, prefixes) for i, p in enumerate(paths)}
+    assert got.filter("own = 'own' AND up = 'up' AND salt = 'salt' AND `at.b` = 'at.b'").count() == len(paths)
+    left = P.exclude_under(rows, spark.createDataFrame([("/",), ("c:",)], "prefix string"))
+    assert {r.walk_ord for r in left.collect()} == {i for i, p in enumerate(paths) if longest(p, ["/", "c:"]) is None}
+    assert left.columns == rows.columns
+
+
+def test_tables_without_rows(spark):
+    rows, none = spark.createDataFrame([("/a/b",)], "path string"), spark.createDataFrame([], "prefix string")
+    assert P.exclude_under(rows, none).count() == 1
+    assert P.longest_prefix(rows.limit(0), spark.createDataFrame([("/a",)], "prefix string")).count() == 0
+
+
+def test_priority_by_a_table(spark):
+    rows = [("g", k, f"/{f}/n{k}", k) for k, f in enumerate("abcb")] + [("h", k, f"/z/n{k}", k) for k in range(3)]
+    members = spark.createDataFrame(rows, "group_key string, member_ord long, path string, size long")
+    table = spark.createDataFrame([("/B/",), ("/b",)], "prefix string")
+    want = {r.path for r in select_members(members, "priority", ["/b"]).collect()}
+    assert {r.path for r in select_members(members, "priority", table).collect()} == want == {"/a/n0", "/c/n2", "/z/n1", "/z/n2"}
