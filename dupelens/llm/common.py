@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
 import hashlib
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
+
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 S33 = np.uint64(33)
 FMIX_STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -23,31 +21,9 @@ FMIX_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 #: Bytes of a row group of tables between stages.
 ROW_GROUP = 32 << 20
-_own: list[str] = []
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local temporary one only where that is unset and the master is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _own[:] = _own or [tempfile.mkdtemp(prefix="dupelens-")]
-        base = _own[0]
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base
-    path = f"{base.rstrip('/')}/dupelens-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended; the folder's owner cleans up
-        pass
+    """A new folder below ``spark.checkpoint.dir``, with its scheme; see ``session.shared_folder``."""
+    return shared_folder(spark)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
