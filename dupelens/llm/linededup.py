@@ -9,8 +9,10 @@ code points in at least ``min_docs`` documents lose all their lines but those in
 2. The keys that repeat go into shards by their leading bits. Each shard is a file in the shared folder: a
    layered bit-array minimal perfect hash, and at its ranks arrays of fingerprints (the other 64 bits), counts
    and keepers. A key that is not in the index hits a foreign fingerprint once in 2^64, as digests are as good as random.
-3. Documents probe the arrays; nothing is joined by line. A worker holds shards up to ``CACHE_BYTES`` and reads
-   others as a slice of texts needs them, so memory stays bounded however many lines repeat.
+3. Documents probe the arrays; nothing is joined by line. The texts of a split wait, compressed, with the digests of
+   their long lines, up to ``WAIT_BYTES`` (some 100 MB of text); the digests are then sorted by shard, so that each
+   shard is read at most once for so much text. A worker holds shards up to ``CACHE_BYTES`` between tasks, so memory
+   stays bounded however many lines repeat.
 
 Defined results: a null or empty text is one empty line; a document whose lines all go keeps an empty text;
 a null doc_id counts as one document, smaller than all; repeated rows of one doc_id count as one document and
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import io
 from collections import OrderedDict
+from collections.abc import Iterable, Iterator
 from itertools import starmap
 
 import numpy as np
@@ -33,17 +36,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE, Held, filesystem, fmix, mapped, materialize, shared_dir, small_batches, text_bytes
+from .common import LOWER, SPACE, Held, filesystem, fmix, mapped, materialize, release, shared_dir, slices, small_batches, text_bytes
 
 #: Keys a shard, about; 20 MB of arrays.
 SHARD_KEYS = 1_000_000
 CACHE_BYTES = 128 << 20
+#: Compressed texts and digests that wait to be probed.
+WAIT_BYTES = 64 << 20
 LAYERS, GAMMA = 24, 2.0
 
 
-def line_keys(buf: np.ndarray, off: np.ndarray, min_chars: int):
-    """(start, end, first line of each row and the end, the lines whose key is long enough, halves of their keys' digests)."""
-    n = len(buf)
+def line_bounds(buf: np.ndarray, off: np.ndarray):
+    """(start, end of each line, first line of each row and the end)."""
     ends = np.concatenate([np.flatnonzero(buf == 10), off[1:]])
     ends.sort(kind="stable")
     ends_at = _row_ends(buf, off, ends)
@@ -51,16 +55,28 @@ def line_keys(buf: np.ndarray, off: np.ndarray, min_chars: int):
     start[0:1] = 0
     start[1:] = np.where(ends_at[:-1], ends[:-1], ends[:-1] + 1)
     rows = np.concatenate([[0], np.flatnonzero(ends_at) + 1])
+    return start, ends, rows
+
+
+def long_keys(buf: np.ndarray, start: np.ndarray, ends: np.ndarray, min_chars: int):
+    """(the lines whose key is long enough, start, end of their keys)."""
     solid = np.concatenate([[0], np.cumsum(~SPACE[buf])]).astype(np.int64)
-    where = np.flatnonzero(~SPACE[buf]) if n else np.zeros(0, np.int64)
+    where = np.flatnonzero(~SPACE[buf])
     some = solid[ends] > solid[start]
     a, b = start.copy(), start.copy()
     a[some] = where[solid[start[some]]]
     b[some] = where[solid[ends[some]] - 1] + 1
     chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)]).astype(np.int64)
     long = np.flatnonzero(chars[b] - chars[a] >= min_chars)
+    return long, a[long], b[long]
+
+
+def line_keys(buf: np.ndarray, off: np.ndarray, min_chars: int):
+    """(start, end, first line of each row and the end, the lines whose key is long enough, halves of their keys' digests)."""
+    start, ends, rows = line_bounds(buf, off)
+    long, a, b = long_keys(buf, start, ends, min_chars)
     low = LOWER[buf].tobytes()
-    digests = b"".join(starmap(lambda i, j: hashlib.blake2b(low[i:j], digest_size=16).digest(), zip(a[long].tolist(), b[long].tolist(), strict=True)))
+    digests = b"".join(starmap(lambda i, j: hashlib.blake2b(low[i:j], digest_size=16).digest(), zip(a.tolist(), b.tolist(), strict=True)))
     halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
     return start, ends, rows, long, halves[:, 0].copy(), halves[:, 1].copy()
 
@@ -226,6 +242,56 @@ def build_index(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[str, in
     return (folder, bits) if n else ("", bits)
 
 
+class Waiting:
+    """Slices of a split, compressed, with the digests of their long lines, that are to be probed together."""
+
+    def __init__(self) -> None:
+        self.slices: list[pa.Buffer] = []
+        self.h1: list[np.ndarray] = []
+        self.h2: list[np.ndarray] = []
+        self.bytes = 0
+
+    def add(self, part: pa.RecordBatch, min_chars: int) -> None:
+        *_, h1, h2 = line_keys(*text_bytes(part.column(part.schema.get_field_index("text"))), min_chars)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as out:
+            out.write_batch(part)
+        self.slices.append(sink.getvalue())
+        self.h1.append(h1)
+        self.h2.append(h2)
+        self.bytes += self.slices[-1].size + h1.nbytes + h2.nbytes
+
+    def probed(self, shards: Shards | None, bits: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Each slice with (whether its long lines are in the index, their keepers); a shard is asked for once."""
+        cuts = np.cumsum([len(h) for h in self.h1])[:-1]
+        h1, h2 = np.concatenate(self.h1), np.concatenate(self.h2)
+        self.h1, self.h2 = [], []
+        hit, keeper = np.zeros(len(h1), bool), np.zeros(len(h1), np.int64)
+        if shards is not None and len(h1):
+            shard = (h1 >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h1), np.int64)
+            order = np.argsort(shard, kind="stable")
+            for piece in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                found = shards.get(int(shard[piece[0]]))
+                if found is not None:
+                    hit[piece], keeper[piece] = found.probe(h1[piece], h2[piece])
+        for k, (h, kept) in enumerate(zip(np.split(hit, cuts), np.split(keeper, cuts), strict=True)):
+            with pa.ipc.open_stream(self.slices[k]) as source:
+                yield source.read_next_batch(), h, kept
+            self.slices[k] = None
+
+
+def probed_slices(parts: Iterable[pa.RecordBatch], shards: Shards | None, bits: int, min_chars: int, limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """``parts`` with what ``Waiting.probed`` says of them; as many wait together as ``limit`` bytes hold."""
+    waiting = Waiting()
+    for part in parts:
+        waiting.add(part, min_chars)
+        if waiting.bytes >= limit or shards is None:
+            yield from waiting.probed(shards, bits)
+            waiting = Waiting()
+    if waiting.slices:
+        yield from waiting.probed(shards, bits)
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep_text: bool = True, digest: bool = False) -> DataFrame:
     """``docs`` with texts without repeated lines, n_lines and n_dropped; ``digest`` adds kept_sha256."""
     own = ["n_lines", "n_dropped", "kept_sha256"]
@@ -233,25 +299,24 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep_te
     cols = [f for f in docs.schema.fields if keep_text or f.name == "doc_id"]
     small_batches(docs.sparkSession)
     folder, bits = build_index(docs, min_chars, min_docs)
-    limit = CACHE_BYTES
+    limit, wait = CACHE_BYTES, WAIT_BYTES
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Held.begin("lines")
+        shards = Held.get("lines", folder, lambda: Shards(folder, limit), only=True) if folder else None
+        for part, hit, keeper in probed_slices((s for b in batches for s in slices(b, "text")), shards, bits, min_chars, wait):
+            yield rebuilt(part, hit, keeper)
+        release()
+
+    def rebuilt(batch: pa.RecordBatch, hit: np.ndarray, keeper: np.ndarray) -> pa.RecordBatch:
         buf, off = text_bytes(batch.column(batch.schema.get_field_index("text")))
-        start, end, rows, at, h1, h2 = line_keys(buf, off, min_chars)
+        start, end, rows = line_bounds(buf, off)
+        at, _, _ = long_keys(buf, start, end, min_chars)
         row = np.repeat(np.arange(len(off) - 1), np.diff(rows))
+        ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
+        null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
         drop = np.zeros(len(start), bool)
-        if folder:
-            shards = Held.get("lines", folder, lambda: Shards(folder, limit), only=True)
-            shard = (h1 >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(at), np.int64)
-            order = np.argsort(shard, kind="stable")
-            ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
-            null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
-            for piece in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(at) else []:
-                found = shards.get(int(shard[piece[0]]))
-                if found is not None:
-                    hit, keeper = found.probe(h1[piece], h2[piece])
-                    of = row[at[piece]]
-                    drop[at[piece]] = hit & (null[of] | (keeper != ids[of]))
+        drop[at] = hit & (null[row[at]] | (keeper != ids[row[at]]))
         texts, data = [], buf.tobytes()
         lost = np.add.reduceat(drop, rows[:-1]) if len(row) else np.zeros(0, np.int64)
         for r in range(len(off) - 1):
@@ -272,5 +337,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep_te
 
     schema = T.StructType([*cols, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), *([T.StructField("kept_sha256", T.StringType())] if digest else [])])
     need = docs if keep_text else docs.select("doc_id", "text")
-    return need.mapInArrow(mapped(run, "lines"), schema)
+    return need.mapInArrow(run, schema)
 

@@ -155,6 +155,7 @@ def test_many_shards_and_a_small_cache(docs, sorted_rows, monkeypatch):
     rows = [(i, "\n".join(f"repeated line number {k:05d}" for k in range(i % 7, 60))) for i in range(30)]
     assert sorted_rows(linededup.dedup_lines(docs(rows), keep_text=False, digest=True)) == lines_model(rows)
     monkeypatch.setattr(linededup, "CACHE_BYTES", 1)
+    monkeypatch.setattr(linededup, "WAIT_BYTES", 1)
     assert sorted_rows(linededup.dedup_lines(docs(rows), keep_text=False, digest=True)) == lines_model(rows)
     rng = np.random.default_rng(1)
     keys = rng.integers(1, 2**63, 3000, dtype=np.uint64)
@@ -164,6 +165,34 @@ def test_many_shards_and_a_small_cache(docs, sorted_rows, monkeypatch):
     assert not shard.probe(keys, keys)[0].any() and not shard.probe(keys + np.uint64(5), keys)[0].any()
 
 
+def test_shards_are_read_once_for_a_split(tmp_path):
+    rng, bits = np.random.default_rng(5), 6
+    texts = ["\n".join(f"line {k:08d} that may be in the index" for k in rng.integers(0, 5000, 400)) for _ in range(40)]
+    line = pa.array([f"line {k:08d} that may be in the index" for k in range(0, 5000, 2)])
+    *_, h1, h2 = linededup.line_keys(*common.text_bytes(line), 20)
+    for n in range(2**bits):
+        mine = (h1 >> np.uint64(64 - bits)) == n
+        (tmp_path / f"{n}.npz").write_bytes(linededup._shard_file(h1[mine], h2[mine], np.full(mine.sum(), 3), np.flatnonzero(mine)))
+    reads = []
+
+    class Counted(linededup.Shards):
+        def get(self, number):
+            reads.append(number)
+            return super().get(number)
+
+    parts = [pa.record_batch({"doc_id": [i, i + 1], "text": texts[i : i + 2], "extra": [None, "x"]}) for i in range(0, 40, 2)]
+    for limit, most in ((1 << 30, 1), (1, len(parts))):
+        reads.clear()
+        got = list(linededup.probed_slices(iter(parts), Counted(f"file://{tmp_path}", 1), bits, 20, limit))
+        assert len(reads) <= most * 2**bits and set(reads) == set(range(2**bits)) and (most > 1 or len(reads) == 2**bits)
+        assert [p.to_pydict() for p, _, _ in got] == [p.to_pydict() for p in parts]
+        for part, hit, keeper in got:
+            ids = [int(x.split()[1]) for t in part["text"].to_pylist() for x in t.split("\n")]
+            assert hit.tolist() == [i % 2 == 0 for i in ids] and (keeper[hit] == np.array(ids)[hit] // 2).all()
+    assert not any(hit.any() for _, hit, _ in linededup.probed_slices(iter(parts), None, 0, 20, 1 << 30))
+    assert list(linededup.probed_slices(iter([]), None, 0, 20, 1)) == []
+
+
 def test_perfect_hash_is_minimal_and_equal_halves_stay_apart():
     keys = np.random.default_rng(2).integers(1, 2**63, 10_000, dtype=np.uint64)
     h = linededup.PerfectHash.build(keys)
