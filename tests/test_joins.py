@@ -3,9 +3,10 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from dupelens.joins import running
+from dupelens.joins import running, spread_join
 
 
 def test_running_totals_of_groups_that_span_ranges(spark):
@@ -31,3 +32,16 @@ def test_running_totals_of_groups_that_span_ranges(spark):
 def test_running_totals_of_no_rows(spark):
     df = spark.createDataFrame([], "g long, o long")
     assert running(df, ["g"], ["o"], {"n": F.lit(1)}).collect() == []
+
+
+def broadcasts(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_copies_of_salted_rows_are_not_broadcast(spark, how):
+    rows, other = spark.range(300).select((F.col("id") % 7).alias("k"), "id"), spark.range(6).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    out = spread_join(rows, other, ["k"], 3, how)
+    assert broadcasts(out) == 0
+    assert {(r.id, r.v) for r in out.collect()} == {(i, "x" if i % 7 < 6 else None) for i in range(300) if how == "left" or i % 7 < 6}
