@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..joins import running, spread_join
+from ..joins import running, shuffled, spread_join
 from .common import materialize
 
 #: Prefixes of a piece: 24 bytes each while they are open.
 PIECE = 256
 #: Rows of a conversation each are broadcast up to this number, else salted.
-BROADCAST_CONVS = 200_000
+BROADCAST_CONVS = 20_000
 #: Ids whose decimals are put together before they are hashed in order, about 1 MB.
 IDS = 100_000
 #: A conversation begins with this many turns of another at most.
@@ -57,7 +57,7 @@ def rebuilt(turns: DataFrame, convs: DataFrame) -> DataFrame:
     """Conversations that begin with the first turns of the one whose id is theirs without the last two digits."""
     base = lambda c: c - c % 100
     heads = turns.filter((F.col("conv_id") % 100 == 0) & (F.col("i") <= HEADS)).withColumnRenamed("conv_id", "base")
-    taken = convs.withColumn("base", base(F.col("conv_id"))).join(heads, "base").filter(F.col("i") <= heads_of(F.col("conv_id")))
+    taken = shuffled(convs.withColumn("base", base(F.col("conv_id"))), heads, ["base"]).filter(F.col("i") <= heads_of(F.col("conv_id")))
     sizes = heads.groupBy("base").agg(F.max("i").alias("n"))
     own = turns.withColumn("base", base(F.col("conv_id"))).withColumn("h", heads_of(F.col("conv_id"))).filter(F.col("i") > F.col("h"))
     own = spread_join(own, sizes, ["base"], BROADCAST_CONVS, "left", "i")
@@ -75,7 +75,7 @@ def _first_owned(prefixes: DataFrame, shared: DataFrame) -> DataFrame:
     while not state.isEmpty():
         middle = state.withColumn("mid", F.floor(F.size("open") / 2).cast("int")).withColumn("at", F.col("open")[F.col("mid")])
         middle = middle.withColumns({"depth": F.col("at")["depth"], "a": F.col("at")["a"], "b": F.col("at")["b"]})
-        met = middle.join(shared.select("depth", "a", "b", "owner"), ["depth", "a", "b"], "left")
+        met = shuffled(middle, shared.select("depth", "a", "b", "owner"), ["depth", "a", "b"], "left")
         owns = F.col("owner").isNull() | (F.col("owner") == F.col("conv_id"))
         half = F.when(owns, F.slice("open", F.lit(1), F.col("mid"))).otherwise(F.slice("open", F.col("mid") + 2, F.size("open")))
         met = met.select("conv_id", F.when(owns, F.col("first")).otherwise(F.col("depth") + 1).alias("first"), "last", half.alias("open"))
@@ -94,7 +94,7 @@ def _totals(chains: DataFrame) -> DataFrame:
     state = materialize(chains.select("conv_id", "up", "leaves", "saved"), "totals")
     while not state.filter(F.col("up").isNotNull()).isEmpty():
         below = state.filter(F.col("up").isNotNull()).groupBy("up").agg(F.sum("leaves").alias("l"), F.sum("saved").alias("s")).withColumnRenamed("up", "conv_id")
-        more = state.join(below, "conv_id", "left").select("conv_id", "up", (F.col("leaves") + F.coalesce("l", F.lit(0))).alias("leaves"), (F.col("saved") + F.coalesce("s", F.lit(0))).alias("saved"))
+        more = shuffled(state, below, ["conv_id"], "left").select("conv_id", "up", (F.col("leaves") + F.coalesce("l", F.lit(0))).alias("leaves"), (F.col("saved") + F.coalesce("s", F.lit(0))).alias("saved"))
         above = state.select(F.col("conv_id").alias("up"), F.col("up").alias("next"))
         state = materialize(spread_join(more, above, ["up"], BROADCAST_CONVS, "left", "conv_id").select("conv_id", F.col("next").alias("up"), "leaves", "saved"), "totals")
     return state.drop("up")
@@ -142,30 +142,31 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     shared = materialize(shared, "shared")
     size = prefixes.groupBy("conv_id").agg(F.max("depth").alias("n"))
     none = F.when(F.col("conv_id") == F.lit(root["root"]), 0)  # the least conversation owns all its prefixes
-    info = convs.join(size, "conv_id", "left").join(_first_owned(prefixes, shared), "conv_id", "left")
+    info = shuffled(shuffled(convs, size, ["conv_id"], "left"), _first_owned(prefixes, shared), ["conv_id"], "left")
     info = info.withColumn("n", F.coalesce("n", F.lit(0)).cast("long")).withColumn("f", F.coalesce(none, "f", F.col("n") + 1).cast("long"))
     # where each chain, or a conversation without one, hangs
-    before = info.filter("f > 1").select("conv_id", (F.col("f") - 1).alias("depth")).join(prefixes.drop("chars"), ["conv_id", "depth"])
-    above = before.join(shared.select("depth", "a", "b", "owner"), ["depth", "a", "b"]).select("conv_id", "owner")
+    before = shuffled(info.filter("f > 1").select("conv_id", (F.col("f") - 1).alias("depth")), prefixes.drop("chars"), ["conv_id", "depth"])
+    above = shuffled(before, shared.select("depth", "a", "b", "owner"), ["depth", "a", "b"]).select("conv_id", "owner")
     hung = F.when(F.col("f") == 1, F.lit(root["root"])).otherwise(F.col("owner")).cast("long")
-    info = materialize(info.join(above, "conv_id", "left").select("conv_id", "n", "f", hung.alias("up")), "info")
+    info = materialize(shuffled(info, above, ["conv_id"], "left").select("conv_id", "n", "f", hung.alias("up")), "info")
     nodes = spread_join(prefixes, info.select("conv_id", "n", "f"), ["conv_id"], BROADCAST_CONVS, by="depth").filter("depth >= f")
-    nodes = nodes.join(shared.drop("owner"), ["depth", "a", "b"], "left").select("conv_id", "depth", "n", "f", "chars", F.coalesce("n_convs", F.lit(1)).alias("n_convs"))
+    nodes = shuffled(nodes, shared.drop("owner"), ["depth", "a", "b"], "left").select("conv_id", "depth", "n", "f", "chars", F.coalesce("n_convs", F.lit(1)).alias("n_convs"))
     top = info.filter("f = 0").select("conv_id", F.lit(0).cast("long").alias("depth"), "n", "f", F.lit(0).cast("long").alias("chars"), F.lit(root["n"]).cast("long").alias("n_convs"))
     nodes = materialize(nodes.unionByName(top).withColumn("saving", (F.col("n_convs") - 1) * F.col("chars")), "nodes")
     hanging = info.filter("f <= n AND f > 0").select("conv_id", F.col("up"), (F.col("f") - 1).alias("depth"))
     under = materialize(hanging.groupBy(F.col("up").alias("conv_id"), "depth").agg(F.count(F.lit(1)).alias("chains")), "under")
-    leaf = info.filter("f <= n OR f = 0").select("conv_id", F.col("n").alias("depth"), F.when(F.col("f") > 0, F.col("up")).alias("up")).join(under, ["conv_id", "depth"], "left")
+    leaf = info.filter("f <= n OR f = 0").select("conv_id", F.col("n").alias("depth"), F.when(F.col("f") > 0, F.col("up")).alias("up"))
+    leaf = shuffled(leaf, under, ["conv_id", "depth"], "left")
     saved = nodes.groupBy("conv_id").agg(F.sum("saving").alias("saved"))
-    chains = leaf.withColumn("leaves", F.when(F.col("chains").isNull(), 1).otherwise(0).cast("long")).join(saved, "conv_id")
+    chains = shuffled(leaf.withColumn("leaves", F.when(F.col("chains").isNull(), 1).otherwise(0).cast("long")), saved, ["conv_id"])
     totals = _totals(chains)
-    below = hanging.join(totals, "conv_id").groupBy(F.col("up").alias("conv_id"), "depth").agg(F.count(F.lit(1)).alias("chains"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
-    met = nodes.join(below, ["conv_id", "depth"], "left").withColumn("n_children", F.coalesce("chains", F.lit(0)) + F.when(F.col("depth") < F.col("n"), 1).otherwise(0))
+    below = shuffled(hanging, totals, ["conv_id"]).groupBy(F.col("up").alias("conv_id"), "depth").agg(F.count(F.lit(1)).alias("chains"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
+    met = shuffled(nodes, below, ["conv_id", "depth"], "left").withColumn("n_children", F.coalesce("chains", F.lit(0)) + F.when(F.col("depth") < F.col("n"), 1).otherwise(0))
     leaves = F.coalesce("leaves", F.lit(0)) + F.when(F.col("n_children") == 0, 1).otherwise(0)
     summed = running(met.withColumns({"x": leaves, "y": F.col("saving") + F.coalesce("saved", F.lit(0))}).drop("leaves", "saved"), ["conv_id"], [F.col("depth").desc()], {"n_leaves": F.col("x"), "saved_tokens": F.col("y")})
     heads = info.select("conv_id", F.col("f").alias("depth"), "up")
     ends = _digests(info.select(F.when(F.col("f") <= F.col("n"), F.col("conv_id")).when(F.col("f") == 0, F.col("conv_id")).otherwise(F.col("up")).alias("conv_id"), F.col("n").alias("depth"), F.col("conv_id").alias("member")))
-    out = summed.join(heads, ["conv_id", "depth"], "left").join(ends, ["conv_id", "depth"], "left")
+    out = shuffled(shuffled(summed, heads, ["conv_id", "depth"], "left"), ends, ["conv_id", "depth"], "left")
     parent = F.when(F.col("depth") == 0, F.lit(None)).when(F.col("depth") == F.col("f"), F.col("up")).otherwise(F.col("conv_id"))
     return out.select(
         "conv_id", "depth", parent.cast("long").alias("parent_conv_id"), "n_convs", F.col("n_children").cast("long").alias("n_children"), "n_leaves", "saved_tokens",

@@ -45,3 +45,9 @@ def test_copies_of_salted_rows_are_not_broadcast(spark, how):
     out = spread_join(rows, other, ["k"], 3, how)
     assert broadcasts(out) == 0
     assert {(r.id, r.v) for r in out.collect()} == {(i, "x" if i % 7 < 6 else None) for i in range(300) if how == "left" or i % 7 < 6}
+
+
+def test_what_goes_through_the_driver_for_the_trie_is_bounded():
+    from dupelens.llm import prefixtrie
+
+    assert prefixtrie.BROADCAST_CONVS <= 20_000
