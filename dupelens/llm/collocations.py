@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..joins import spread_join
+from ..joins import shuffled, spread_join
 from .common import FMIX_STEP, LOWER, Held, SpanHash, fmix, materialize, release, roomy, same_bytes, small_batches, text_bytes, words
 
 #: Bytes of texts that a task gathers before it makes a bundle of a language; a longer document is one of its own.
@@ -39,7 +39,7 @@ OF_TASK, OF_BUNDLE = 12, 31
 #: Counters of candidates, by hash, and the rows in which a task sends them.
 FILTER, SEGMENTS = 1 << 22, 64
 #: Frequent phrases are broadcast up to this number, else salted.
-BROADCAST_PHRASES = 100_000
+BROADCAST_PHRASES = 20_000
 #: Ends of pieces, and what is no part of a word.
 _BREAK, _OUTSIDE = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -314,7 +314,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
     scored = cuts.withColumn("score", score).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "cut", "l", "r")).alias("m"))
     inner = found.filter("k > 2").withColumn("m", F.explode(F.sequence(F.lit(2), F.col("k") - 1))).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k") - F.col("m") + 1)))
     longest = inner.select("lang", _part("i", "m").alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    left = scored.join(longest, ["lang", "phrase"], "left").filter("longer IS NULL OR 100 * longer < 100 * a")
+    left = shuffled(scored, longest, ["lang", "phrase"], "left").filter("longer IS NULL OR 100 * longer < 100 * a")
     w = Window.partitionBy("lang").orderBy(F.col("m.score").desc(), F.col("a").desc(), "phrase")
     ranked = left.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("m.l").alias("l"), F.col("m.r").alias("r"), "n", F.col("m.score").alias("score"))
