@@ -251,8 +251,8 @@ RUNS = "doc long, alike long, place long, n int"
 
 
 def _fetched(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``wanted`` pieces (h, doc, alike, place, n) with their bytes."""
-    by = wanted.groupBy("doc", "alike").agg(F.collect_list(F.struct("place", "n", "h")).alias("wanted"))
+    """``wanted`` pieces (h, doc, alike, place, n, common) with their bytes."""
+    by = wanted.groupBy("doc", "alike").agg(F.collect_list(F.struct("place", "n", "h", "common")).alias("wanted"))
     rows = keyed.select("doc", "alike", "text").join(by, ["doc", "alike"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -265,9 +265,9 @@ def _fetched(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         data = buf.tobytes()
         cut = [data[a:b] for a, b in zip(start.tolist(), (start + n + length - 1).tolist(), strict=True)]
         doc, alike = (batch.column(batch.schema.get_field_index(c)).to_numpy()[of] for c in ("doc", "alike"))
-        return pa.record_batch({"h": h, "doc": doc, "alike": alike, "place": place, "bytes": pa.array(cut, pa.binary())})
+        return pa.record_batch({"h": h, "doc": doc, "alike": alike, "place": place, "common": flat.field("common"), "bytes": pa.array(cut, pa.binary())})
 
-    return rows.mapInArrow(mapped(run, "suffixes"), "h long, doc long, alike long, place long, bytes binary")
+    return rows.mapInArrow(mapped(run, "suffixes"), "h long, doc long, alike long, place long, common boolean, bytes binary")
 
 
 def _sorted_by_suffix(fetched: DataFrame, length: int) -> DataFrame:
@@ -325,10 +325,12 @@ def repeated(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int
     partitions = spread(keyed)
     marked = _marked(_pieces(keyed, length, gram), partitions)
     out = marked.filter("gone").select("doc", "alike", "place", "n")
-    several = marked.filter("NOT gone")
-    out = out.unionByName(_sorted_by_suffix(_fetched(keyed, several.filter(F.col("kinds") <= most), length), length))
-    common = several.filter(F.col("kinds") > most)
-    return out if common.isEmpty() else out.unionByName(_split(_fetched(keyed, common, length), length, partitions))
+    several = marked.filter("NOT gone").withColumn("common", F.col("kinds") > most)
+    fetched = _fetched(keyed, several, length)
+    if several.filter("common").isEmpty():
+        return out.unionByName(_sorted_by_suffix(fetched, length))
+    fetched = materialize(fetched, "fetched")  # else the texts would be shuffled once for each of the two
+    return out.unionByName(_sorted_by_suffix(fetched.filter("NOT common"), length)).unionByName(_split(fetched.filter("common"), length, partitions))
 
 
 def _identified(docs: DataFrame, doc: str, alike: str) -> tuple[DataFrame, bool]:

@@ -93,6 +93,16 @@ def test_passages_against_all_strings(spark, sorted_rows, passages, monkeypatch,
     assert sum(x[2] for x in expected) > 20_000
 
 
+def test_common_and_rare_anchors_share_a_fetch(spark, passages, monkeypatch):
+    calls, fetch = [], sd._fetched
+    monkeypatch.setattr(sd, "_fetched", lambda *a: (calls.append(a), fetch(*a))[1])
+    df = spark.createDataFrame(passages, "doc_id long, text string")
+    out = sd.dedup_passages(df, keep_text=False, most=3)
+    assert len(calls) == 1  # else all texts are shuffled once more
+    assert calls[0][1].select("common").distinct().count() == 2
+    assert out.agg(F.sum("n_removed")).first() == sd.dedup_passages(df, keep_text=False).agg(F.sum("n_removed")).first()
+
+
 def test_kept_texts_and_other_columns(spark, passages):
     df = spark.createDataFrame(passages, "doc_id long, text string").withColumn("doc", F.lit("x"))
     got = {r.doc_id: r for r in sd.dedup_passages(df, digest=True).collect()}
