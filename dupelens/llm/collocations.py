@@ -3,8 +3,9 @@
 1. Documents of one language are put together into bundles of about a million words. A bundle's words have
    positions; a break between pieces or documents skips one, so words of a phrase have consecutive positions.
 2. A bundle keeps, for each of its frequent phrases, the sorted list of positions where it begins: the lengths of these
-   lists, added up over the bundles, are exact frequencies. Only (bundle, phrase, length) rows are shuffled by phrase,
-   a row a bundle at most, and those of frequent phrases go back to their bundle.
+   lists, added up over the bundles, are exact frequencies. Bundles of a language go together in groups, a task a group,
+   which adds up their lengths first: only (group, phrase, length) rows are shuffled by phrase, a row a group at most,
+   and those of frequent phrases go back to their group.
    Candidates are first counted by hash in a fixed number of counters; only those whose counter reaches the minimum are
    counted by themselves.
 3. Level by level, the lists of frequent phrases of k words are merged with the postings of the words k places on;
@@ -18,15 +19,16 @@ table gives an empty result; other columns are ignored; of languages of fewer ph
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..joins import shuffled, spread_join
+from ..joins import numbered_within, shuffled, spread_join
 from .common import FMIX_STEP, LOWER, Held, SpanHash, fmix, materialize, release, roomy, same_bytes, small_batches, text_bytes, words
 
 #: Bytes of texts that a task gathers before it makes a bundle of a language; a longer document is one of its own.
@@ -36,6 +38,8 @@ MAX_WORDS = 5
 TOP = 2000
 #: A task makes fewer than 2^12 bundles, and a bundle has fewer than 2^31 phrases.
 OF_TASK, OF_BUNDLE = 12, 31
+#: Bundles that go together at most; fewer where there wouldn't be this many groups for each core.
+GROUP, GROUPS_A_CORE = 16, 4
 #: Counters of candidates, by hash, and the rows in which a task sends them.
 FILTER, SEGMENTS = 1 << 22, 64
 #: Frequent phrases are broadcast up to this number, else salted.
@@ -139,11 +143,20 @@ def bundles(docs: DataFrame) -> DataFrame:
     return materialize(made, "bundles")
 
 
+def groups(made: DataFrame) -> DataFrame:
+    """bundle and group: up to ``GROUP`` bundles of a language, named by the least of them."""
+    slim = made.select("bundle", "lang")
+    cores = max(1, made.sparkSession.sparkContext.defaultParallelism)
+    size = min(GROUP, max(1, slim.count() // (GROUPS_A_CORE * cores)))
+    together = Window.partitionBy("lang", F.expr(f"place div {size}"))
+    return materialize(numbered_within(slim, ["lang"], ["bundle"], "place").select("bundle", F.min("bundle").over(together).alias("group")), "groups")
+
+
 #: Lists of frequent phrases (positions, number of the phrase at each, ids of the numbers), and postings of words that may follow.
-LISTS = "bundle long, at binary, of binary, ids binary, word_at binary, word_of binary, word_ids binary"
+LISTS = "group long, bundle long, at binary, of binary, ids binary, word_at binary, word_of binary, word_ids binary"
 
 
-def _lists(bundle: int, at: np.ndarray, ids: np.ndarray, word_at: np.ndarray, word_ids: np.ndarray) -> pa.Table:
+def _lists(group: int, bundle: int, at: np.ndarray, ids: np.ndarray, word_at: np.ndarray, word_ids: np.ndarray) -> pa.Table:
     row = {"at": _packed(_steps(at)), "word_at": _packed(_steps(word_at))}
     for name, own in (("", ids), ("word_", word_ids)):
         known, of, n = np.unique(own, return_inverse=True, return_counts=True)
@@ -151,7 +164,7 @@ def _lists(bundle: int, at: np.ndarray, ids: np.ndarray, word_at: np.ndarray, wo
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         row |= {f"{name}of": _packed(rank[of]), f"{name}ids": known[order].tobytes()}
-    return pa.table({"bundle": [bundle]} | {k: pa.array([v], pa.binary()) for k, v in row.items()})
+    return pa.table({"group": [group], "bundle": [bundle]} | {k: pa.array([v], pa.binary()) for k, v in row.items()})
 
 
 def _extended(row: dict, k: int):
@@ -217,59 +230,114 @@ def crowded(lists: DataFrame, k: int, min_count: int, size: int) -> np.ndarray:
 
 
 def _candidates(lists: DataFrame, k: int, among: np.ndarray) -> DataFrame:
-    """bundle, idx, phrase, word and n of the candidates of k + 1 words in each bundle that may be frequent: their counters are ``among`` them."""
+    """group, own (a number of the row), phrase, word and n of the candidates of k + 1 words in each group that may be frequent: their counters are ``among`` them."""
     bits = np.packbits(among)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Held.begin("phrases")
+        held, group, first = [], None, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            phrase, word, n = _summed(*map(np.concatenate, zip(*held, strict=True)))
+            held.clear()
+            for i in range(0, len(n), 20_000):
+                m = n[i : i + 20_000]
+                own = (first << OF_BUNDLE) + np.arange(i, i + len(m))
+                yield pa.record_batch({"group": np.full(len(m), group), "own": own, "phrase": phrase[i : i + len(m)], "word": word[i : i + len(m)], "n": m})
+
         for batch in batches:
             for row in batch.to_pylist():
+                if held and row["group"] != group:
+                    yield from out()
+                if not held:  # a group that is read in two tasks has two rows a phrase, numbered by different bundles
+                    group, first = row["group"], row["bundle"]
                 _, _, phrase, word, n = _extended(row, k)
-                idx = np.flatnonzero(np.unpackbits(bits)[_place(phrase, word, 8 * len(bits))])
-                for i in range(0, len(idx), 20_000):
-                    at = idx[i : i + 20_000]
-                    yield pa.record_batch({"bundle": np.full(len(at), row["bundle"]), "idx": at, "phrase": phrase[at], "word": word[at], "n": n[at]})
+                may = np.unpackbits(bits)[_place(phrase, word, 8 * len(bits))] > 0
+                held.append((phrase[may], word[may], n[may]))
+        if held:
+            yield from out()
         release()
 
-    return lists.mapInArrow(run, "bundle long, idx long, phrase long, word long, n long")
+    return lists.mapInArrow(run, "group long, own long, phrase long, word long, n long")
+
 
+def _summed(phrase: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs (phrase, word), with their sums."""
+    order = np.lexsort((word, phrase))
+    phrase, word, n = phrase[order], word[order], n[order]
+    new = np.ones(len(n), bool)
+    new[1:] = (phrase[1:] != phrase[:-1]) | (word[1:] != word[:-1])
+    first = np.flatnonzero(new)
+    return phrase[first], word[first], np.add.reduceat(n, first) if len(first) else n
 
-def _frequent(candidates: DataFrame, keys: list[str], min_count: int) -> DataFrame:
-    """Candidates of at least ``min_count`` in all bundles together, with this ``total`` and an ``id`` of the phrase: the least of its numbers."""
+
+def _frequent(candidates: DataFrame, keys: list[str], min_count: int, back: list[str]) -> DataFrame:
+    """Candidates of at least ``min_count`` in all rows together, with this ``total`` and an ``id`` of the phrase: the least of its rows' ``own`` numbers.
+
+    All rows have what they go ``back`` by, and one of each phrase says what it is.
+    """
     w = Window.partitionBy(*keys)
-    own = F.shiftleft("bundle", OF_BUNDLE) + F.col("idx")
-    found = candidates.withColumn("own", own).withColumn("total", F.sum("n").over(w)).filter(F.col("total") >= min_count).withColumn("id", F.min("own").over(w))
-    first = F.col("own") == F.col("id")  # one row says what the phrase is
-    return materialize(found.select("bundle", "idx", "id", first.alias("first"), *[F.when(first, F.col(c)).alias(c) for c in [*keys, "total"]]), "frequent")
+    found = candidates.withColumn("total", F.sum("n").over(w)).filter(F.col("total") >= min_count).withColumn("id", F.min("own").over(w))
+    first = F.col("own") == F.col("id")
+    said = [F.when(first, F.col(c)).alias(c) for c in [*keys, "total"] if c not in back]
+    return materialize(found.select(*back, "id", first.alias("first"), *said), "frequent")
+
+
+def _ids(kept: pa.Table) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """What gives the id of each pair (phrase, word), -1 of those that aren't ``kept``."""
+    phrase, word, ids = (kept.column(c).to_numpy() for c in ("phrase", "word", "id"))
+    phrases_, p = np.unique(phrase, return_inverse=True)
+    words_, w = np.unique(word, return_inverse=True)
+    pairs, first = np.unique(p * len(words_) + w, return_index=True)
+    ids = ids[first]
+
+    def of(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
+        (p, known), (w, spelled) = _merged(phrases_, phrase), _merged(words_, word)
+        j, met = _merged(pairs, p * len(words_) + w)
+        met &= known & spelled
+        out = np.full(len(phrase), -1, np.int64)
+        out[met] = ids[j[met]]
+        return out
+
+    return of
 
 
 def _kept(left: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
-    """The lists of frequent phrases of k words: of the bundles' words for k = 1, else of what ``left`` lists extends to."""
+    """The lists of frequent phrases of k words, by group: of the bundles' words for k = 1, else of what ``left`` lists extends to."""
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, kept: pa.Table) -> pa.Table:
-        Held.begin("phrases")
-        row, idx, ids = rows.to_pylist()[0], kept.column("idx").to_numpy(), kept.column("id").to_numpy()
-        if k == 1:
-            at, number = _positions(row["at"]), _unpacked(row["of"])
-            named = np.full(max(int(number.max(initial=0)), int(idx.max(initial=0))) + 1, -1, np.int64)
-        else:
-            at, number, _, _, n = _extended(row, k - 1)
-            named = np.full(max(1, len(n)), -1, np.int64)
-        named[idx] = ids
+    def words_of(row: dict, kept: pa.Table) -> tuple[np.ndarray, ...]:
+        at, number = _positions(row["at"]), _unpacked(row["of"])
+        own = kept.filter(pc.equal(kept.column("bundle"), row["bundle"]))
+        named = np.full(int(number.max(initial=0)) + 1, -1, np.int64)
+        named[own.column("idx").to_numpy()] = own.column("id").to_numpy()
         found = named[number]
         at, found = at[found >= 0], found[found >= 0]
-        if k == 1:
-            return _lists(key[0].as_py(), at, found, at, found)
+        return at, found, at, found
+
+    def phrases_of(row: dict, ids: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
+        at, number, phrase, word, _ = _extended(row, k - 1)
+        found = ids(phrase, word)[number]
+        at, found = at[found >= 0], found[found >= 0]
         word_at, word_ids = _positions(row["word_at"]), np.frombuffer(row["word_ids"], np.int64)[_unpacked(row["word_of"])]
         j, met = _merged(word_at, at + np.int32(k))
-        return _lists(key[0].as_py(), at, found, word_at[j[met]], word_ids[j[met]])
+        return at, found, word_at[j[met]], word_ids[j[met]]
 
-    rows = left.select("bundle", "at", "of") if k == 1 else left
-    both = rows.groupBy("bundle").cogroup(frequent.select("bundle", "idx", "id").groupBy("bundle"))
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, kept: pa.Table) -> pa.Table:
+        Held.begin("phrases")
+        of, by = (words_of, kept) if k == 1 else (phrases_of, _ids(kept))
+        out = []
+        for i in range(rows.num_rows):
+            row = rows.slice(i, 1).to_pylist()[0]
+            made = of(row, by)
+            if len(made[0]):
+                out.append(_lists(key[0].as_py(), row["bundle"], *made))
+        return pa.concat_tables(out or [pa.table(_NONE)])
+
+    both = left.groupBy("group").cogroup(frequent.groupBy("group"))
     return both.applyInArrow(lambda key, a, b: run(key, a, b) if a.num_rows and b.num_rows else pa.table(_NONE), LISTS)
 
 
-_NONE = {"bundle": pa.array([], pa.int64())} | {c: pa.array([], pa.binary()) for c in ("at", "of", "ids", "word_at", "word_of", "word_ids")}
+_NONE = {c: pa.array([], pa.int64()) for c in ("group", "bundle")} | {c: pa.array([], pa.binary()) for c in ("at", "of", "ids", "word_at", "word_of", "word_ids")}
 
 
 def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -278,12 +346,16 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WO
     made = bundles(docs)
     words_ = made.select("bundle", "lang", F.posexplode(F.arrays_zip("names", "counts")).alias("idx", "w"))
     words_ = words_.select("bundle", "lang", F.col("idx").cast("long").alias("idx"), F.col("w.names").alias("name"), F.col("w.counts").alias("n"))
-    frequent = _frequent(words_, ["lang", "name"], min_count)
+    words_ = words_.withColumn("own", F.shiftleft("bundle", OF_BUNDLE) + F.col("idx"))
+    frequent = _frequent(words_, ["lang", "name"], min_count, ["bundle", "idx"])
     known = materialize(frequent.filter("first").select("id", "lang", F.col("name").cast("string").alias("phrase"), F.col("total").alias("f")), "words")
-    one, levels, lists = known.select("id", F.col("phrase").alias("last")), [known.withColumn("k", F.lit(1))], made
+    one, levels = known.select("id", F.col("phrase").alias("last")), [known.withColumn("k", F.lit(1))]
+    together = groups(made)
+    lists = spread_join(made.select("bundle", "at", "of"), together, ["bundle"], BROADCAST_PHRASES, by="bundle")
+    frequent = spread_join(frequent.select("bundle", "idx", "id"), together.select("bundle", F.col("group").alias("group")), ["bundle"], BROADCAST_PHRASES, by="id")
     for k in range(1, max_words):
         lists = materialize(_kept(lists, frequent, k), "lists")
-        frequent = _frequent(_candidates(lists, k, crowded(lists, k, min_count, FILTER)), ["phrase", "word"], min_count)
+        frequent = _frequent(_candidates(lists, k, crowded(lists, k, min_count, FILTER)), ["phrase", "word"], min_count, ["group", "phrase", "word"])
         if frequent.isEmpty():
             break
         new = frequent.filter("first").select("id", F.col("phrase").alias("first"), "word", F.col("total").alias("f"))

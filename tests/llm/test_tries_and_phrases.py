@@ -126,6 +126,25 @@ def test_phrases_against_counting(spark, texts, monkeypatch):
     assert phrases_of(spark, texts, min_count=30, top=3) == phrase_model(texts, 30, top=3)
 
 
+def test_lengths_are_added_up_before_they_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "GROUPS_A_CORE", 1, raising=False)
+    seen, frequent = [], collocations._frequent
+
+    def counted(candidates, keys, *rest):
+        seen.append((keys, candidates.count()))
+        return frequent(candidates, keys, *rest)
+
+    monkeypatch.setattr(collocations, "_frequent", counted)
+    cores = spark.sparkContext.defaultParallelism
+    rows = [("en", " ".join(f"w{k}" for k in range(50)))] * (40 * cores) + [("de", "a b c")] * (40 * cores)
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(4 * cores)  # a bundle of a language each
+    got = sorted(map(tuple, collocations.collocations(df, min_count=10).collect()))
+    assert got == phrase_model(rows, 10)
+    levels = [n for keys, n in seen if keys == ["phrase", "word"]]
+    groups = -(-4 * cores // 8)  # 8 bundles a core, of both languages, are put together
+    assert levels == [groups * (49 + 2), groups * (48 + 1), groups * 47, groups * 46]
+
+
 def test_phrases_of_nothing(spark):
     assert phrases_of(spark, []) == []
     assert phrases_of(spark, [("en", None), (None, "one two")]) == []
