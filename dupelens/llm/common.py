@@ -26,11 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str = "table", large: int = 0) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``large``: rows are of some MB, and row groups of so many bytes; the writer measures each row then, not each hundredth.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)  # a task holds one row group
+    writer = df.write.option("parquet.block.size", large or ROW_GROUP)  # a task holds one row group
+    if large:
+        writer = writer.option("parquet.page.size.row.check.min", 1)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

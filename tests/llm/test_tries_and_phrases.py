@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -145,6 +146,42 @@ def test_lengths_are_added_up_before_they_are_shuffled(spark, monkeypatch):
     assert levels == [groups * (49 + 2), groups * (48 + 1), groups * 47, groups * 46]
 
 
+def peak_mb(f):
+    tracemalloc.start()
+    try:
+        out = f()
+        return tracemalloc.get_traced_memory()[1] / 1e6, out
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_bundle_takes_a_few_times_its_bytes():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    vocabulary = np.array([b"w%05d " % k for k in range(20_000)], "S7")
+    line = vocabulary[np.minimum(r.geometric(0.001, 900_000), 19_999)]
+    texts = [(np.frombuffer(part.tobytes(), np.uint8), np.array([0, 7 * len(part)])) for part in np.split(line, 9)]
+    mb, made = peak_mb(lambda: collocations._bundle(texts))
+    assert made["n"] == 900_000 and sum(made["counts"].tolist()) == 900_000
+    number, at = collocations._unpacked(made["of"]), collocations._positions(made["at"])
+    assert [made["names"][k] for k in number[:50]] == [w[:-1] for w in line[:50].tolist()] and (np.diff(at) >= 1).all()
+    assert mb < 80  # 6.3 MB of text
+    ids = np.arange(len(made["names"])).tobytes()
+    row = {"at": made["at"], "of": made["of"], "ids": ids, "word_at": made["at"], "word_of": made["of"], "word_ids": ids}
+    mb, found = peak_mb(lambda: collocations._extended(row, 1))
+    pairs, counts = np.unique(np.stack([number[:-1], number[1:]], 1)[np.diff(at) == 1], axis=0, return_counts=True)
+    assert (found[2] == pairs[:, 0]).all() and (found[3] == pairs[:, 1]).all() and (found[4] == counts).all()
+    assert mb < 60
+
+
+def test_candidates_beyond_what_a_task_holds(spark, texts, monkeypatch):
+    monkeypatch.setattr(collocations, "BUNDLE_BYTES", 2000)
+    monkeypatch.setattr(collocations, "GROUPS_A_CORE", 1)
+    monkeypatch.setattr(collocations, "HELD_ROWS", 40, raising=False)
+    assert phrases_of(spark, texts, min_count=4) == phrase_model(texts, 4)
+
+
 def test_phrases_of_nothing(spark):
     assert phrases_of(spark, []) == []
     assert phrases_of(spark, [("en", None), (None, "one two")]) == []
